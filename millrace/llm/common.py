@@ -34,6 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def tuned(spark: SparkSession, rows: int = 2000) -> SparkSession:
+    """The session, with Arrow batches of whole texts kept small: texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+    return spark
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -86,11 +94,12 @@ def by_group(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class WordCache:
     """Arrays computed once per distinct string and looked up for whole lists of strings.
 
-    ``make`` maps a list of strings to a list of arrays.  At more than ``limit`` strings
-    the cache starts anew, so memory is bounded; results do not depend on what it holds.
+    ``make`` maps a list of strings to a list of arrays, or to all arrays joined and their
+    lengths.  At more than ``limit`` strings the cache starts anew, so memory is bounded;
+    results do not depend on what it holds.
     """
 
-    def __init__(self, make: Callable[[list[str]], list[np.ndarray]], dtype: str, limit: int = 300_000):
+    def __init__(self, make: Callable[[list[str]], list[np.ndarray] | tuple[np.ndarray, np.ndarray]], dtype: str, limit: int = 300_000):
         self.make, self.dtype, self.limit = make, np.dtype(dtype), limit
         self.clear()
 
@@ -110,12 +119,14 @@ class WordCache:
         return getattr(self, name)
 
     def _add(self, words: list[str]) -> None:
-        arrays = self.make(words)
-        lengths = np.fromiter(map(len, arrays), np.int64, len(arrays))
+        made = self.make(words)
+        if isinstance(made, tuple):
+            joined, lengths = made
+        else:
+            lengths = np.fromiter(map(len, made), np.int64, len(made))
+            joined = np.concatenate(made) if made else np.zeros(0, self.dtype)
         n, total = len(self.index), int(lengths.sum())
-        flat = self._room("flat", self.used + total)
-        if total:
-            flat[self.used : self.used + total] = np.concatenate(arrays)
+        self._room("flat", self.used + total)[self.used : self.used + total] = joined
         self._room("starts", n + len(words))[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
         self._room("lengths", n + len(words))[n : n + len(words)] = lengths
         self.used += total
@@ -128,7 +139,7 @@ class WordCache:
         try:
             return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         except KeyError:
-            self._add([w for w in dict.fromkeys(words) if w not in self.index])
+            self._add(list(set(words).difference(self.index)))
             return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import pick
+from millrace.llm.common import pick, tuned
 
 FRAME_SIDE = 8
 FRAME_BYTES = FRAME_SIDE * FRAME_SIDE
@@ -265,5 +265,5 @@ ARROW_DIGESTS = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
     return media_features(encode_media(docs), keep=("doc_id", "n_bytes"), digests=True)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import filesystem, fresh_path, pick, written
+from millrace.llm.common import filesystem, fresh_path, pick, tuned, written
 
 LEVEL = 1
 INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("revisit", "u1"), ("page_id", "<i8")])
@@ -236,5 +236,5 @@ def read_one(archive: str, index: str, page_id: int) -> dict | None:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = tuned(spark).read.parquet(f"{sf_dir}/pages.parquet")
     return read_warc(normalise_all(write_warc(pages)))
