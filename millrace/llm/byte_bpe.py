@@ -31,9 +31,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import filesystem, fresh_path, pick, ragged_take, written
+from millrace.llm.common import filesystem, fresh_path, pick, ragged_take, tuned, written
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 6_000_000
 WORDS = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("words", pa.binary())])
 IDS = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("ids", pa.binary())])
 
@@ -243,7 +243,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
     done = decode(encode(docs, path, public_tokenizers.PATTERN), path)
     return done.select(
         "doc_id",
