@@ -16,10 +16,13 @@ first; repeated doc_ids keep one record a row; an empty table gives no shards.
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordCache, filesystem, flatten, fresh_path, pick, slices, written
+from millrace.llm.common import WordCache, filesystem, flatten, fresh_path, pick, ragged_take, slices, tuned, written
 
 HEADER = struct.Struct("<qBB")
 INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("doc_id", "<i8"), ("null", "u1"), ("n_ids", "<u8")])
@@ -205,19 +208,90 @@ def _chunks(text: str) -> list[str]:
     return text.split()
 
 
-def encoder(path: str) -> WordCache:
-    """Ids of white-space-free chunks by the tokenizers library, each distinct chunk encoded once."""
-    if path not in _ENCODERS:
+#: A run of letters and what punctuation follows: two pre-tokens, for such characters as these.
+_SIMPLE = re.compile(r"([^\W\d_]+)([.,:;!?|&%$#*]*)")
+_JOINED = 500
+
+
+class _Chunks:
+    """Ids of white-space-free chunks by the tokenizers library.
+
+    A chunk of letters with trailing punctuation is two pre-tokens, which are encoded once
+    for all chunks that hold them.  Runs of letters are encoded many to a call, between
+    spaces; the vocabulary marks the token that ends a word, so the ids split again
+    there.  Where the marks do not match the words, and for all other chunks, each
+    chunk has an encoding of its own.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.pieces = WordCache(self._pieces, "uint32", limit=400_000)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs of letters, and how many each has."""
+        joined, lengths = [], []
+        for i in range(0, len(words), _JOINED):
+            some = words[i : i + _JOINED]
+            ids, _ = self._encode([" ".join(some)])
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                n = np.diff(cuts, prepend=0)
+            else:
+                ids, n = self._encode(some)
+            joined.append(ids)
+            lengths.append(n)
+        return np.concatenate([np.zeros(0, np.uint32), *joined]), np.concatenate([np.zeros(0, np.int64), *lengths])
+
+    def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter((_plain(w) for w in words), bool, len(words))
+        order = np.argsort(~plain, kind="stable")
+        words = [words[i] for i in order.tolist()]
+        n = int(plain.sum())
+        (a, la), (b, lb) = self._letters(words[:n]), self._encode(words[n:])
+        joined, lengths = np.concatenate([a, b]), np.concatenate([la, lb])
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        starts = np.cumsum(lengths) - lengths
+        return joined[ragged_take(starts[place], lengths[place])], lengths[place]
+
+    def make(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts: list[str] = []
+        for chunk in chunks:
+            m = _SIMPLE.fullmatch(chunk)
+            if m is None:
+                parts += (chunk, "")
+            elif chunk.isascii():
+                word, tail = m.groups()
+                parts += (word.lower(), tail)
+            else:
+                parts += m.groups() if _plain(m[1]) else (chunk, "")
+        ids, lengths = self.pieces.take(self.pieces.codes(parts))
+        return ids, lengths.reshape(-1, 2).sum(1)
+
+
+def _plain(word: str) -> bool:
+    """Letters alone, before and after the tokenizer's normalisation."""
+    return word.isalpha() and (word.isascii() or word.lower().isalpha() and unicodedata.is_normalized("NFC", word))
 
-        def make(words: list[str]) -> list[np.ndarray]:
-            return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-        _ENCODERS[path] = WordCache(make, "uint32")
+def encoder(path: str) -> WordCache:
+    """A bounded cache of chunks' ids for a tokenizer file; a worker keeps it between tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordCache(_Chunks(path).make, "uint32", limit=600_000)
     return _ENCODERS[path]
 
 
@@ -308,6 +382,6 @@ ARROW_RECORDS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_to
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
     manifest = write_records(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_records(manifest).drop("ids")
