@@ -95,8 +95,11 @@ class Model:
         self.weights, self.bias = weights, bias
 
     @classmethod
-    def fit(cls, found: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, dim: int = 8, epochs: int = 10, rate: float = 2.0, batch: int = 32, seed: int = 7) -> Model:
-        """Mini-batch SGD with a linearly falling rate over vectors (dim) and the softmax layer."""
+    def fit(cls, found: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, dim: int = 8, epochs: int = 10, rate: float = 2.0, batch: int = 32, least_steps: int = 1000, seed: int = 7) -> Model:
+        """Mini-batch SGD with a linearly falling rate over vectors (dim) and the softmax layer.
+
+        Few rows are gone over more often, until there are ``least_steps`` steps.
+        """
         n = len(labels)
         share = (labels.sum() + 1) / (n + 2)
         bias = np.array([0.0, np.log(share / (1 - share))])
@@ -105,6 +108,7 @@ class Model:
         rng = np.random.default_rng(seed)
         vectors = rng.uniform(-1, 1, (BUCKETS + 1, dim)) / dim
         layer = np.zeros((2, dim))
+        epochs = max(epochs, -(-least_steps // -(-n // batch)))
         steps, step = epochs * -(-n // batch), 0
         for _ in range(epochs):
             order = rng.permutation(n)

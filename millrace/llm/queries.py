@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from millrace.llm.byte_bpe import op10_byte_bpe
 from millrace.llm.media import op3_media_columns
+from millrace.llm.ngram_join import op4_ngram_join
 from millrace.llm.quality import op8_quality
 from millrace.llm.token_records import op1_token_records
 from millrace.llm.toxicity import op2_toxicity
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_toxicity": op2_toxicity,
     "op3_media_columns": op3_media_columns,
+    "op4_ngram_join": op4_ngram_join,
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_byte_bpe": op10_byte_bpe,
