@@ -208,19 +208,19 @@ def _chunks(text: str) -> list[str]:
     return text.split()
 
 
-#: A run of letters and what punctuation follows: two pre-tokens, for such characters as these.
-_SIMPLE = re.compile(r"([^\W\d_]+)([.,:;!?|&%$#*]*)")
+#: Letters, punctuation after them and what else a chunk holds.  The first two are a
+#: pre-token each, for such characters as these.
+_PARTS = re.compile(r"([^\W\d_]*)([.,:;!?|&%$#*]*)(.*)\n")
 _JOINED = 500
 
 
 class _Chunks:
     """Ids of white-space-free chunks by the tokenizers library.
 
-    A chunk of letters with trailing punctuation is two pre-tokens, which are encoded once
-    for all chunks that hold them.  Runs of letters are encoded many to a call, between
-    spaces; the vocabulary marks the token that ends a word, so the ids split again
-    there.  Where the marks do not match the words, and for all other chunks, each
-    chunk has an encoding of its own.
+    Chunks of letters with or without trailing punctuation, so of one or two pre-tokens, are
+    encoded many to a call, between spaces; the vocabulary marks the token that ends a
+    pre-token, so the ids split again there.  Where the marks do not match the chunks, and
+    for all other chunks, each chunk has an encoding of its own.
     """
 
     def __init__(self, path: str):
@@ -234,54 +234,34 @@ class _Chunks:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.pieces = WordCache(self._pieces, "uint32", limit=400_000)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
 
-    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of runs of letters, and how many each has."""
-        joined, lengths = [], []
-        for i in range(0, len(words), _JOINED):
-            some = words[i : i + _JOINED]
-            ids, _ = self._encode([" ".join(some)])
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some) and cuts[-1] == len(ids):
-                n = np.diff(cuts, prepend=0)
+    def make(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = _PARTS.findall("\n".join(chunks) + "\n")
+        pre_tokens = np.fromiter((0 if rest or not _plain(word) else 2 if tail else 1 for word, tail, rest in parts), np.int64, len(chunks))
+        order = np.argsort(pre_tokens == 0, kind="stable")
+        chunks = [chunks[i] for i in order.tolist()]
+        n = int((pre_tokens > 0).sum())
+        pre_tokens, found = pre_tokens[order], []
+        for i in range(0, n, _JOINED):
+            some = slice(i, min(i + _JOINED, n))
+            ids, _ = self._encode([" ".join(chunks[some])])
+            cuts, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(pre_tokens[some]) - 1
+            if len(cuts) == last[-1] + 1 and cuts[-1] == len(ids):
+                found.append((ids, np.diff(cuts[last], prepend=0)))
             else:
-                ids, n = self._encode(some)
-            joined.append(ids)
-            lengths.append(n)
-        return np.concatenate([np.zeros(0, np.uint32), *joined]), np.concatenate([np.zeros(0, np.int64), *lengths])
-
-    def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = np.fromiter((_plain(w) for w in words), bool, len(words))
-        order = np.argsort(~plain, kind="stable")
-        words = [words[i] for i in order.tolist()]
-        n = int(plain.sum())
-        (a, la), (b, lb) = self._letters(words[:n]), self._encode(words[n:])
-        joined, lengths = np.concatenate([a, b]), np.concatenate([la, lb])
-        place = np.empty(len(words), np.int64)
-        place[order] = np.arange(len(words))
+                found.append(self._encode(chunks[some]))
+        found.append(self._encode(chunks[n:]))
+        joined, lengths = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        place = np.empty(len(chunks), np.int64)
+        place[order] = np.arange(len(chunks))
         starts = np.cumsum(lengths) - lengths
         return joined[ragged_take(starts[place], lengths[place])], lengths[place]
 
-    def make(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts: list[str] = []
-        for chunk in chunks:
-            m = _SIMPLE.fullmatch(chunk)
-            if m is None:
-                parts += (chunk, "")
-            elif chunk.isascii():
-                word, tail = m.groups()
-                parts += (word.lower(), tail)
-            else:
-                parts += m.groups() if _plain(m[1]) else (chunk, "")
-        ids, lengths = self.pieces.take(self.pieces.codes(parts))
-        return ids, lengths.reshape(-1, 2).sum(1)
-
 
 def _plain(word: str) -> bool:
     """Letters alone, before and after the tokenizer's normalisation."""
@@ -291,7 +271,7 @@ def _plain(word: str) -> bool:
 def encoder(path: str) -> WordCache:
     """A bounded cache of chunks' ids for a tokenizer file; a worker keeps it between tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordCache(_Chunks(path).make, "uint32", limit=600_000)
+        _ENCODERS[path] = WordCache(_Chunks(path).make, "uint32", limit=900_000)
     return _ENCODERS[path]
 
 
