@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from millrace.llm.byte_bpe import op10_byte_bpe
+from millrace.llm.decontam import op7_decontamination
 from millrace.llm.media import op3_media_columns
 from millrace.llm.ngram_join import op4_ngram_join
 from millrace.llm.quality import op8_quality
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_media_columns": op3_media_columns,
     "op4_ngram_join": op4_ngram_join,
+    "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_byte_bpe": op10_byte_bpe,
