@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from millrace.llm.byte_bpe import op10_byte_bpe
 from millrace.llm.decontam import op7_decontamination
+from millrace.llm.licenses import op6_licenses
 from millrace.llm.media import op3_media_columns
 from millrace.llm.ngram_join import op4_ngram_join
 from millrace.llm.quality import op8_quality
+from millrace.llm.secrets import op5_secrets
 from millrace.llm.token_records import op1_token_records
 from millrace.llm.toxicity import op2_toxicity
 from millrace.llm.warc import op9_warc
@@ -16,6 +18,8 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_media_columns": op3_media_columns,
     "op4_ngram_join": op4_ngram_join,
+    "op5_secrets": op5_secrets,
+    "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
