@@ -65,6 +65,30 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col("`" + old.replace("`", "``") + "`").alias(new) for new, old in columns.items()])
 
 
+#: Bits of the tables that drop rows before a shuffle; 2 MB each.
+BITS = 1 << 24
+
+
+def bit_table(df: DataFrame, col: str) -> np.ndarray:
+    """A fixed-size table with the bits (value mod BITS) of a column of longs set.
+
+    Bits are put together into bytes by the cluster: at most BITS / 8 bytes reach the
+    driver, whatever the rows.  A full table drops nothing, which costs time only.
+    """
+    bit = F.pmod(F.col(col), F.lit(BITS))
+    rows = df.where(F.col(col).isNotNull()).select(bit.alias("bit")).distinct()
+    rows = rows.groupBy(F.shiftright("bit", 3).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).cast("int").alias("bits")).toArrow()
+    table = np.zeros(BITS // 8, np.uint8)
+    table[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint8)
+    return table
+
+
+def in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values (longs, or their bits as unsigned) have their bit set; false only for values not in the column."""
+    bit = values % values.dtype.type(BITS)
+    return (table[(bit >> bit.dtype.type(3)).astype(np.int64)] >> (bit & bit.dtype.type(7)).astype(np.uint8)) & 1 == 1
+
+
 def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts that hold about ``limit`` characters each; no text is cut."""
     start = held = 0

@@ -32,14 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordCache, flatten, pick, slices, tuned, written
+from millrace.llm.common import WordCache, bit_table, flatten, in_table, pick, slices, tuned, written
 from millrace.llm.subwords import BASE, mix
 
 WINDOW = 8
 LITERALS = 4
 MATCH = 13
-#: Bits of the table that drops windows; 2 MB.
-BITS = 1 << 24
 
 #: Units of measure that count as such after a number (fixed values).
 UNITS = frozenset(
@@ -135,8 +133,7 @@ def _rows(ids: list, texts: list[str], cache: WordCache, sizes, table: np.ndarra
             h, owner, place = windows(literal, slot, per_text, size, names)
             keep = np.ones(len(h), bool) if only is None else only[owner]
             if table is not None:
-                bit = h % np.uint64(BITS)
-                keep &= (table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                keep &= in_table(table, h)
             filled = np.where((slot > 0) & ((slot < 3) | names), literal | np.uint64(1), np.uint64(0)).view(np.int64)
             for x, o, p in zip(h[keep].view(np.int64).tolist(), owner[keep].tolist(), place[keep].tolist()):
                 if ids[o] is not None:
@@ -161,18 +158,6 @@ def item_windows(items: DataFrame) -> DataFrame:
     return written(items.mapInArrow(run, WINDOWS), "item-windows")
 
 
-def _bit_table(found: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """The bit table of window hashes, put together from the set bits' bytes, and the short sizes in use.
-
-    At most BITS / 8 bytes reach the driver, whatever the benchmark's size.
-    """
-    rows = found.select(F.expr(f"pmod(hash, {BITS})").alias("bit")).distinct().groupBy(F.shiftright("bit", 3).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("bits")).toArrow()
-    table = np.zeros(BITS // 8, np.uint8)
-    table[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint8)
-    short = found.select(F.size("slots").alias("n")).where(f"n < {WINDOW}").distinct().toArrow().column("n").to_pylist()
-    return table, sorted(short)
-
-
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", match: int = MATCH) -> DataFrame:
     """(doc_id, item_id, n_tokens, verbatim) of every document that holds a benchmark item.
 
@@ -181,7 +166,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     spark = docs.sparkSession
     texts = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), "text")
     wanted = item_windows(pick(items, id=item_col, text=item_text_col).select(F.col("id").cast("long"), "text"))
-    shared = spark.sparkContext.broadcast(_bit_table(wanted))
+    short = wanted.select(F.size("slots").alias("n")).where(F.col("n") < WINDOW).distinct().toArrow().column("n").to_pylist()
+    shared = spark.sparkContext.broadcast((bit_table(wanted, "hash"), sorted(short)))
 
     def run(batches):
         table, short = shared.value

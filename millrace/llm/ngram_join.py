@@ -3,10 +3,12 @@
 1. Sets.  Every text becomes the set of its distinct n-word shingles (64-bit hashes).
    Equal sets are one class; only its smallest doc_id goes on, copies stay members.
 2. Dealing.  Sets that can link must meet in a task.  With Jaccard >= t the sets differ in
-   at most (1 - t) / t * (smaller size) shingles.  The hash range is cut into one segment
-   more than that for the size band at hand, so linked sets agree in some whole segment:
-   each set is dealt by the hashes of its segments, exactly and for every size.  Sets
-   that share a segment, directly or over others, form a candidate group.
+   at most H = (1 - t) / t * (smaller size) shingles.  The hash range is cut into
+   H + ``SPARE`` segments for the size band at hand, so linked sets agree in at least
+   ``SPARE`` whole segments: each set is dealt by the hashes of its segments, exactly and
+   for every size.  Empty segments say nothing and are dealt only for a set that has
+   ``SPARE`` or more of them; else some agreeing segment is not empty.  Sets that share a
+   segment, directly or over others, form a candidate group.
 3. Trie join.  A group's sets are put in one global order (falling frequency) and stored
    in a prefix tree.  Each set walks the tree; sets below a node share the overlap found
    so far; a subtree is left when overlap plus what can still come - what is left of
@@ -34,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordCache, flatten, pick, slices, tuned, written
+from millrace.llm.common import WordCache, bit_table, flatten, in_table, pick, slices, tuned, written
 from millrace.llm.components import components
 from millrace.llm.subwords import BASE, mix
 
 GROUP = 3000
+#: Segments in which linked sets agree at least.
+SPARE = 3
 #: Sizes of a band differ by less than this factor.
 BAND = 1.5
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("segments", pa.list_(pa.int64()))])
@@ -100,13 +104,14 @@ class Bands:
     def schemes(self, n: int) -> list[tuple[int, int]]:
         """(band, segments) by which a set of n shingles is dealt: its own band's, and those
         of smaller bands in which a set can be that links with it."""
-        out, (band, end) = [], self.of(n)
+        out, (band, _) = [], self.of(n)
         least = -(-n * self.num // self.den)
         start = least
         while True:
             b, e = self.of(start)
-            # sets of b differ in at most (den - num) / num * size shingles from what they link with
-            out.append((b, (self.den - self.num) * (e - 1) // self.num + 1))
+            differ = (self.den - self.num) * (e - 1) // self.num
+            if differ:  # else sets of b link with equal sets alone
+                out.append((b, differ + SPARE))
             if b >= band:
                 return out
             start = e
@@ -126,8 +131,9 @@ def segments(found: np.ndarray, bands: Bands) -> np.ndarray:
     for band, m in bands.schemes(len(found)):
         cuts, place = _cuts(band, m)
         at = np.concatenate([[0], np.searchsorted(found, cuts), [len(found)]])
-        out.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ place))
-    return np.concatenate(out)
+        hashes, full = mix((sums[at[1:]] - sums[at[:-1]]) ^ place), at[1:] > at[:-1]
+        out.append(hashes if m - full.sum() >= SPARE else hashes[full])
+    return np.concatenate([np.zeros(0, np.uint64), *out])
 
 
 class Trie:
@@ -284,17 +290,21 @@ def _signed(df: DataFrame, n: int, bands: Bands) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, n long, key binary, segments array<long>")
 
 
-def _sets(df: DataFrame, n: int) -> DataFrame:
-    """(group, doc_id, n, found) of (group, doc_id, text): the sorted shingle hashes as bytes."""
+def _sets(texts: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
+    """(doc_id, n, found) of the texts whose id is in a bit table: the sorted shingle hashes as bytes."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
         cache = word_cache()
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            found = [x for a, b in slices([t or "" for t in texts]) for x in shingle_sets(texts[a:b], n, cache)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, found), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["group", "doc_id", "n", "found"])
+            ids = batch.column(0)
+            keep = in_table(shared.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(keep))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            found = [x for a, b in slices(texts) for x in shingle_sets(texts[a:b], n, cache)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "n", "found"])
 
-    return df.mapInArrow(run, "group long, doc_id long, n long, found binary")
+    return texts.mapInArrow(run, "doc_id long, n long, found binary")
 
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -342,8 +352,7 @@ def class_links(texts: DataFrame, groups: DataFrame, n: int, num: int, den: int,
     """Links (a, b) between classes of the candidate groups, by trie joins."""
     members = groups.select(F.col("component").alias("group"), F.col("node").alias("doc_id"))
     large = members.groupBy("group").count().where(F.col("count") > group_size).select("group", F.ceil(F.col("count") / group_size).cast("int").alias("k"))
-    placed = members.join(large, "group", "left").select("doc_id", "group", F.coalesce("k", F.lit(1)).alias("k"))
-    sets = _sets(texts.join(placed.select("doc_id", "group"), "doc_id").select("group", "doc_id", "text"), n)
+    sets = _sets(texts, n, bit_table(members, "doc_id")).join(members.hint("merge"), "doc_id")
     blocks = sets.join(large, "group", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
