@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 from pyarrow import fs as pafs
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a worker handles at once; longer single texts are handled alone.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -115,6 +116,14 @@ def by_group(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return sums[ends] - sums[ends - lengths]
 
 
+class _Numbers(dict):
+    """Numbers strings in the order in which they are first asked for."""
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
 class WordCache:
     """Arrays computed once per distinct string and looked up for whole lists of strings.
 
@@ -128,7 +137,7 @@ class WordCache:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Numbers()
         self.flat = np.zeros(1024, self.dtype)
         self.starts = np.zeros(1024, np.int64)
         self.lengths = np.zeros(1024, np.int64)
@@ -142,29 +151,34 @@ class WordCache:
             setattr(self, name, grown)
         return getattr(self, name)
 
-    def _add(self, words: list[str]) -> None:
+    def _add(self, n: int) -> None:
+        """Computes the arrays of the strings numbered from n on."""
+        words = list(islice(reversed(self.index), len(self.index) - n))[::-1]
         made = self.make(words)
         if isinstance(made, tuple):
             joined, lengths = made
         else:
             lengths = np.fromiter(map(len, made), np.int64, len(made))
             joined = np.concatenate(made) if made else np.zeros(0, self.dtype)
-        n, total = len(self.index), int(lengths.sum())
+        total = int(lengths.sum())
         self._room("flat", self.used + total)[self.used : self.used + total] = joined
         self._room("starts", n + len(words))[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
         self._room("lengths", n + len(words))[n : n + len(words)] = lengths
         self.used += total
-        self.index.update(zip(words, range(n, n + len(words))))
 
     def codes(self, words: list[str]) -> np.ndarray:
         """A code per word, valid until the next call."""
         if len(self.index) > self.limit:
             self.clear()
-        try:
-            return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self._add(list(set(words).difference(self.index)))
-            return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        n = len(self.index)
+        codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if len(self.index) > n:
+            try:
+                self._add(n)
+            except BaseException:
+                self.clear()  # numbers without arrays must not stay
+                raise
+        return codes
 
     def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The arrays of the codes one after the other, and their lengths."""

@@ -217,39 +217,47 @@ _JOINED = 500
 class _Chunks:
     """Ids of white-space-free chunks by the tokenizers library.
 
-    Chunks of letters with or without trailing punctuation, so of one or two pre-tokens, are
-    encoded many to a call, between spaces; the vocabulary marks the token that ends a
-    pre-token, so the ids split again there.  Where the marks do not match the chunks, and
-    for all other chunks, each chunk has an encoding of its own.
+    Chunks of letters with or without trailing punctuation are one or two pre-tokens, which
+    stand between spaces and are encoded many to a call.  Since these are normalised
+    already but for their case, a lighter form of the tokenizer does it, with the same
+    model.  The vocabulary marks the token that ends a pre-token, so the ids split again
+    there.  Where the marks do not match the chunks, and for all other chunks, each chunk
+    has an encoding of its own.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.light = Tokenizer.from_file(path)
+        self.light.encode_special_tokens = True
+        self.light.normalizer = normalizers.Lowercase()
+        self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _encode(self, words: list[str], light: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in (self.light if light else self.tokenizer).encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
 
     def make(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts = _PARTS.findall("\n".join(chunks) + "\n")
-        pre_tokens = np.fromiter((0 if rest or not _plain(word) else 2 if tail else 1 for word, tail, rest in parts), np.int64, len(chunks))
+        plain = [not rest and _plain(word) for word, _, rest in parts]
+        pre_tokens = np.fromiter((on and 1 + bool(tail) for on, (_, tail, _) in zip(plain, parts)), np.int64, len(chunks))
         order = np.argsort(pre_tokens == 0, kind="stable")
         chunks = [chunks[i] for i in order.tolist()]
         n = int((pre_tokens > 0).sum())
+        spaced = [f"{word} {tail}" for on, (word, tail, _) in zip(plain, parts) if on]
         pre_tokens, found = pre_tokens[order], []
         for i in range(0, n, _JOINED):
             some = slice(i, min(i + _JOINED, n))
-            ids, _ = self._encode([" ".join(chunks[some])])
+            ids, _ = self._encode([" ".join(spaced[some])], light=True)
             cuts, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(pre_tokens[some]) - 1
             if len(cuts) == last[-1] + 1 and cuts[-1] == len(ids):
                 found.append((ids, np.diff(cuts[last], prepend=0)))
