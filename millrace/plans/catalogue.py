@@ -1,6 +1,283 @@
-"""The registered queries and their DuckDB twins."""
+"""The registered queries: operators over the logical views."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.operators import cluster, graph, itemsets, recommend, relational, similarity, sketch
+from millrace.plans.oracle import ORACLE_SQL  # noqa: F401  (part of this module's interface)
+from millrace.plans.settings import (
+    BASKET_SUPPORT, EDGE_THRESHOLD, FM_DAYS, JACCARD, K_MEANS, KMEANS_ROUNDS, LSH_BANDS, LSH_JACCARD, PARTITIONS, SAMPLE_SIZE, STOPWORDS, SWAPPED_SUPPORT, USER_BANDS, YEAR,
+)
+from millrace.sources import views
+from millrace.streaming import windows
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(function: Query) -> Query:
+    QUERIES[function.__name__] = function
+    return function
+
+
+@query
+def category_avg(spark, d):
+    return relational.category_average(views.reviews(spark, d), views.businesses(spark, d), 20)
+
+
+@query
+def category_avg_inner(spark, d):
+    return relational.category_average(views.reviews(spark, d), views.businesses(spark, d), 20, how="inner")
+
+
+@query
+def category_avg_early(spark, d):
+    return relational.category_average_early(views.reviews(spark, d), views.businesses(spark, d), 20)
+
+
+@query
+def review_stats(spark, d):
+    return relational.summary(views.reviews(spark, d), YEAR)
+
+
+@query
+def count_by_year(spark, d):
+    return relational.count_by(views.reviews(spark, d), F.year("date").alias("year"))
+
+
+@query
+def top_users(spark, d):
+    return relational.top_k(views.reviews(spark, d), "user_id", 10)
+
+
+@query
+def top_words(spark, d):
+    return relational.top_words(views.table(spark, d, "documents"), STOPWORDS, 50)
+
+
+@query
+def count_over(spark, d):
+    return relational.count_over(views.table(spark, d, "orders"), "o_custkey", 15)
+
+
+@query
+def partition_stats(spark, d):
+    return relational.partition_stats(views.reviews(spark, d), "business_id", PARTITIONS)
+
+
+def _itemset_rows(sets: DataFrame) -> DataFrame:
+    return sets.select(F.size("items").alias("size"), F.array_join("items", ",").alias("items"), F.col("freq").cast("long").alias("freq"))
+
+
+@query
+def itemsets_brands(spark, d):
+    pairs = views.baskets(spark, d)
+    return _itemset_rows(itemsets.frequent_itemsets(pairs, BASKET_SUPPORT(pairs)))
+
+
+@query
+def itemsets_orders(spark, d):
+    return _itemset_rows(itemsets.frequent_itemsets(views.baskets(spark, d, swap=True), SWAPPED_SUPPORT))
+
+
+@query
+def son_itemsets(spark, d):
+    pairs = views.baskets(spark, d)
+    support = BASKET_SUPPORT(pairs)
+    return _itemset_rows(itemsets.count_itemsets(pairs, itemsets.son_candidates(pairs, support, PARTITIONS).select(F.array_sort("items").alias("items")), support))
+
+
+@query
+def jaccard_pairs(spark, d):
+    return similarity.jaccard_pairs(views.user_items(spark, d), "user", "item", JACCARD).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query
+def lsh_candidates(spark, d):
+    return similarity.lsh_candidates(views.user_items(spark, d), "item", "user", USER_BANDS)
+
+
+@query
+def lsh_pairs(spark, d):
+    return similarity.lsh_pairs(views.user_items(spark, d), "item", "user", LSH_BANDS, LSH_JACCARD).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query
+def item_pearson(spark, d):
+    return similarity.pearson_pairs(views.ratings(spark, d), "item", "user").select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query
+def user_pearson(spark, d):
+    return similarity.user_pearson(views.ratings(spark, d), USER_BANDS).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query
+def tfidf_profile(spark, d):
+    return recommend.tfidf_profile(views.texts(spark, d), STOPWORDS)
+
+
+@query
+def user_profile(spark, d):
+    texts = views.texts(spark, d)
+    return recommend.user_profile(texts, recommend.tfidf_profile(texts, STOPWORDS))
+
+
+@query
+def content_score(spark, d):
+    texts = views.texts(spark, d)
+    profile = recommend.tfidf_profile(texts, STOPWORDS)
+    users = recommend.user_profile(texts, profile)
+    tests = texts.where(F.col("doc_id") % 10 == 0)
+    return recommend.content_score(tests, users, profile).select("user", "business", F.round("score", 6).alias("score"))
+
+
+@query
+def item_cf_predict(spark, d):
+    train, tests = views.ratings(spark, d, test=False), views.ratings(spark, d, test=True)
+    model = similarity.pearson_pairs(train, "item", "user")
+    return recommend.predict_by_items(train, tests, model).select("user", "item", F.round("stars", 5).alias("stars"))
+
+
+@query
+def user_cf_predict(spark, d):
+    train, tests = views.ratings(spark, d, test=False), views.ratings(spark, d, test=True)
+    model = similarity.user_pearson(train, USER_BANDS)
+    return recommend.predict_by_users(train, tests, model).select("user", "item", F.round("stars", 5).alias("stars"))
+
+
+def _names(spark, d) -> DataFrame:
+    names = views.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return names.union(spark.createDataFrame([(-1, ""), (-2, "Zoë Müller"), (-3, "顧客"), (-4, None)], "id long, name string"))
+
+
+def _bits(spark, d) -> DataFrame:
+    return sketch.bloom_bits(views.table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_name").alias("name")))
+
+
+@query
+def bloom_bits(spark, d):
+    return _bits(spark, d)
+
+
+@query
+def bloom_probe(spark, d):
+    return sketch.bloom_probe(_names(spark, d), _bits(spark, d)).select("id", "present")
+
+
+def _days(spark, d) -> DataFrame:
+    return views.events(spark, d).where(F.dayofmonth("ts") <= FM_DAYS).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id")
+
+
+@query
+def fm_reference(spark, d):
+    return sketch.fm_estimate(_days(spark, d), "user_id", "day").select("day", "n_distinct", F.round("estimate", 6).alias("estimate"))
+
+
+@query
+def fm_standard(spark, d):
+    return sketch.fm_estimate(_days(spark, d), "user_id", "day", form="power").select("day", "n_distinct", F.round("estimate", 6).alias("estimate"))
+
+
+@query
+def hll_distinct(spark, d):
+    return _days(spark, d).groupBy("day").agg(F.approx_count_distinct("user_id", 0.02).alias("estimate"))
+
+
+@query
+def reservoir_sample(spark, d):
+    return sketch.reservoir(views.table(spark, d, "events").select("event_id", "event_type"), "event_id", SAMPLE_SIZE)
+
+
+@query
+def top_frequencies(spark, d):
+    tags = views.table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("tag")).where(F.col("tag").rlike("^[A-Za-z]+$"))
+    return sketch.top_frequencies(tags, "tag", 3)
+
+
+@query
+def sliding_distinct(spark, d):
+    found = windows.sliding_distinct(views.events(spark, d), "user_id", "1 hour", "20 minutes")
+    return found.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n")
+
+
+@query
+def sliding_fm(spark, d):
+    found = windows.sliding_fm(views.events(spark, d), "event_type", "1 hour", "20 minutes")
+    return found.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n_distinct", F.round("estimate", 6).alias("estimate"))
+
+
+@query
+def kmeans(spark, d):
+    return cluster.kmeans(views.points(spark, d), K_MEANS, KMEANS_ROUNDS).select("id", "cluster", F.round("distance", 6).alias("distance"))
+
+
+@query
+def kmeans_assign(spark, d):
+    points = views.points(spark, d)
+    return cluster.assign(points, cluster.first_points(points, K_MEANS)).select("id", "cluster", F.round("distance", 6).alias("distance"))
+
+
+@query
+def cluster_stats(spark, d):
+    labelled = views.table(spark, d, "embeddings").select(F.col("label").alias("cluster"), F.col("embedding").cast("array<double>").alias("features"))
+    flat = cluster.cluster_stats(labelled).select("cluster", "n", F.posexplode(F.arrays_zip("sums", "squares")).alias("pos", "v"))
+    return flat.select("cluster", "n", "pos", F.round("v.sums", 5).alias("total"), F.round("v.squares", 5).alias("squares"))
+
+
+@query
+def bfr(spark, d):
+    points = views.points(spark, d)
+    rounds = [points.where(F.col("id") % 5 == k) for k in range(5)]
+    return cluster.bfr(rounds, K_MEANS, 64)[0]
+
+
+def _graph(spark, d) -> DataFrame:
+    members = views.user_items(spark, d)
+    return graph.cooccurrence_edges(members, "user", "item", EDGE_THRESHOLD)
+
+
+@query
+def copurchase_edges(spark, d):
+    return _graph(spark, d)
+
+
+@query
+def jaccard_edges(spark, d):
+    return graph.jaccard_edges(views.user_items(spark, d), "user", "item", JACCARD)
+
+
+@query
+def graph_degrees(spark, d):
+    return graph.degrees(_graph(spark, d))
+
+
+@query
+def label_propagation(spark, d):
+    return graph.label_propagation(_graph(spark, d), 5)
+
+
+@query
+def connected_components(spark, d):
+    return graph.connected_components(_graph(spark, d))
+
+
+@query
+def edge_betweenness(spark, d):
+    return graph.edge_betweenness(_graph(spark, d)).select("a", "b", F.round("betweenness", 6).alias("betweenness"))
+
+
+@query
+def modularity(spark, d):
+    edges = _graph(spark, d)
+    groups = graph.connected_components(edges).select("node", F.col("component").alias("community"))
+    return graph.modularity(edges, groups).select(F.round("modularity", 6).alias("modularity"))
+
+
+@query
+def girvan_newman(spark, d):
+    return graph.girvan_newman(_graph(spark, d))
