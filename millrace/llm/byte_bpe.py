@@ -20,8 +20,6 @@ doc_ids keep one result a row; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
-import struct
-import uuid
 import zlib
 from functools import lru_cache
 
@@ -32,34 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import filesystem, fresh_path, pick, ragged_take, tuned, written
+from millrace.llm.packing import expand, pack, read_sections, squeeze, unpack, write_sections
 
 BLOCK_CHARS = 6_000_000
 WORDS = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("words", pa.binary())])
 IDS = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("ids", pa.binary())])
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit integers, compressed one byte plane after the other."""
-    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.compress(planes.tobytes(), 1)
-
-
-def expand(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
-
-
-def pack(lengths: np.ndarray, body: bytes) -> bytes:
-    """Lengths and a squeezed or plain body in one binary value."""
-    head = squeeze(lengths)
-    return struct.pack("<I", len(head)) + head + body
-
-
-def unpack(data: bytes) -> tuple[np.ndarray, bytes]:
-    (n,) = struct.unpack_from("<I", data)
-    return expand(data[4 : 4 + n]), data[4 + n :]
-
-
 def pack_words(words: list[bytes]) -> bytes:
     return pack(np.fromiter(map(len, words), np.uint32, len(words)), zstandard.compress(b"".join(words), 1))
 
@@ -132,10 +109,7 @@ class Block:
             squeeze(np.fromiter(map(len, self.codes), np.uint32, len(self.codes))),
             squeeze(np.concatenate(self.codes)),
         ]
-        name = f"{path}/{uuid.uuid4().hex}.codes"
-        store, local = filesystem(name)
-        with store.open_output_stream(local) as f:
-            f.write(struct.pack("<5Q", *map(len, sections)) + b"".join(sections))
+        name = write_sections(path, sections, "codes")
         cuts = np.concatenate([np.searchsorted(bucket[order], np.arange(n_buckets)), [len(order)]]).tolist()
         rows = [(k, [words[i] for i in order[a:b].tolist()]) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
         rows = rows or [(0, [])]
@@ -144,11 +118,7 @@ class Block:
 
 def read_block(name: str) -> tuple[np.ndarray, list[int | None], np.ndarray, np.ndarray]:
     """Word order, doc ids, pre-tokens a document and the numbers of a written block."""
-    store, local = filesystem(name)
-    with store.open_input_stream(local) as f:
-        data = f.read()
-    ends = 40 + np.cumsum(struct.unpack_from("<5Q", data))
-    a, b, c, d, e = (data[x:y] for x, y in zip([40, *ends.tolist()], ends.tolist()))
+    a, b, c, d, e = read_sections(name)
     doc_ids = [None if null else i for i, null in zip(np.frombuffer(b, "<i8").tolist(), c)]
     return expand(a), doc_ids, expand(d), expand(e)
 

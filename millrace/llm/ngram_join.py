@@ -1,51 +1,50 @@
 """N-gram Jaccard join by prefix trees, and the near-duplicate groups that it gives.
 
-1. Sets.  Every text becomes the set of its distinct n-word shingles (64-bit hashes).
-   Equal sets are one class; only its smallest doc_id goes on, copies stay members.
-2. Dealing.  Sets that can link must meet in a task.  With Jaccard >= t the sets differ in
-   at most H = (1 - t) / t * (smaller size) shingles.  The hash range is cut into
-   H + ``SPARE`` segments for the size band at hand, so linked sets agree in at least
-   ``SPARE`` whole segments: each set is dealt by the hashes of its segments, exactly and
-   for every size.  Empty segments say nothing and are dealt only for a set that has
-   ``SPARE`` or more of them; else some agreeing segment is not empty.  Sets that share a
-   segment, directly or over others, form a candidate group.
-3. Trie join.  A group's sets are put in one global order (falling frequency) and stored
-   in a prefix tree.  Each set walks the tree; sets below a node share the overlap found
-   so far; a subtree is left when overlap plus what can still come - what is left of
-   the set, or of the subtree's longest set - is below the least overlap that its
-   smallest set needs.
-4. Components of the links; members take the component of their class.
-
-Groups beyond ``GROUP`` sets are cut into blocks by size, and every pair of blocks whose
-sizes can link is a task, so no task holds a large group.  Since the result is
-components, a walk passes over subtrees whose sets are all linked to it already; copies
-and links inside a component are never expanded to all pairs, and no link between
-components is lost.
+1. Sets.  Every text becomes the set of its distinct n-word shingles (hashes).  Equal sets
+   are one class; only its smallest doc_id is joined, copies stay members.  Sets are kept
+   in block files in the shared folder, so texts are gone through once.
+2. Global order.  All shingles are counted over all documents - blocks send their distinct
+   shingles, packed by hash range, so no shingle is a hot key - and ordered by rising
+   frequency, then hash.
+3. Dealing.  With Jaccard >= t, sets that link share one of the first n - ceil(t n) + 1
+   shingles of each in that order.  Shingles that no other document has come first; a
+   set with that many of them links with nothing.  The others are dealt by what is left
+   of that prefix.  Sets that share a prefix shingle, directly or over others, form a
+   candidate group.
+4. Trie join.  A group's sets are stored in a prefix tree in one order (falling frequency
+   in the group, which shares the longest paths).  Each set walks the tree; sets below a
+   node share the overlap found so far; a subtree is left when overlap plus what can
+   still come - what is left of the set, or of the subtree's longest set - is below the
+   least overlap that its smallest set needs.
+5. Components of the links; members take the component of their class.
+
+Groups beyond ``GROUP`` sets are cut into blocks, and every pair of blocks is a task, so no
+task holds a large group.  Since the result is components, a walk passes over subtrees
+whose sets are all linked to it already; copies and links inside a component are never
+expanded to all pairs, and no link between components is lost.
 
 Edge cases: null, empty and word-less texts have no shingles and link with nothing;
-texts of fewer than n words are one shingle; repeated doc_ids are one document of their
-texts' largest set; an empty table gives an empty result.
+texts of fewer than n words are one shingle; rows with the same doc_id are taken as one
+document, a row each stays; rows with a null doc_id link with nothing of their own; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordCache, bit_table, flatten, in_table, pick, slices, tuned, written
+from millrace.llm.common import WordCache, bit_table, filesystem, flatten, fresh_path, in_table, pick, slices, tuned, written
 from millrace.llm.components import components
+from millrace.llm.packing import expand, expand48, pack, read_sections, squeeze, squeeze48, unpack, write_sections
 from millrace.llm.subwords import BASE, mix
 
 GROUP = 3000
-#: Segments in which linked sets agree at least.
-SPARE = 3
-#: Sizes of a band differ by less than this factor.
-BAND = 1.5
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("segments", pa.list_(pa.int64()))])
+BLOCK_CHARS = 8_000_000
+#: Bits of a shingle's hash.
+HASH = 48
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -76,66 +75,17 @@ def shingle_sets(texts: list[str | None], n: int, cache: WordCache) -> list[np.n
     for count in counts.tolist():
         start, end = end, end + count
         if count >= n:
-            out.append(np.unique(joined[start : end - n + 1]))
+            out.append(np.unique(joined[start : end - n + 1] >> np.uint64(64 - HASH)))
         elif count:
             h = np.zeros(1, np.uint64)
             for x in ids[start:end]:
                 h = h * BASE + x
-            out.append(mix(h ^ np.uint64(count)))
+            out.append(mix(h ^ np.uint64(count)) >> np.uint64(64 - HASH))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
 
 
-class Bands:
-    """Size bands and the number of segments that makes linked sets agree in one of them."""
-
-    def __init__(self, num: int, den: int):
-        """Sets link when den * intersection >= num * union."""
-        self.num, self.den = num, den
-
-    def of(self, n: int) -> tuple[int, int]:
-        """The band's number and the first size beyond it."""
-        band, end = 0, 2
-        while n >= end:
-            band, end = band + 1, max(end + 1, int(end * BAND))
-        return band, end
-
-    def schemes(self, n: int) -> list[tuple[int, int]]:
-        """(band, segments) by which a set of n shingles is dealt: its own band's, and those
-        of smaller bands in which a set can be that links with it."""
-        out, (band, _) = [], self.of(n)
-        least = -(-n * self.num // self.den)
-        start = least
-        while True:
-            b, e = self.of(start)
-            differ = (self.den - self.num) * (e - 1) // self.num
-            if differ:  # else sets of b link with equal sets alone
-                out.append((b, differ + SPARE))
-            if b >= band:
-                return out
-            start = e
-
-
-@lru_cache(maxsize=4096)
-def _cuts(band: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first hash of each segment but the first, and a hash of each segment's place."""
-    place = mix((np.uint64(band) << np.uint64(32)) + np.arange(m, dtype=np.uint64) + np.uint64(1))
-    return np.array([k * (1 << 64) // m for k in range(1, m)], np.uint64), place
-
-
-def segments(found: np.ndarray, bands: Bands) -> np.ndarray:
-    """The hashes of a sorted set's segments under each of its schemes."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(found), dtype=np.uint64)])
-    out = []
-    for band, m in bands.schemes(len(found)):
-        cuts, place = _cuts(band, m)
-        at = np.concatenate([[0], np.searchsorted(found, cuts), [len(found)]])
-        hashes, full = mix((sums[at[1:]] - sums[at[:-1]]) ^ place), at[1:] > at[:-1]
-        out.append(hashes if m - full.sum() >= SPARE else hashes[full])
-    return np.concatenate([np.zeros(0, np.uint64), *out])
-
-
 class Trie:
     """Prefix tree of sets of ordered small integers; one node per run without branches."""
 
@@ -267,44 +217,131 @@ def _unify(trie: Trie, find) -> None:
                     trie.uniform[node] = some[0]
 
 
-def _signed(df: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """(doc_id, n, key, segments): size, a hash of the whole set and the segments' hashes."""
+HASHES = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("hashes", pa.binary())])
+KEYS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary())])
+TOKENS = pa.schema([("doc_id", pa.int64()), ("token", pa.int64())])
 
-    def run(batches):
+
+class Block:
+    """Sets of documents that are written together."""
+
+    def __init__(self) -> None:
+        self.ids: list[int | None] = []
+        self.sets: list[np.ndarray] = []
+        self.chars = 0
+
+    def write(self, folder: str, n_buckets: int) -> pa.RecordBatch:
+        """Writes the sets to a file; returns its distinct hashes and their documents, a row a hash range."""
         import xxhash
 
-        cache = word_cache()
+        flat = np.concatenate([np.zeros(0, np.uint64), *self.sets])
+        sections = [
+            np.array([i or 0 for i in self.ids], "<i8").tobytes(), np.array([i is None for i in self.ids], np.uint8).tobytes(),
+            squeeze(np.fromiter(map(len, self.sets), np.uint32, len(self.sets))), b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in self.sets), squeeze48(flat),
+        ]
+        name = write_sections(folder, sections, "sets")
+        hashes, counts = np.unique(flat, return_counts=True)
+        cuts = np.searchsorted(hashes, np.array([(k << HASH) // n_buckets for k in range(n_buckets + 1)], np.uint64)).tolist()
+        rows = [(k, pack(counts[a:b], squeeze48(hashes[a:b]))) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a or not k]
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], schema=HASHES)
+
+
+def read_block(name: str) -> tuple[list[int | None], np.ndarray, list[bytes], np.ndarray]:
+    """Document ids, sizes, set keys and joined sets of a block file."""
+    ids, null, sizes, keys, flat = read_sections(name)
+    ids = [None if no else i for i, no in zip(np.frombuffer(ids, "<i8").tolist(), null)]
+    return ids, expand(sizes).astype(np.int64), [keys[i : i + 16] for i in range(0, len(keys), 16)], expand48(flat)
+
+
+def shingle_counts(texts: DataFrame, n: int) -> DataFrame:
+    """(block, bucket, hashes): per block its shingles that more than one document has, with
+    how many have them; every block has a row.  Writes the block files on the way."""
+    n_buckets = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    folder = fresh_path(texts.sparkSession, "sets")
+    store, local = filesystem(folder)
+    store.create_dir(local)
+
+    def sign(batches):
+        cache, block = word_cache(), Block()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            sizes, keys, parts = [], [], []
+            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
-                for found in shingle_sets(texts[a:b], n, cache):
-                    sizes.append(len(found))
-                    keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                    parts.append(segments(found, bands).view(np.int64) if len(found) else np.zeros(0, np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int64), *parts])
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], schema=SIGNED)
-
-    return df.mapInArrow(run, "doc_id long, n long, key binary, segments array<long>")
-
+                if block.chars > BLOCK_CHARS:
+                    yield block.write(folder, n_buckets)
+                    block = Block()
+                block.sets += shingle_sets(texts[a:b], n, cache)
+                block.ids += ids[a:b]
+                block.chars += sum(map(len, texts[a:b]))
+        if block.ids:
+            yield block.write(folder, n_buckets)
+
+    def count(table: pa.Table) -> pa.Table:
+        counts, hashes = zip(*((c, expand48(h)) for c, h in map(unpack, table.column("hashes").to_pylist())))
+        _, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(place, np.concatenate(counts)).astype(np.int64)[place] if len(place) else place
+        out = []
+        for own, df in zip(hashes, np.split(total, np.cumsum([len(h) for h in hashes])[:-1])):
+            more = df > 1
+            out.append(pack(df[more], squeeze48(own[more])))
+        return pa.Table.from_arrays([table.column("block"), table.column("bucket"), pa.array(out, pa.binary())], schema=HASHES)
+
+    sent = texts.mapInArrow(sign, "block string, bucket int, hashes binary")
+    return written(sent.groupBy("bucket").applyInArrow(count, "block string, bucket int, hashes binary"), "shingle-counts")
+
+
+def set_keys(blocks: DataFrame) -> DataFrame:
+    """(doc_id, n, key) of all documents: size and a hash of the whole set, null where it is empty."""
 
-def _sets(texts: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
-    """(doc_id, n, found) of the texts whose id is in a bit table: the sorted shingle hashes as bytes."""
-    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+    def run(batches):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                ids, sizes, keys, _ = read_block(name)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([k if n else None for k, n in zip(keys, sizes)], pa.binary())], schema=KEYS)
+
+    return blocks.mapInArrow(run, "doc_id long, n long, key binary")
+
+
+def prefix_tokens(counts: DataFrame, num: int, den: int) -> DataFrame:
+    """(doc_id, token): what is left of each set's prefix after the shingles that no other document has."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, sizes, _, flat = read_block(table.column("block")[0].as_py())
+        parts = [(c, expand48(h)) for c, h in map(unpack, table.sort_by("bucket").column("hashes").to_pylist())]
+        known, df = np.concatenate([h for _, h in parts]), np.concatenate([c for c, _ in parts])
+        at = np.searchsorted(known, flat)
+        shared = np.zeros(len(flat), bool)
+        inside = at < len(known)
+        shared[inside] = known[at[inside]] == flat[inside]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        left = (sizes - -(-sizes * num // den) + 1) - (sizes - np.bincount(owner[shared], minlength=len(sizes)))
+        use = np.flatnonzero(shared & (left > 0)[owner])
+        order = use[np.lexsort((flat[use], df[at[use]], owner[use]))]
+        own = owner[order]
+        counts = np.bincount(own, minlength=len(sizes))
+        rank = np.arange(len(order)) - (np.cumsum(counts) - counts)[own]
+        kept = order[rank < left[own]]
+        docs = np.array([i if i is not None else 0 for i in ids], np.int64)[owner[kept]]
+        valid = np.array([i is not None for i in ids], bool)[owner[kept]]
+        return pa.Table.from_arrays([pa.array(docs[valid]), pa.array(flat[kept][valid].astype(np.int64))], schema=TOKENS)
+
+    return counts.groupBy("block").applyInArrow(run, "doc_id long, token long")
+
+
+def _sets(blocks: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(doc_id, n, found) of the documents whose id is in a bit table: their sets as bytes."""
+    shared = blocks.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
-        cache = word_cache()
         for batch in batches:
-            ids = batch.column(0)
-            keep = in_table(shared.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(keep))
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            found = [x for a, b in slices(texts) for x in shingle_sets(texts[a:b], n, cache)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "n", "found"])
+            for name in batch.column(0).to_pylist():
+                ids, sizes, _, flat = read_block(name)
+                valid = np.array([i is not None for i in ids], bool)
+                keep = np.flatnonzero(valid & in_table(shared.value, np.array([i or 0 for i in ids], np.int64)))
+                ends = np.cumsum(sizes)
+                found = [flat[ends[i] - sizes[i] : ends[i]].tobytes() for i in keep.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep.tolist()], pa.int64()), pa.array(sizes[keep], pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n", "found"])
 
-    return texts.mapInArrow(run, "doc_id long, n long, found binary")
+    return blocks.mapInArrow(run, "doc_id long, n long, found binary")
 
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -339,20 +376,19 @@ def _task_links(tasks: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def candidate_groups(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, component): classes that share segments, directly or over others."""
-    ones = signed.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi")
-    dealt = ones.select("doc_id", F.explode("segments").alias("segment"))
-    first = F.min("doc_id").over(Window.partitionBy("segment"))
-    met = dealt.select("doc_id", first.alias("first")).where("first <> doc_id").distinct()
+def candidate_groups(tokens: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, component): classes that share prefix tokens, directly or over others."""
+    ones = tokens.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    first = F.min("doc_id").over(Window.partitionBy("token"))
+    met = ones.select("doc_id", first.alias("first")).where("first <> doc_id").distinct()
     return written(components(met, "first", "doc_id"), "groups")
 
 
-def class_links(texts: DataFrame, groups: DataFrame, n: int, num: int, den: int, group_size: int = GROUP) -> DataFrame:
+def class_links(blocks: DataFrame, groups: DataFrame, num: int, den: int, group_size: int = GROUP) -> DataFrame:
     """Links (a, b) between classes of the candidate groups, by trie joins."""
     members = groups.select(F.col("component").alias("group"), F.col("node").alias("doc_id"))
     large = members.groupBy("group").count().where(F.col("count") > group_size).select("group", F.ceil(F.col("count") / group_size).cast("int").alias("k"))
-    sets = _sets(texts, n, bit_table(members, "doc_id")).join(members.hint("merge"), "doc_id")
+    sets = _sets(blocks, bit_table(members, "doc_id")).join(members.hint("merge"), "doc_id")
     blocks = sets.join(large, "group", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
@@ -368,10 +404,13 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_c
     reachable by links.
     """
     texts = pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    signed = written(_signed(texts, n, Bands(num, den)), "signed")
+    counts = shingle_counts(texts, n)
+    blocks = written(counts.select("block").distinct(), "blocks")
+    blocks = blocks.repartition(max(1, blocks.count()), "block")
+    signed = written(set_keys(blocks), "set-keys")
     classes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    groups = candidate_groups(signed, classes)
-    ends = components(class_links(texts, groups, n, num, den))
+    groups = candidate_groups(prefix_tokens(counts, num, den), classes)
+    ends = components(class_links(blocks, groups, num, den))
     ends = ends.select(F.col("node").alias("rep"), "component")
     named = classes.join(ends, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n", "key").join(named, "key", "left")
