@@ -51,7 +51,7 @@ def unpack_words(data: bytes) -> list[bytes]:
 def ranks(path: str) -> dict[bytes, int]:
     """The merge ranks of a vocabulary file: base64 token and rank a line."""
     store, local = filesystem(path)
-    with store.open_input_stream(local) as f:
+    with store.open_input_stream(local, compression=None) as f:
         pairs = (line.split() for line in f.read().splitlines() if line)
         return {base64.b64decode(a): int(b) for a, b in pairs}
 
@@ -83,7 +83,8 @@ def decode_ids(ids: np.ndarray, path: str) -> bytes:
 class Block:
     """Documents whose pre-tokens are numbered together."""
 
-    def __init__(self) -> None:
+    def __init__(self, number_in_task: int = 0) -> None:
+        self.number_in_task = number_in_task
         self.number: dict[str, int] = {}
         self.doc_ids: list[int | None] = []
         self.codes: list[np.ndarray] = []
@@ -109,7 +110,7 @@ class Block:
             squeeze(np.fromiter(map(len, self.codes), np.uint32, len(self.codes))),
             squeeze(np.concatenate(self.codes)),
         ]
-        name = write_sections(path, sections, "codes")
+        name = write_sections(path, sections, "codes", self.number_in_task)
         cuts = np.concatenate([np.searchsorted(bucket[order], np.arange(n_buckets)), [len(order)]]).tolist()
         rows = [(k, [words[i] for i in order[a:b].tolist()]) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
         rows = rows or [(0, [])]
@@ -138,7 +139,7 @@ def pre_tokenise(df: DataFrame, pattern: str, n_buckets: int, id_col: str = "doc
                 text = text or ""
                 if block.chars and block.chars + len(text) > block_chars:
                     yield block.write(path, n_buckets)
-                    block = Block()
+                    block = Block(block.number_in_task + 1)
                 block.add(doc_id, split(text), len(text))
         if block.doc_ids:
             yield block.write(path, n_buckets)

@@ -225,7 +225,8 @@ TOKENS = pa.schema([("doc_id", pa.int64()), ("token", pa.int64())])
 class Block:
     """Sets of documents that are written together."""
 
-    def __init__(self) -> None:
+    def __init__(self, number: int = 0) -> None:
+        self.number = number
         self.ids: list[int | None] = []
         self.sets: list[np.ndarray] = []
         self.chars = 0
@@ -239,7 +240,7 @@ class Block:
             np.array([i or 0 for i in self.ids], "<i8").tobytes(), np.array([i is None for i in self.ids], np.uint8).tobytes(),
             squeeze(np.fromiter(map(len, self.sets), np.uint32, len(self.sets))), b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in self.sets), squeeze48(flat),
         ]
-        name = write_sections(folder, sections, "sets")
+        name = write_sections(folder, sections, "sets", self.number)
         hashes, counts = np.unique(flat, return_counts=True)
         cuts = np.searchsorted(hashes, np.array([(k << HASH) // n_buckets for k in range(n_buckets + 1)], np.uint64)).tolist()
         rows = [(k, pack(counts[a:b], squeeze48(hashes[a:b]))) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a or not k]
@@ -268,7 +269,7 @@ def shingle_counts(texts: DataFrame, n: int) -> DataFrame:
             for a, b in slices(texts):
                 if block.chars > BLOCK_CHARS:
                     yield block.write(folder, n_buckets)
-                    block = Block()
+                    block = Block(block.number + 1)
                 block.sets += shingle_sets(texts[a:b], n, cache)
                 block.ids += ids[a:b]
                 block.chars += sum(map(len, texts[a:b]))

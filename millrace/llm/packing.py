@@ -45,25 +45,28 @@ def expand48(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def write_sections(folder: str, sections: list[bytes], suffix: str) -> str:
-    """Writes sections to a file named by their content; returns its path.
+def write_sections(folder: str, sections: list[bytes], suffix: str, number: int) -> str:
+    """Writes sections to a file; returns its path.
 
-    A task that is run again writes the same file again, so whoever read the name from
-    either attempt finds the same bytes.
+    The name comes from the task's partition, the number of the file in it and the
+    content.  A task that is run again writes the same files again, so whoever read a
+    name from either attempt finds the same bytes; equal blocks have files of their own.
     """
     import xxhash
+    from pyspark import TaskContext
 
     body = struct.pack(f"<Q{len(sections)}Q", len(sections), *map(len, sections)) + b"".join(sections)
-    name = f"{folder}/{xxhash.xxh3_128_hexdigest(body)}.{suffix}"
+    task = TaskContext.get()
+    name = f"{folder}/{task.partitionId() if task else 0:06d}-{number:06d}-{xxhash.xxh3_128_hexdigest(body)}.{suffix}"
     store, local = filesystem(name)
-    with store.open_output_stream(local) as f:
+    with store.open_output_stream(local, compression=None) as f:
         f.write(body)
     return name
 
 
 def read_sections(name: str) -> list[bytes]:
     store, local = filesystem(name)
-    with store.open_input_stream(local) as f:
+    with store.open_input_stream(local, compression=None) as f:
         data = f.read()
     (n,) = struct.unpack_from("<Q", data)
     ends = 8 * (n + 1) + np.cumsum((0, *struct.unpack_from(f"<{n}Q", data, 8)), dtype=np.int64)

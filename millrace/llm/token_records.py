@@ -313,7 +313,7 @@ def write_records(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
-                out = out or store.open_output_stream(local)
+                out = out or store.open_output_stream(local, compression=None)
                 encoded = [np.append(x, np.uint32(end_id)) for x in encode_texts(texts[a:b], tokenizer_path)]
                 payloads = [pack(i, x) for i, x in zip(ids[a:b], encoded)]
                 for i, x, payload, record in zip(ids[a:b], encoded, payloads, frame(payloads)):
@@ -324,7 +324,7 @@ def write_records(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
             return
         out.close()
         store, local = filesystem(index)
-        with store.open_output_stream(local) as f:
+        with store.open_output_stream(local, compression=None) as f:
             f.write(np.array(entries, INDEX).tobytes())
         yield pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "index": index, "n_docs": len(entries), "n_tokens": tokens, "n_bytes": offset}], ARROW_MANIFEST)
 
@@ -349,7 +349,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 store, local = filesystem(row["shard"])
                 start, rows, held = row["base"], [], 0
-                with store.open_input_stream(local, buffer_size=1 << 20) as f:
+                with store.open_input_stream(local, compression=None, buffer_size=1 << 20) as f:
                     for payload in unframe(f):
                         doc_id, ids = unpack(payload)
                         data = ids.astype("<u4").tobytes()

@@ -109,14 +109,14 @@ def normalise(source: str, target: str, index: str) -> int:
     """Rewrites an archive with a gzip member a record, and its index; returns the number of records."""
     (a, ap), (b, bp), (c, cp) = filesystem(source), filesystem(target), filesystem(index)
     entries, offset = [], 0
-    with a.open_input_stream(ap) as f, b.open_output_stream(bp) as out:
+    with a.open_input_stream(ap, compression=None) as f, b.open_output_stream(bp, compression=None) as out:
         for headers, _, raw in records(io.BufferedReader(_Inflate(f), _READ)):
             z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
             member = z.compress(raw) + z.flush()
             out.write(member)
             entries.append((offset, len(member), headers["warc-type"] == "revisit", _page(headers["warc-record-id"])))
             offset += len(member)
-    with c.open_output_stream(cp) as f:
+    with c.open_output_stream(cp, compression=None) as f:
         f.write(np.array(entries, INDEX).tobytes())
     return len(entries)
 
@@ -171,7 +171,7 @@ def write_warc(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     archive = f"{path}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
                     store, local = filesystem(archive)
                     store.create_dir(local.rpartition("/")[0])
-                    out, z = store.open_output_stream(local), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                    out, z = store.open_output_stream(local, compression=None), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 payload = (html or "").encode()
                 out.write(z.compress(record(page_id, url, payload, digest(payload), first)))
         if out is not None:
@@ -204,10 +204,10 @@ def read_warc(archives: DataFrame, payloads: bool = False) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 store, local = filesystem(row["index"])
-                with store.open_input_stream(local) as f:
+                with store.open_input_stream(local, compression=None) as f:
                     entries = np.frombuffer(f.read(), INDEX)
                 store, local = filesystem(row["archive"])
-                with store.open_input_stream(local, buffer_size=_READ) as f:
+                with store.open_input_stream(local, compression=None, buffer_size=_READ) as f:
                     rows, held = [], 0
                     for length in entries["length"].tolist():
                         rows.append(read_member(f.read(length)))
@@ -225,7 +225,7 @@ def read_warc(archives: DataFrame, payloads: bool = False) -> DataFrame:
 def read_one(archive: str, index: str, page_id: int) -> dict | None:
     """One page's record, by its index entry and without reading the others."""
     store, local = filesystem(index)
-    with store.open_input_stream(local) as f:
+    with store.open_input_stream(local, compression=None) as f:
         entries = np.frombuffer(f.read(), INDEX)
     for k in np.flatnonzero(entries["page_id"] == page_id)[:1]:
         store, local = filesystem(archive)
