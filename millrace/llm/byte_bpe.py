@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import filesystem, fresh_path, pick, ragged_take, tuned, written
+from millrace.llm.common import filesystem, fresh_path, pick, ragged_take, tidy, tidy_group, tuned, written
 from millrace.llm.packing import expand, pack, read_sections, squeeze, unpack, write_sections
 
 BLOCK_CHARS = 6_000_000
@@ -145,7 +145,7 @@ def pre_tokenise(df: DataFrame, pattern: str, n_buckets: int, id_col: str = "doc
             yield block.write(path, n_buckets)
 
     rows = pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    return written(rows.mapInArrow(run, "block string, bucket int, words binary"), "bpe-words")
+    return written(rows.mapInArrow(tidy(run), "block string, bucket int, words binary"), "bpe-words")
 
 
 def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -164,11 +164,14 @@ def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
             out.append(pack(np.fromiter(map(len, ids), np.uint32, len(ids)), squeeze(flat)))
         return pa.Table.from_arrays([table.column("block"), table.column("bucket"), pa.array(out, pa.binary())], schema=IDS)
 
-    return words.groupBy("bucket").applyInArrow(run, "block string, bucket int, ids binary")
+    return words.groupBy("bucket").applyInArrow(tidy_group(run), "block string, bucket int, ids binary")
 
 
-def reassemble(ids: DataFrame) -> DataFrame:
-    """(doc_id, ids) of every document: its block's sequence with the words' ids put in."""
+def reassemble(ids: DataFrame, decode_path: str | None = None) -> DataFrame:
+    """(doc_id, ids) of every document: its block's sequence with the words' ids put in.
+
+    With the path of a vocabulary also what the ids decode to, by its token-byte table.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         order, doc_ids, counts, numbers = read_block(table.column("block")[0].as_py())
@@ -182,19 +185,25 @@ def reassemble(ids: DataFrame) -> DataFrame:
         for a, b in zip([0, *ends], ends):
             c = numbers[a:b]
             out.append(flat[ragged_take(starts[c], lengths[c])].astype("<u4").tobytes())
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
+        columns = {"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.binary())}
+        if decode_path:
+            columns["decoded"] = pa.array([decode_ids(np.frombuffer(x, "<u4"), decode_path) for x in out], pa.binary())
+        return pa.table(columns)
 
-    return ids.groupBy("block").applyInArrow(run, "doc_id long, ids binary")
+    return ids.groupBy("block").applyInArrow(tidy_group(run), "doc_id long, ids binary" + (", decoded binary" if decode_path else ""))
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(doc_id, ids) for every row, ids as little-endian unsigned 32-bit integers.
 
+    With ``decoded`` also the bytes that the ids decode to, so that decoding needs no
+    second pass of them through a worker.
+
     There are as many hash buckets as shuffle partitions, so they grow with the cluster's setting.
     """
     n_buckets = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     words = pre_tokenise(df, pattern, n_buckets, id_col, text_col)
-    return reassemble(encode_words(words, path, pattern))
+    return reassemble(encode_words(words, path, pattern), path if decoded else None)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -207,7 +216,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...]
             out = [None if x is None else decode_ids(np.frombuffer(x, "<u4"), path) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*keep, "ids", "decoded"])
 
-    return source.mapInArrow(run, f"{kept}, ids binary, decoded binary")
+    return source.mapInArrow(tidy(run), f"{kept}, ids binary, decoded binary")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +224,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    done = decode(encode(docs, path, public_tokenizers.PATTERN), path)
+    done = encode(docs, path, public_tokenizers.PATTERN, decoded=True)
     return done.select(
         "doc_id",
         F.floor(F.length("ids") / 4).alias("n_tokens"),

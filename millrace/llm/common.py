@@ -3,12 +3,14 @@ column picking and a bounded cache of per-word results."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +63,39 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
 
+def _release() -> None:
+    """Gives memory that a finished task no longer needs back to the machine; workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over batches that leaves no memory behind in its worker."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return tidied
+
+
+def tidy_group(run: Callable) -> Callable:
+    """The same for a function over the table of a group."""
+
+    def tidied(table):
+        try:
+            return run(table)
+        finally:
+            _release()
+
+    return tidied
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names; other columns cannot clash."""
     return df.select(*[F.col("`" + old.replace("`", "``") + "`").alias(new) for new, old in columns.items()])

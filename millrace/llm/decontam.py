@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordCache, bit_table, flatten, in_table, pick, slices, tuned, written
+from millrace.llm.common import WordCache, bit_table, flatten, in_table, pick, slices, tidy, tuned, written
 from millrace.llm.subwords import BASE, mix
 
 WINDOW = 8
@@ -155,7 +155,7 @@ def item_windows(items: DataFrame) -> DataFrame:
         for batch in batches:
             yield _rows(batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], cache, sizes, None)
 
-    return written(items.mapInArrow(run, WINDOWS), "item-windows")
+    return written(items.mapInArrow(tidy(run), WINDOWS), "item-windows")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", match: int = MATCH) -> DataFrame:
@@ -177,7 +177,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
             for a, b in slices(texts):
                 yield _rows(ids[a:b], texts[a:b], cache, lambda _: [(n, None) for n in [WINDOW, *short]], table)
 
-    hits = texts.mapInArrow(run, WINDOWS)
+    hits = texts.mapInArrow(tidy(run), WINDOWS)
     lengths = wanted.groupBy("id").agg(F.max(F.col("place") + F.size("slots")).alias("n_item")).select(F.col("id").alias("item_id"), "n_item")
     right = wanted.select("hash", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
     met = hits.join(right, "hash").where(F.size("slots") == F.size("item_slots"))

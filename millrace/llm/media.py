@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import pick, tuned
+from millrace.llm.common import pick, tidy, tuned
 
 FRAME_SIDE = 8
 FRAME_BYTES = FRAME_SIDE * FRAME_SIDE
@@ -217,7 +217,7 @@ def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return pick(df, doc_id=id_col, text=text_col).mapInArrow(encode, f"doc_id {kind}, n_bytes long, media binary")
+    return pick(df, doc_id=id_col, text=text_col).mapInArrow(tidy(encode), f"doc_id {kind}, n_bytes long, media binary")
 
 
 FEATURES = "codec string, width int, height int, n_samples long, duration_ms long, key_offsets array<long>, key_sizes array<long>"
@@ -257,7 +257,7 @@ def media_features(df: DataFrame, media_col: str = "media", keep: tuple[str, ...
             arrow = ARROW_DIGESTS if digests else ARROW_FEATURES
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array([r[f.name] for r in rows], f.type) for f in arrow], [*keep, *arrow.names])
 
-    return source.mapInArrow(read, f"{kept}, {DIGESTS if digests else FEATURES}")
+    return source.mapInArrow(tidy(read), f"{kept}, {DIGESTS if digests else FEATURES}")
 
 
 ARROW_FEATURES = pa.schema([("codec", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("n_samples", pa.int64()), ("duration_ms", pa.int64()), ("key_offsets", pa.list_(pa.int64())), ("key_sizes", pa.list_(pa.int64()))])

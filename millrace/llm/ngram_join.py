@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordCache, bit_table, filesystem, flatten, fresh_path, in_table, pick, slices, tuned, written
+from millrace.llm.common import WordCache, bit_table, filesystem, flatten, fresh_path, in_table, pick, slices, tidy, tidy_group, tuned, written
 from millrace.llm.components import components
 from millrace.llm.packing import expand, expand48, pack, read_sections, squeeze, squeeze48, unpack, write_sections
 from millrace.llm.subwords import BASE, mix
@@ -286,8 +286,8 @@ def shingle_counts(texts: DataFrame, n: int) -> DataFrame:
             out.append(pack(df[more], squeeze48(own[more])))
         return pa.Table.from_arrays([table.column("block"), table.column("bucket"), pa.array(out, pa.binary())], schema=HASHES)
 
-    sent = texts.mapInArrow(sign, "block string, bucket int, hashes binary")
-    return written(sent.groupBy("bucket").applyInArrow(count, "block string, bucket int, hashes binary"), "shingle-counts")
+    sent = texts.mapInArrow(tidy(sign), "block string, bucket int, hashes binary")
+    return written(sent.groupBy("bucket").applyInArrow(tidy_group(count), "block string, bucket int, hashes binary"), "shingle-counts")
 
 
 def set_keys(blocks: DataFrame) -> DataFrame:
@@ -299,7 +299,7 @@ def set_keys(blocks: DataFrame) -> DataFrame:
                 ids, sizes, keys, _ = read_block(name)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([k if n else None for k, n in zip(keys, sizes)], pa.binary())], schema=KEYS)
 
-    return blocks.mapInArrow(run, "doc_id long, n long, key binary")
+    return blocks.mapInArrow(tidy(run), "doc_id long, n long, key binary")
 
 
 def prefix_tokens(counts: DataFrame, num: int, den: int) -> DataFrame:
@@ -325,7 +325,7 @@ def prefix_tokens(counts: DataFrame, num: int, den: int) -> DataFrame:
         valid = np.array([i is not None for i in ids], bool)[owner[kept]]
         return pa.Table.from_arrays([pa.array(docs[valid]), pa.array(flat[kept][valid].astype(np.int64))], schema=TOKENS)
 
-    return counts.groupBy("block").applyInArrow(run, "doc_id long, token long")
+    return counts.groupBy("block").applyInArrow(tidy_group(run), "doc_id long, token long")
 
 
 def _sets(blocks: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -342,7 +342,7 @@ def _sets(blocks: DataFrame, wanted: np.ndarray) -> DataFrame:
                 found = [flat[ends[i] - sizes[i] : ends[i]].tobytes() for i in keep.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep.tolist()], pa.int64()), pa.array(sizes[keep], pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n", "found"])
 
-    return blocks.mapInArrow(run, "doc_id long, n long, found binary")
+    return blocks.mapInArrow(tidy(run), "doc_id long, n long, found binary")
 
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -374,7 +374,7 @@ def _task_links(tasks: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist(join(held), LINKS)
 
     dealt = tasks.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "doc_id")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def candidate_groups(tokens: DataFrame, classes: DataFrame) -> DataFrame:

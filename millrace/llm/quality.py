@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordCache, by_group, flatten, pick, slices, tuned
+from millrace.llm.common import WordCache, by_group, flatten, pick, slices, tidy, tuned
 from millrace.llm.subwords import subword_hashes
 
 BUCKETS = 1 << 16
@@ -80,7 +80,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 5000, id_col: str
                 rows.append({"label": label, "features": found.astype("<u4").tobytes(), "counts": np.minimum(count[found], 65535).astype("<u2").tobytes()})
             yield pa.RecordBatch.from_pylist(rows, TRAIN)
 
-    rows = sample.mapInArrow(features, "label int, features binary, counts binary").toArrow()
+    rows = sample.mapInArrow(tidy(features), "label int, features binary, counts binary").toArrow()
     order = sorted(range(rows.num_rows), key=lambda i: rows.column("features")[i].as_py())
     rows = rows.take(pa.array(order, pa.int64()))
     found = [np.frombuffer(x.as_py(), "<u4") for x in rows.column("features")]
@@ -163,7 +163,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
 
-    return rows.mapInArrow(run, kept + "score double")
+    return rows.mapInArrow(tidy(run), kept + "score double")
 
 
 #: The share of clean documents that may be rejected is held low by this threshold.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import pick, tuned
+from millrace.llm.common import pick, tidy, tuned
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -243,7 +243,7 @@ def train(docs: DataFrame, max_docs: int = 3000, max_each: int = 1500, n_generat
                 out += [{"label": label, "window": row.tobytes()} for label, a, b in places for row in encode(text, a, b)]
             yield pa.RecordBatch.from_pylist(out, FINDINGS)
 
-    found = texts.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(findings, "label int, window binary").distinct()
+    found = texts.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(tidy(findings), "label int, window binary").distinct()
     first = [found.where(F.col("label") == k).orderBy(F.xxhash64("window"), "window").limit(max_each) for k in (0, 1)]
     rows = first[0].union(first[1]).orderBy("label", "window").collect()
     windows, labels = generated(n_generated)
@@ -296,7 +296,7 @@ def scan(docs: DataFrame, net: CharCNN, id_col: str = "doc_id", text_col: str =
                 columns.append(pa.array([None if t is None else redact(t, s) for t, s in zip(texts, spans)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "spans", *(["redacted"] if redacted else [])])
 
-    return rows.mapInArrow(run, kept + f"spans {SPANS}" + (", redacted string" if redacted else ""))
+    return rows.mapInArrow(tidy(run), kept + f"spans {SPANS}" + (", redacted string" if redacted else ""))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

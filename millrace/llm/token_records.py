@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordCache, filesystem, flatten, fresh_path, pick, ragged_take, slices, tuned, written
+from millrace.llm.common import WordCache, filesystem, flatten, fresh_path, pick, ragged_take, slices, tidy, tuned, written
 
 HEADER = struct.Struct("<qBB")
 INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("doc_id", "<i8"), ("null", "u1"), ("n_ids", "<u8")])
@@ -328,7 +328,7 @@ def write_records(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
             f.write(np.array(entries, INDEX).tobytes())
         yield pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "index": index, "n_docs": len(entries), "n_tokens": tokens, "n_bytes": offset}], ARROW_MANIFEST)
 
-    return written(rows.mapInArrow(write, MANIFEST), "token-manifest")
+    return written(rows.mapInArrow(tidy(write), MANIFEST), "token-manifest")
 
 
 ARROW_MANIFEST = pa.schema([("part", pa.int64()), ("shard", pa.string()), ("index", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
@@ -361,7 +361,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, ARROW_RECORDS)
 
-    return based.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return based.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 ARROW_RECORDS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordCache, flatten, pick, ragged_take, slices, tuned
+from millrace.llm.common import WordCache, flatten, pick, ragged_take, slices, tidy, tuned
 from millrace.llm.quality import bounded_sample, learnable
 from millrace.llm.subwords import subword_hashes
 
@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, max_ones: int = 2000, max_zeros: i
                 out.append({"doc_id": doc_id, "label": label, "text_key": hashlib.md5((text or "").encode()).digest(), "terms": terms.astype("<u4").tobytes(), "counts": np.minimum(counts, 65535).astype("<u2").tobytes()})
             yield pa.RecordBatch.from_pylist(out, SAMPLE)
 
-    found = rows.mapInArrow(features, "doc_id long, label int, text_key binary, terms binary, counts binary").toArrow().sort_by([("label", "descending"), ("doc_id", "ascending")])
+    found = rows.mapInArrow(tidy(features), "doc_id long, label int, text_key binary, terms binary, counts binary").toArrow().sort_by([("label", "descending"), ("doc_id", "ascending")])
     once: dict[bytes, int] = {}
     for i, key in enumerate(found.column("text_key").to_pylist()):
         once.setdefault(key, i)
@@ -239,7 +239,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(seen, evidence)], ["doc_id", "score", "evidence"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

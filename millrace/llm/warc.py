@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import filesystem, fresh_path, pick, tuned, written
+from millrace.llm.common import filesystem, fresh_path, pick, tidy, tuned, written
 
 LEVEL = 1
 INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("revisit", "u1"), ("page_id", "<i8")])
@@ -179,7 +179,7 @@ def write_warc(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             out.close()
             yield pa.RecordBatch.from_pydict({"archive": [archive]})
 
-    return written(pages.select("page_id", "url", "html", "first").mapInArrow(write, MANIFEST), "warc-manifest")
+    return written(pages.select("page_id", "url", "html", "first").mapInArrow(tidy(write), MANIFEST), "warc-manifest")
 
 
 def normalise_all(archives: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def normalise_all(archives: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"archive": [f"{stem}.members.warc.gz"], "index": [f"{stem}.idx"], "n_records": [n]})
 
     spread = archives.select("archive").repartition(max(1, archives.count()), "archive")
-    return written(spread.mapInArrow(run, ARCHIVES), "warc-archives")
+    return written(spread.mapInArrow(tidy(run), ARCHIVES), "warc-archives")
 
 
 def read_warc(archives: DataFrame, payloads: bool = False) -> DataFrame:
@@ -219,7 +219,7 @@ def read_warc(archives: DataFrame, payloads: bool = False) -> DataFrame:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
     spread = archives.select("archive", "index").repartition(max(1, archives.count()), "archive")
-    return spread.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if payloads else ""))
+    return spread.mapInArrow(tidy(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if payloads else ""))
 
 
 def read_one(archive: str, index: str, page_id: int) -> dict | None:
