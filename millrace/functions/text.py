@@ -46,3 +46,8 @@ def json_field(text: Column, path: str) -> Column:
 def year_of(text: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     """The year of a timestamp written as text."""
     return F.year(F.to_timestamp(text, pattern))
+
+
+def mentions_year(text: Column, year: int) -> Column:
+    """A looser test than ``year_of``: the year's digits stand anywhere in the text."""
+    return text.contains(str(year))

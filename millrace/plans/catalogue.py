@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -281,3 +282,76 @@ def modularity(spark, d):
 @query
 def girvan_newman(spark, d):
     return graph.girvan_newman(_graph(spark, d))
+
+
+@query
+def graph_links(spark, d):
+    return graph.both_directions(_graph(spark, d))
+
+
+@query
+def graph_vertices(spark, d):
+    return graph.vertices(_graph(spark, d))
+
+
+@query
+def modularity_unhalved(spark, d):
+    edges = _graph(spark, d)
+    groups = graph.connected_components(edges).select("node", F.col("component").alias("community"))
+    return graph.modularity(edges, groups, divisor=1.0).select(F.round("modularity", 6).alias("modularity"))
+
+
+@query
+def content_cosine(spark, d):
+    texts = views.texts(spark, d)
+    profile = recommend.tfidf_profile(texts, STOPWORDS)
+    users = recommend.user_profile(texts, profile)
+    found = recommend.content_score(texts.where(F.col("doc_id") % 10 == 0), users, profile, form="cosine")
+    return found.select("user", "business", F.round("score", 6).alias("score"))
+
+
+@query
+def tfidf_by_documents(spark, d):
+    return recommend.tfidf_profile(views.texts(spark, d), STOPWORDS, idf_n="docs")
+
+
+@query
+def minhash_signatures(spark, d):
+    return similarity.minhash(views.user_items(spark, d), "item", "user", USER_BANDS).select(F.col("o").alias("item"), "band", "sig")
+
+
+@query
+def bfr_rounds(spark, d):
+    points = views.points(spark, d)
+    counters = cluster.bfr([points.where(F.col("id") % 5 == k) for k in range(5)], K_MEANS, 64)[1]
+    return spark.createDataFrame([tuple(c.values()) for c in counters], "round long, ds_clusters long, ds_points long, cs_clusters long, cs_points long, rs_points long")
+
+
+@query
+def sliding_hll(spark, d):
+    found = windows.sliding_distinct(views.events(spark, d), "user_id", "1 hour", "20 minutes", exact=False)
+    return found.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n")
+
+
+@query
+def event_fields(spark, d):
+    events = views.table(spark, d, "events").select(F.get_json_object("props", "$.k").cast("long").alias("k"), "value")
+    return events.groupBy("k").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query
+def top_tags_by_type(spark, d):
+    tags = views.table(spark, d, "part").select("p_type", F.explode(F.split("p_name", " ")).alias("tag"))
+    return sketch.dense_top(tags, "p_type", "tag", 3).select("p_type", "tag", "n", "rank")
+
+
+@query
+def json_lines_round_trip(spark, d):
+    """Reviews written as JSON lines in the shared folder and read back by their schema."""
+    from millrace.session import shared_dir
+    from millrace.sources import readers, sinks
+
+    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    sinks.json_lines(views.reviews(spark, d).select("user_id", "business_id", "stars"), path)
+    back = readers.json_lines(spark, path, "user_id long, business_id long, stars double")
+    return back.groupBy("stars").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"), F.sum("business_id").alias("businesses"))

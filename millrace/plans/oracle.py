@@ -235,3 +235,17 @@ SELECT least(s, t) AS a, greatest(s, t) AS b, round(sum(w) / 2, 6) AS betweennes
 }
 ORACLE_SQL["category_avg_early"] = ORACLE_SQL["category_avg_inner"]
 ORACLE_SQL["son_itemsets"] = ORACLE_SQL["itemsets_brands"]
+
+ORACLE_SQL["graph_links"] = f"WITH {GRAPH} SELECT s AS src, t AS dst FROM links"
+ORACLE_SQL["graph_vertices"] = f"WITH {GRAPH} SELECT node FROM nodes"
+ORACLE_SQL["modularity_unhalved"] = ORACLE_SQL["modularity"].replace("k * k / (2.0 * m)", "k * k / (1.0 * m)")
+ORACLE_SQL["content_cosine"] = f"""WITH {WORDS}, {USERS}, tests AS (SELECT DISTINCT "user", business FROM visits WHERE doc_id % 10 = 0),
+nb AS (SELECT business, count(*) AS nb FROM profile GROUP BY 1), nu AS (SELECT "user", count(*) AS nu FROM users GROUP BY 1),
+shared AS (SELECT t."user", t.business, count(*) AS k FROM tests t JOIN users u ON u."user" = t."user" JOIN profile p ON p.business = t.business AND p.word = u.word GROUP BY 1, 2)
+SELECT "user", business, round(k / (sqrt(nb) * sqrt(nu)), 6) AS score FROM shared JOIN nb USING (business) JOIN nu USING ("user") WHERE k / (sqrt(nb) * sqrt(nu)) >= 0.01"""
+ORACLE_SQL["tfidf_by_documents"] = ORACLE_SQL["tfidf_profile"].replace("count(DISTINCT word) FROM words", "count(DISTINCT business) FROM words")
+ORACLE_SQL["minhash_signatures"] = f"WITH {REVIEWS}, {MEMBERS}, {lsh('near', 'members', 'i', 'u', USER_BANDS, None)} SELECT o AS item, band, sig FROM near_signed"
+ORACLE_SQL["event_fields"] = "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1"
+ORACLE_SQL["top_tags_by_type"] = """WITH c AS (SELECT p_type, tag, count(*) AS n FROM (SELECT p_type, unnest(string_split(p_name, ' ')) AS tag FROM part) GROUP BY 1, 2)
+SELECT p_type, tag, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, dense_rank() OVER (PARTITION BY p_type ORDER BY n DESC) AS rank FROM c) WHERE rank <= 3"""
+ORACLE_SQL["json_lines_round_trip"] = f"WITH {REVIEWS} SELECT stars, count(*) AS n, sum(user_id) AS users, sum(business_id) AS businesses FROM reviews GROUP BY 1"

@@ -11,7 +11,7 @@ LSH_BANDS = 50
 LSH_JACCARD = 0.055
 USER_BANDS = 35
 EDGE_THRESHOLD = 7
-SWAPPED_SUPPORT = 14
+SWAPPED_SUPPORT = 9
 K_MEANS = 10
 KMEANS_ROUNDS = 5
 FM_DAYS = 7
