@@ -19,12 +19,20 @@ from millrace.llm import byte_bpe, decontam, ngram_join, quality, secrets
 from millrace.llm.common import tuned, written
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose quality score reaches the classifier's threshold."""
     labels = quality.learnable(tuned(spark).read.parquet(f"{sf_dir}/labels.parquet"), "quality", fold=2, folds=4)
     others = tuple(c for c in docs.columns if c != "doc_id")
-    scored = quality.score(docs, quality.train(docs, labels), keep=others)
-    return scored.where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    name = _free("score", docs)
+    scored = quality.score(docs, quality.train(docs, labels), keep=others, out=name)
+    return scored.where(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +56,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a placeholder; n_chars follows the text."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    clean = secrets.scan(docs, secrets.train(docs), keep=others, redacted=True).withColumnRenamed("redacted", "text")
+    spans = _free("spans", docs)
+    clean = secrets.scan(docs, secrets.train(docs), keep=others, redacted=True, out=(spans, "text"))
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        clean = clean.withColumn("n_chars", F.when(F.size("spans") > 0, length).otherwise(F.col("n_chars")))
+        clean = clean.withColumn("n_chars", F.when(F.size(spans) > 0, length).otherwise(F.col("n_chars")))
     return clean.select(*docs.columns)
 
 

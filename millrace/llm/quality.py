@@ -148,8 +148,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.bias, -40, 40)))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the kept columns and the score of every row."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: str = "score") -> DataFrame:
+    """doc_id, the kept columns and the score, named ``out``, of every row."""
     rows = pick(docs, doc_id=id_col, **{k: k for k in keep}, _text=text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
@@ -161,9 +161,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             parts = [model.scores(texts[a:b], cache) for a, b in slices(texts)]
             scores = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], out])
 
-    return rows.mapInArrow(tidy(run), kept + "score double")
+    return rows.mapInArrow(tidy(run), kept + f"`{out}` double")
 
 
 #: The share of clean documents that may be rejected is held low by this threshold.

@@ -281,8 +281,9 @@ def redact(text: str, spans: list[dict]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, net: CharCNN, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), redacted: bool = False) -> DataFrame:
-    """doc_id, kept columns and spans of every row; with ``redacted`` also the cleaned text (null stays null)."""
+def scan(docs: DataFrame, net: CharCNN, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), redacted: bool = False, out: tuple[str, str] = ("spans", "redacted")) -> DataFrame:
+    """doc_id, kept columns and spans of every row; with ``redacted`` also the cleaned text (null
+    stays null).  ``out`` names the two new columns."""
     rows = pick(docs, doc_id=id_col, **{k: k for k in keep}, _text=text_col)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
@@ -294,9 +295,9 @@ def scan(docs: DataFrame, net: CharCNN, id_col: str = "doc_id", text_col: str =
             columns = [*batch.columns[:-1], pa.array(spans, ARROW_SPANS)]
             if redacted:
                 columns.append(pa.array([None if t is None else redact(t, s) for t, s in zip(texts, spans)], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "spans", *(["redacted"] if redacted else [])])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *out[: 1 + redacted]])
 
-    return rows.mapInArrow(tidy(run), kept + f"spans {SPANS}" + (", redacted string" if redacted else ""))
+    return rows.mapInArrow(tidy(run), kept + f"`{out[0]}` {SPANS}" + (f", `{out[1]}` string" if redacted else ""))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

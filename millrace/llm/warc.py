@@ -10,7 +10,8 @@ payloads the one with the largest page_id holds the payload, the others refer to
 
 Edge cases: null html is an empty payload; null urls give no target header; an empty
 table gives no archives; archives may be cut anywhere between records, but a cut or
-foreign record raises ValueError.  page_id is taken to be unique and not null.
+foreign record raises ValueError.  A row with a null page_id is a response of its own;
+rows with the same page_id keep a record each.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import filesystem, fresh_path, pick, tidy, tuned, written
 
 LEVEL = 1
-INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("revisit", "u1"), ("page_id", "<i8")])
-ID = "urn:millrace:page:%d"
+INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("revisit", "u1"), ("null", "u1"), ("page_id", "<i8")])
+ID = "urn:millrace:page:%s"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Dates are those of the crawl, which the pages table does not hold.
 DATE = "1970-01-01T00:00:00Z"
@@ -43,7 +44,7 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, payload_digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, payload_digest: str, refers_to: int | None) -> bytes:
     """One record.  A revisit keeps the HTTP head, whose Content-Length is that of the payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if refers_to is None else http
@@ -101,8 +102,9 @@ def records(stream):
         yield headers, body[:length], b"".join(raw) + body
 
 
-def _page(uri: str) -> int:
-    return int(uri.strip("<>").rpartition(":")[2])
+def _page(uri: str) -> int | None:
+    name = uri.strip("<>").rpartition(":")[2]
+    return None if name == "None" else int(name)
 
 
 def normalise(source: str, target: str, index: str) -> int:
@@ -114,7 +116,8 @@ def normalise(source: str, target: str, index: str) -> int:
             z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
             member = z.compress(raw) + z.flush()
             out.write(member)
-            entries.append((offset, len(member), headers["warc-type"] == "revisit", _page(headers["warc-record-id"])))
+            page = _page(headers["warc-record-id"])
+            entries.append((offset, len(member), headers["warc-type"] == "revisit", page is None, page or 0))
             offset += len(member)
     with c.open_output_stream(cp, compression=None) as f:
         f.write(np.array(entries, INDEX).tobytes())
@@ -140,26 +143,22 @@ ARCHIVES = "archive string, index string, n_records long"
 READ_BACK = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
-def payload_digests(pages: DataFrame) -> DataFrame:
-    """page_id and the payload's raw SHA-1; only built-in functions."""
-    return pages.select("page_id", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).alias("sha1"))
-
-
 def write_warc(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", dedup: bool = True, path: str | None = None) -> DataFrame:
     """Writes monolithic archives, one a task; returns their paths (archive).
 
     The first record of a digest is found by an aggregation with partial sums, so a
-    digest that many pages share is no hot group; pages then join it by their page_id,
-    and payloads are shuffled once.
+    digest that many pages share is no hot group; pages then join it by their page_id and
+    digest, and payloads are shuffled once.
     """
     spark = df.sparkSession
     path = path or fresh_path(spark, "warc")
     pages = pick(df, page_id=id_col, url=url_col, html=html_col)
     if dedup:
-        seen = payload_digests(pages)
+        pages = pages.withColumn("sha1", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))))
+        seen = pages.select("page_id", "sha1")
         first = seen.groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
-        revisits = seen.join(first, "sha1").where("page_id <> first").select("page_id", "first")
-        pages = pages.join(revisits, "page_id", "left")
+        revisits = seen.join(first, "sha1").where("page_id <> first").distinct()
+        pages = pages.join(revisits, ["page_id", "sha1"], "left")
     else:
         pages = pages.withColumn("first", F.lit(None).cast("long"))
 
@@ -227,7 +226,7 @@ def read_one(archive: str, index: str, page_id: int) -> dict | None:
     store, local = filesystem(index)
     with store.open_input_stream(local, compression=None) as f:
         entries = np.frombuffer(f.read(), INDEX)
-    for k in np.flatnonzero(entries["page_id"] == page_id)[:1]:
+    for k in np.flatnonzero((entries["page_id"] == page_id) & (entries["null"] == 0))[:1]:
         store, local = filesystem(archive)
         with store.open_input_file(local) as f:
             f.seek(int(entries["offset"][k]))

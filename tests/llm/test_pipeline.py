@@ -42,12 +42,14 @@ def test_stages_in_order(spark):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
-@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[1:]])
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
 def test_odd_and_empty_tables(spark, stage):
     text = " ".join(f"w{k}" for k in range(30))
     rows = [(1, text), (1, text), (2, text), (3, None), (4, ""), (None, "x"), (6, "long " * 30000)]
-    docs = spark.createDataFrame([(*r, "en", "s", len(r[1] or ""), 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, count long")
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1] or ""), 1, 2, "x", "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, count long, score int, spans string, redacted string")
     assert stage(spark, docs.limit(0), SF).count() == 0
     got = stage(spark, docs, SF).collect()
-    want = 5 if stage is corpus_pipeline.dedup_stage else 7
-    assert len(got) == want
+    if stage is corpus_pipeline.quality_stage:
+        assert len(got) <= 7
+    else:
+        assert len(got) == (5 if stage is corpus_pipeline.dedup_stage else 7)

@@ -140,6 +140,9 @@ def test_warc(spark):
     plain = warc.read_warc(warc.normalise_all(warc.write_warc(pages, dedup=False))).collect()
     assert {r["record_type"] for r in plain} == {"response"}
     assert warc.read_warc(warc.normalise_all(warc.write_warc(pages.limit(0)))).count() == 0
+    odd = spark.createDataFrame([(None, "u", "same"), (1, "u", "same"), (1, "u", "same"), (1, "v", "other"), (2, "w", "same")], "page_id long, url string, html string")
+    found = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_warc(warc.normalise_all(warc.write_warc(odd))).collect()), key=str)
+    assert found == sorted([(None, 4, "response", None), (1, 4, "revisit", 2), (1, 4, "revisit", 2), (1, 5, "response", None), (2, 4, "response", None)], key=str)
 
 
 def test_cut_archives_raise(tmp_path):
