@@ -95,7 +95,7 @@ class Model:
         self.weights, self.bias = weights, bias
 
     @classmethod
-    def fit(cls, found: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, dim: int = 8, epochs: int = 10, rate: float = 2.0, batch: int = 32, least_steps: int = 1000, seed: int = 7) -> Model:
+    def fit(cls, found: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, dim: int = 8, epochs: int = 6, rate: float = 2.0, batch: int = 32, least_steps: int = 1000, seed: int = 7) -> Model:
         """Mini-batch SGD with a linearly falling rate over vectors (dim) and the softmax layer.
 
         Few rows are gone over more often, until there are ``least_steps`` steps.
