@@ -2,7 +2,7 @@
 
 Terms are words and their character n-grams (``<`` and ``>`` mark a word's ends).  The
 vocabulary is learned: the terms whose document frequency differs most between the two
-labels (chi-square).  Examples are a bounded sample of labelled documents, whole texts.
+labels (chi-square), one of those that stand in the same documents.  Examples are a bounded sample of labelled documents, whole texts.
 
 The index holds postings by (block of examples, term), and per term and block the
 largest weight.  A query first bounds every block's best cosine from those maxima, then
@@ -104,7 +104,7 @@ class BlockMaxIndex:
 class Model:
     """Vocabulary, index, labels and calibration."""
 
-    def __init__(self, doc_ids: list[int], labels: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], shares: np.ndarray, max_terms: int, k: int, least_chi: float = 12.0):
+    def __init__(self, doc_ids: list[int], labels: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], shares: np.ndarray, max_terms: int, k: int, least_chi: float = 28.0):
         """shares: how many labelled rows of class 0 and 1 the sample stands for."""
         self.k = k
         self.column = np.full(SPACE, -1, np.int32)
@@ -117,8 +117,11 @@ class Model:
         flat = np.concatenate(terms)
         df = np.stack([np.bincount(np.concatenate([t for t, y in zip(terms, labels) if y == c]), minlength=SPACE) for c in (0, 1)], axis=1)
         chi = chi_square(df, totals)
-        chosen = np.argsort(-chi, kind="stable")[:max_terms]
-        chosen = np.sort(chosen[(chi[chosen] >= least_chi) & (df[chosen].sum(1) >= 3)])
+        order = np.argsort(-chi, kind="stable")
+        order = order[(chi[order] >= least_chi) & (df[order].sum(1) >= 3)]
+        # n-grams of one word stand in the same documents; one term of such a group says it all
+        marks = np.bincount(flat, np.repeat(np.random.default_rng(1).random(n), list(map(len, terms))), minlength=SPACE)
+        chosen = np.sort(order[np.sort(np.unique(marks[order], return_index=True)[1])[:max_terms]])
         self.column[chosen] = np.arange(len(chosen))
         expected = df[chosen] / totals * shares
         self.idf = np.log(1 + shares.sum() / np.maximum(expected.sum(1), 1e-9))
