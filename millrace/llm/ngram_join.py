@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import WordCache, bit_table, filesystem, flatten, fresh_path, in_table, pick, slices, tidy, tidy_group, tuned, written
@@ -378,10 +378,14 @@ def _task_links(tasks: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def candidate_groups(tokens: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, component): classes that share prefix tokens, directly or over others."""
-    ones = tokens.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    first = F.min("doc_id").over(Window.partitionBy("token"))
-    met = ones.select("doc_id", first.alias("first")).where("first <> doc_id").distinct()
+    """(node, component): classes that share prefix tokens, directly or over others.
+
+    Each token links its sets to the first of them: minima by partial aggregation, then a
+    join that may be split, so a token that many sets have is no hot group.
+    """
+    ones = written(tokens.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "prefix-tokens")
+    first = ones.groupBy("token").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("token", "first")
+    met = ones.join(first, "token").where("first <> doc_id").select("doc_id", "first").distinct()
     return written(components(met, "first", "doc_id"), "groups")
 
 
