@@ -59,15 +59,15 @@ def lsh_pairs(members: DataFrame, owner: str, member: str, bands: int, threshold
 def pearson_pairs(ratings: DataFrame, owner: str, by: str, least: int = 3, candidates: DataFrame | None = None) -> DataFrame:
     """(a, b, sim), a < b, of owners rated together at least ``least`` times with positive correlation.
 
-    Means are over the common raters.  One pass of sums over the pairs that share a rater.
+    Means are over the common raters.  Pairs that share a rater are counted first, in narrow
+    rows; only those with enough common raters are joined again and summed.
     """
     rows = ratings.select(F.col(owner).alias("o"), F.col(by).alias("m"), F.col("stars").alias("r"))
     left = rows.select(F.col("o").alias("a"), "m", F.col("r").alias("x"))
     right = rows.select(F.col("o").alias("b"), "m", F.col("r").alias("y"))
     if candidates is None:
-        pairs = left.join(right, "m").where("a < b")
-    else:
-        pairs = candidates.select("a", "b").join(left, "a").join(right, ["b", "m"])
+        candidates = left.select("a", "m").join(right.select("b", "m"), "m").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    pairs = candidates.select("a", "b").join(left, "a").join(right, ["b", "m"])
     x, y = F.col("x"), F.col("y")
     sums = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x * y).alias("xy"))
     sums = sums.where(F.col("n") >= least).select("a", "b", F.expr("xy - sx * sy / n").alias("c"), F.expr("xx - sx * sx / n").alias("vx"), F.expr("yy - sy * sy / n").alias("vy"))
