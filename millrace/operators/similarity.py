@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Modulus of the MinHash functions (a fixed value).
 MODULUS = 2454587
 
+#: Members up to which an owner's set is held as one array.
+ARRAY = 10_000
+
 
 def coefficients(n: int) -> list[tuple[int, int]]:
     """n fixed pairs (a, b) of hash coefficients, by a rule that SQL can repeat."""
@@ -48,12 +51,22 @@ def lsh_candidates(members: DataFrame, owner: str, member: str, bands: int) -> D
 
 
 def lsh_pairs(members: DataFrame, owner: str, member: str, bands: int, threshold: float) -> DataFrame:
-    """LSH candidates with an exact Jaccard of at least the threshold."""
+    """LSH candidates with an exact Jaccard of at least the (positive) threshold.
+
+    Sets of at most ``ARRAY`` members, which is checked, are compared as arrays, so a
+    candidate pair stays one row; larger ones by joining their members.
+    """
     rows = members.select(F.col(owner).alias("o"), F.col(member).alias("m")).distinct()
     candidates = lsh_candidates(rows, "o", "m", bands)
-    left, right = rows.select(F.col("o").alias("a"), "m"), rows.select(F.col("o").alias("b"), "m")
-    both = candidates.join(left, "a").join(right, ["b", "m"]).groupBy("a", "b").agg(F.count("*").alias("k"))
-    return _jaccard(both, rows.groupBy("o").agg(F.count("*").alias("n")), threshold)
+    sizes = rows.groupBy("o").agg(F.count("*").alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) > ARRAY:
+        left, right = rows.select(F.col("o").alias("a"), "m"), rows.select(F.col("o").alias("b"), "m")
+        both = candidates.join(left, "a").join(right, ["b", "m"]).groupBy("a", "b").agg(F.count("*").alias("k"))
+        return _jaccard(both, sizes, threshold)
+    sets = rows.groupBy("o").agg(F.collect_set("m").alias("s"))
+    pairs = candidates.join(sets.select(F.col("o").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("o").alias("b"), F.col("s").alias("sb")), "b")
+    counted = pairs.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("k"), (F.size("sa") + F.size("sb")).alias("n"))
+    return counted.select("a", "b", (F.col("k") / (F.col("n") - F.col("k"))).alias("sim")).where(F.col("sim") >= threshold)
 
 
 def pearson_pairs(ratings: DataFrame, owner: str, by: str, least: int = 3, candidates: DataFrame | None = None) -> DataFrame:

@@ -44,7 +44,7 @@ def rated(spark):
     return data, spark.createDataFrame([(u, i, r) for (u, i), r in data.items()], "user long, item long, stars double")
 
 
-def test_jaccard_and_lsh(rated):
+def test_jaccard_and_lsh(rated, monkeypatch):
     data, df = rated
     users = defaultdict(set)
     for u, i in data:
@@ -55,6 +55,8 @@ def test_jaccard_and_lsh(rated):
     near = {(a, b): s for a, b, s in rows(similarity.lsh_pairs(df, "item", "user", 20, 0.2))}
     assert near.items() <= got.items()
     assert set(near) == set(rows(similarity.lsh_candidates(df, "item", "user", 20))) & set(got)
+    monkeypatch.setattr(similarity, "ARRAY", 2)
+    assert {(a, b): s for a, b, s in rows(similarity.lsh_pairs(df, "item", "user", 20, 0.2))} == near
 
 
 def test_pearson(rated):
