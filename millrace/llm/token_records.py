@@ -334,8 +334,8 @@ def write_records(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
 ARROW_MANIFEST = pa.schema([("part", pa.int64()), ("shard", pa.string()), ("index", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
 
 
-def read_records(manifest: DataFrame) -> DataFrame:
-    """Documents read back from the shards: doc_id, start, n_tokens, ids_crc32 and the ids.
+def read_records(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Documents read back from the shards: doc_id, start, n_tokens, ids_crc32 and, if asked for, the ids.
 
     start counts the ids of all records before it.  The manifest has one row a shard, so
     its running total is small; every shard is one task.
@@ -343,6 +343,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     based = based.select("shard", "base").repartition(max(1, manifest.count()), "shard")
+    schema = ARROW_RECORDS if with_ids else pa.schema(list(ARROW_RECORDS)[:-1])
 
     def read(batches):
         for batch in batches:
@@ -353,15 +354,15 @@ def read_records(manifest: DataFrame) -> DataFrame:
                     for payload in unframe(f):
                         doc_id, ids = unpack(payload)
                         data = ids.astype("<u4").tobytes()
-                        rows.append({"doc_id": doc_id, "start": start, "n_tokens": len(ids), "ids_crc32": zlib.crc32(data), "ids": data})
+                        rows.append({"doc_id": doc_id, "start": start, "n_tokens": len(ids), "ids_crc32": zlib.crc32(data)} | ({"ids": data} if with_ids else {}))
                         start, held = start + len(ids), held + len(data)
                         if held > 8_000_000:
-                            yield pa.RecordBatch.from_pylist(rows, ARROW_RECORDS)
+                            yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, ARROW_RECORDS)
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return based.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return based.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
 ARROW_RECORDS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
@@ -372,4 +373,4 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
     manifest = write_records(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return read_records(manifest).drop("ids")
+    return read_records(manifest, with_ids=False)
