@@ -3,7 +3,9 @@ column picking and a bounded cache of per-word results."""
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -31,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-    at = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    folder = tempfile.mkdtemp(prefix="millrace-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    at = "file://" + folder
     context.setCheckpointDir(at)
     spark.conf.set("spark.checkpoint.dir", at)
     return at
