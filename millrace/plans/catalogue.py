@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.operators import cluster, graph, itemsets, recommend, relational, similarity, sketch
 from millrace.plans.oracle import ORACLE_SQL  # noqa: F401  (part of this module's interface)
 from millrace.plans.settings import (
-    BASKET_SUPPORT, EDGE_THRESHOLD, FM_DAYS, JACCARD, K_MEANS, KMEANS_ROUNDS, LSH_BANDS, LSH_JACCARD, PARTITIONS, SAMPLE_SIZE, STOPWORDS, SWAPPED_SUPPORT, USER_BANDS, YEAR,
+    BASKET_SUPPORT, EDGE_THRESHOLD, JACCARD, K_MEANS, KMEANS_ROUNDS, LSH_BANDS, LSH_JACCARD, PARTITIONS, SAMPLE_SIZE, STOPWORDS, SWAPPED_SUPPORT, USER_BANDS, YEAR,
 )
 from millrace.sources import views
 from millrace.streaming import windows
@@ -171,7 +171,7 @@ def bloom_probe(spark, d):
 
 
 def _days(spark, d) -> DataFrame:
-    return views.events(spark, d).where(F.dayofmonth("ts") <= FM_DAYS).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id")
+    return views.events(spark, d).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id")
 
 
 @query
