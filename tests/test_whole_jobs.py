@@ -38,3 +38,10 @@ def test_sketched_distinct_counts_of_all_days(spark):
     found = dict(got(spark, "hll_distinct"))
     assert len(found) == 30 and found.keys() == exact.keys()
     assert all(abs(n - exact[day]) <= 0.1 * exact[day] for day, n in found.items())
+
+
+@pytest.mark.parametrize("name", ["content_score", "content_cosine"])
+def test_scores_of_all_users(spark, name):
+    found = got(spark, name)
+    assert {r[0] for r in found} == set(range(50))
+    same(found, twin(name, " WHERE doc_id % 10 = 0"))
