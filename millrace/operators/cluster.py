@@ -69,8 +69,17 @@ def first_points(points: DataFrame, k: int) -> np.ndarray:
     return np.array([r[0] for r in rows], float)
 
 
-def lloyd(points: DataFrame, k: int, rounds: int, centres: np.ndarray | None = None) -> np.ndarray:
-    """Centres after at most ``rounds`` rounds, or when they stay the same; empty clusters keep theirs."""
+#: Sums of many tasks come in any order, so centres that stay the same may differ by rounding, as a share of the largest coordinate.
+ROUNDING = 1e-12
+#: k-means settles long before so many rounds; if not, it fails.
+MOST_ROUNDS = 10_000
+
+
+def lloyd(points: DataFrame, k: int, rounds: int, centres: np.ndarray | None = None, settle: bool = False) -> np.ndarray:
+    """Centres after at most ``rounds`` rounds, or when they stay the same; empty clusters keep theirs.
+
+    With ``settle``, centres that still move after ``rounds`` rounds are an error.
+    """
     centres = first_points(points, k) if centres is None else np.asarray(centres, float)
     if not len(centres):
         return centres
@@ -78,16 +87,18 @@ def lloyd(points: DataFrame, k: int, rounds: int, centres: np.ndarray | None = N
         moved = centres.copy()
         for row in cluster_stats(assign(points, centres)).collect():
             moved[row["cluster"]] = np.array(row["sums"]) / row["n"]
-        if np.array_equal(moved, centres):
-            break
+        if np.abs(moved - centres).max() <= ROUNDING * np.abs(centres).max():
+            return centres
         centres = moved
+    if settle:
+        raise RuntimeError(f"centres still move after {rounds} rounds")
     return centres
 
 
-def kmeans(points: DataFrame, k: int, rounds: int = 20) -> DataFrame:
-    """(id, cluster) after Lloyd's rounds from the points of the least ids."""
+def kmeans(points: DataFrame, k: int, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(id, cluster, distance) when Lloyd's rounds from the points of the least ids move no centre any more."""
     points = points.select("id", "features")
-    return assign(points, lloyd(points, k, rounds)).select("id", "cluster", "distance")
+    return assign(points, lloyd(points, k, most_rounds, settle=True)).select("id", "cluster", "distance")
 
 
 class Sets:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.operators import cluster, graph, itemsets, recommend, relational, similarity, sketch
 from millrace.plans.oracle import ORACLE_SQL  # noqa: F401  (part of this module's interface)
 from millrace.plans.settings import (
-    BASKET_SUPPORT, EDGE_THRESHOLD, JACCARD, K_MEANS, KMEANS_ROUNDS, LSH_BANDS, LSH_JACCARD, PARTITIONS, SAMPLE_SIZE, STOPWORDS, SWAPPED_SUPPORT, USER_BANDS, YEAR,
+    BASKET_SUPPORT, EDGE_THRESHOLD, JACCARD, K_MEANS, LSH_BANDS, LSH_JACCARD, PARTITIONS, SAMPLE_SIZE, STOPWORDS, SWAPPED_SUPPORT, USER_BANDS, YEAR,
 )
 from millrace.sources import views
 from millrace.streaming import windows
@@ -213,7 +213,7 @@ def sliding_fm(spark, d):
 
 @query
 def kmeans(spark, d):
-    return cluster.kmeans(views.points(spark, d), K_MEANS, KMEANS_ROUNDS).select("id", "cluster", F.round("distance", 6).alias("distance"))
+    return cluster.kmeans(views.points(spark, d), K_MEANS).select("id", "cluster", F.round("distance", 6).alias("distance"))
 
 
 @query

@@ -1,9 +1,13 @@
 """Queries read every row, and equal their SQL twins without the twins' row filters."""
 
 import duckdb
+import numpy as np
 import pytest
 
+from millrace.operators import cluster
 from millrace.plans import catalogue
+from millrace.plans.settings import K_MEANS
+from millrace.sources import views
 
 SF = "/root/testdata/sf0.01"
 
@@ -45,3 +49,26 @@ def test_scores_of_all_users(spark, name):
     found = got(spark, name)
     assert {r[0] for r in found} == set(range(50))
     same(found, twin(name, " WHERE doc_id % 10 = 0"))
+
+
+def plain_lloyd(x, k):
+    """Clusters and rounds of Lloyd from the first different points until no centre moves."""
+    centres = x[np.sort(np.unique(x, axis=0, return_index=True)[1])[:k]]
+    for n in range(1, 1000):
+        at = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+        moved = np.stack([x[at == c].mean(0) if (at == c).any() else centres[c] for c in range(k)])
+        if np.allclose(moved, centres, rtol=0, atol=1e-12):
+            return at, np.sqrt(((x - centres[at]) ** 2).sum(1)), n
+        centres = moved
+
+
+def test_kmeans_runs_until_it_settles(spark):
+    points = sorted(views.points(spark, SF).collect())
+    at, far, rounds = plain_lloyd(np.array([r[1] for r in points]), K_MEANS)
+    assert rounds > 5
+    same(got(spark, "kmeans"), list(zip([r[0] for r in points], at.tolist(), far.tolist())))
+
+
+def test_kmeans_that_does_not_settle_fails(spark):
+    with pytest.raises(RuntimeError):
+        cluster.kmeans(views.points(spark, SF), K_MEANS, 3)
