@@ -3,7 +3,8 @@
 Texts become sequences of template tokens: numbers, units after numbers and names
 (capitalised words inside a sentence) are typed placeholders, everything else is a
 lower-cased word; punctuation and layout fall away.  Since text in capitals shows no names,
-each window also stands with its names as plain words.  Windows of template tokens are
+each window also stands with its names as plain words.  Windows with too few plain words
+for a template stand as they are, numbers included.  Windows are
 hash-joined between documents and benchmark items.  Joined windows of one alignment
 (document place minus item place) are put together, and their slots checked: a slot value
 of the item must always meet the same value in the document and the other way round.  So
@@ -14,11 +15,13 @@ A fixed-size bit table of the benchmark's window hashes is broadcast and drops w
 that cannot join before anything is shuffled; it never drops one that can.
 
 A document holds an item when windows of one alignment cover at least ``MATCH`` tokens, or
-the whole item where it is shorter, with consistent slots.
+the whole item where it is shorter, with consistent slots.  Template windows alone suffice
+where they cover all tokens of the item that its template windows can cover.
 
 Edge cases: null and empty texts or items have no tokens and never match; items of
 fewer than ``WINDOW`` tokens are one window of their own length; windows of fewer than
-``LITERALS`` plain words are too general and left out; items that occur twice match
+``LITERALS`` plain words are too general for a template and match only with the same
+numbers and units; items that occur twice match
 under both ids; repeated doc_ids are taken as one document; empty tables give an empty
 result.
 """
@@ -96,17 +99,21 @@ def templates(texts: list[str], cache: WordCache) -> tuple[np.ndarray, np.ndarra
     return tokens & ~FLAGS, number * 1 + unit * 2 + name * 3, per_text
 
 
-def windows(literal: np.ndarray, slot: np.ndarray, per_text: np.ndarray, size: int, names: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and place of every window of ``size`` tokens with enough plain words.
+#: Forms of a window: a template with names as plain words or as placeholders, or all tokens as they stand.
+WORDS, NAMES, EXACT = 0, 1, 2
 
-    With ``names``, of the windows that hold a name, with names as placeholders; else of
-    all windows, with names as plain words.
+
+def windows(literal: np.ndarray, slot: np.ndarray, per_text: np.ndarray, size: int, form: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and place of every window of ``size`` tokens in a form.
+
+    ``WORDS`` are the windows with enough plain words, names among them, and ``EXACT`` all
+    others; ``NAMES`` are the windows that hold a name and have enough plain words without.
     """
     n = len(literal) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    used = slot if names else np.where(slot == 3, 0, slot)
-    template = np.where(used > 0, PLACEHOLDERS[used], literal)
+    used = slot if form == NAMES else np.where(slot == 3, 0, slot)
+    template = literal if form == EXACT else np.where(used > 0, PLACEHOLDERS[used], literal)
     joined = np.zeros(n, np.uint64)
     plain, named = np.zeros(n, np.int64), np.zeros(n, bool)
     for k in range(size):
@@ -115,12 +122,13 @@ def windows(literal: np.ndarray, slot: np.ndarray, per_text: np.ndarray, size: i
         named |= slot[k : n + k] == 3
     owner = np.repeat(np.arange(len(per_text)), per_text)
     starts = np.cumsum(per_text) - per_text
-    keep = np.flatnonzero((owner[:n] == owner[size - 1 :]) & (plain >= min(LITERALS, size)) & (named | (not names)))
-    return mix(joined[keep] ^ np.uint64(2 * size + names)), owner[keep], keep - starts[owner[keep]]
+    enough = plain >= min(LITERALS, size)
+    keep = np.flatnonzero((owner[:n] == owner[size - 1 :]) & (~enough if form == EXACT else enough) & (named | (form != NAMES)))
+    return mix(joined[keep] ^ np.uint64(3 * size + form)), owner[keep], keep - starts[owner[keep]]
 
 
-WINDOWS = "hash long, id long, place long, slots array<long>"
-ARROW_WINDOWS = pa.schema([("hash", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("slots", pa.list_(pa.int64()))])
+WINDOWS = "hash long, id long, place long, exact boolean, slots array<long>"
+ARROW_WINDOWS = pa.schema([("hash", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("exact", pa.bool_()), ("slots", pa.list_(pa.int64()))])
 
 
 def _rows(ids: list, texts: list[str], cache: WordCache, sizes, table: np.ndarray | None) -> pa.RecordBatch:
@@ -129,16 +137,16 @@ def _rows(ids: list, texts: list[str], cache: WordCache, sizes, table: np.ndarra
     starts = np.cumsum(per_text) - per_text
     out = []
     for size, only in sizes(per_text):
-        for names in (False, True):
-            h, owner, place = windows(literal, slot, per_text, size, names)
+        for form in (WORDS, NAMES, EXACT):
+            h, owner, place = windows(literal, slot, per_text, size, form)
             keep = np.ones(len(h), bool) if only is None else only[owner]
             if table is not None:
                 keep &= in_table(table, h)
-            filled = np.where((slot > 0) & ((slot < 3) | names), literal | np.uint64(1), np.uint64(0)).view(np.int64)
+            filled = np.where((slot > 0) & ((slot < 3) | (form == NAMES)), literal | np.uint64(1), np.uint64(0)).view(np.int64)
             for x, o, p in zip(h[keep].view(np.int64).tolist(), owner[keep].tolist(), place[keep].tolist()):
                 if ids[o] is not None:
                     a = int(starts[o]) + p
-                    out.append({"hash": x, "id": ids[o], "place": p, "slots": filled[a : a + size].tolist()})
+                    out.append({"hash": x, "id": ids[o], "place": p, "exact": form == EXACT, "slots": filled[a : a + size].tolist()})
     return pa.RecordBatch.from_pylist(out, ARROW_WINDOWS)
 
 
@@ -178,18 +186,24 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                 yield _rows(ids[a:b], texts[a:b], cache, lambda _: [(n, None) for n in [WINDOW, *short]], table)
 
     hits = texts.mapInArrow(tidy(run), WINDOWS)
-    lengths = wanted.groupBy("id").agg(F.max(F.col("place") + F.size("slots")).alias("n_item")).select(F.col("id").alias("item_id"), "n_item")
-    right = wanted.select("hash", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
-    met = hits.join(right, "hash").where(F.size("slots") == F.size("item_slots"))
+    template = F.collect_set(F.when(~F.col("exact"), F.col("place"))).alias("templates")
+    covered = lambda places: F.expr(f"size(array_distinct(flatten(transform({places}, p -> sequence(p, p + size - 1)))))")
+    lengths = wanted.groupBy(F.col("id").alias("item_id")).agg(F.max(F.col("place") + F.size("slots")).alias("n_item"), F.max(F.size("slots")).alias("size"), template)
+    lengths = lengths.select("item_id", "n_item", covered("templates").alias("n_template_item"))
+    right = wanted.select("hash", "exact", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
+    met = hits.drop("exact").join(right, "hash").where(F.size("slots") == F.size("item_slots"))
     pairs = F.expr("filter(arrays_zip(item_slots, slots), x -> x.slots <> 0 or x.item_slots <> 0)")
-    met = met.select(F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", F.size("slots").alias("size"), pairs.alias("pairs"))
-    runs = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_place").alias("places"), F.max("size").alias("size"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    covered = F.expr("size(array_distinct(flatten(transform(places, p -> sequence(p, p + size - 1)))))")
-    runs = runs.select("doc_id", "item_id", covered.alias("n_tokens"), "pairs").join(lengths, "item_id")
-    one_way = F.expr("size(pairs) = size(array_distinct(transform(pairs, x -> x.item_slots))) and size(pairs) = size(array_distinct(transform(pairs, x -> x.slots)))")
-    same = F.expr("forall(pairs, x -> x.item_slots = x.slots)")
-    found = runs.where(one_way & (F.col("n_tokens") >= F.least(F.lit(match), "n_item")))
-    return found.groupBy("doc_id", "item_id").agg(F.max("n_tokens").cast("long").alias("n_tokens"), F.max(same).alias("verbatim"))
+    met = met.select(F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("item_place")).alias("shift"), F.col("item_place").alias("place"), "exact", F.size("slots").alias("size"), pairs.alias("pairs"))
+    runs = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("place").alias("places"), template, F.max("size").alias("size"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("exact"), F.col("pairs"))))).alias("template_pairs"))
+    runs = runs.select("doc_id", "item_id", covered("places").alias("n_tokens"), covered("templates").alias("n_template"), "pairs", "template_pairs").join(lengths, "item_id")
+    one_way = lambda p: F.expr(f"size({p}) = size(array_distinct(transform({p}, x -> x.item_slots))) and size({p}) = size(array_distinct(transform({p}, x -> x.slots)))")
+    same = lambda p: F.expr(f"forall({p}, x -> x.item_slots = x.slots)")
+    enough = lambda n, n_item: F.col(n) >= F.least(F.lit(match), n_item)
+    # exact windows never undo what the template windows of an alignment show
+    whole = one_way("pairs") & (enough("n_tokens", "n_item") | enough("n_template", "n_template_item") & (F.col("n_template") > 0))
+    found = runs.where(whole | one_way("template_pairs") & enough("n_template", "n_template_item") & (F.col("n_template") > 0))
+    found = found.select("doc_id", "item_id", F.when(whole, F.col("n_tokens")).otherwise(F.col("n_template")).alias("n_tokens"), F.when(whole, same("pairs")).otherwise(same("template_pairs")).alias("same"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("n_tokens").cast("long").alias("n_tokens"), F.max("same").alias("verbatim"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
