@@ -3,8 +3,10 @@
 A text is normalised - case, punctuation and layout, copyright lines, equivalent
 spellings - and the digest of the whole is joined with the digests of known licence texts
 and notices, normalised the same way.  What is looked up is each entire document, each
-paragraph (between blank lines) and each line: a licence counts where one of these is its
-entire text, never where it is only mentioned.
+paragraph (between blank lines), each line, and each run of paragraphs inside a document
+that has as many words as a known text of several paragraphs: a licence counts where one of
+these is its entire text, never where it is only mentioned.  Of runs that begin with the
+same paragraph the longest counts, and none inside of it.
 
 The known texts are a fixed list, so their digests are broadcast.
 
@@ -17,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import accumulate
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -82,17 +86,37 @@ def _notices() -> list[tuple[str, str]]:
     return [(k, f.format(n)) for k, forms in names.items() for n in forms for f in frames] + [(k, f"SPDX-License-Identifier: {k}") for k in names]
 
 
+#: Licences whose entire texts are files; of the notices' licences, AGPL-3 and the CC-BY family have none.
+FULL_TEXTS = ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-3", "MPL-2.0", "CC0-1.0", "Unlicense")
+_END = re.compile(r".*END OF TERMS AND CONDITIONS\s", re.DOTALL)
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, entire text) of the licences in files: with and without what follows the terms, the line for an owner's name and the closing address, with http and https."""
+    found: dict[str, tuple[str, str]] = {}
+    for name in FULL_TEXTS:
+        text = (Path(__file__).parent / "license_texts" / f"{name}.txt").read_text(encoding="utf-8")
+        text = "\n".join(line for line in text.split("\n") if not _COPYRIGHT.fullmatch(line.lower()))
+        forms = [text, text.replace("Copyright [yyyy] [name of copyright owner]", ""), text.partition("For more information, please refer to <")[0]]
+        if end := _END.match(text):
+            forms.append(end[0])
+        for form in forms:
+            for one in (form, form.replace("https://", "http://"), re.sub("https?://", "https://", form)):
+                found.setdefault(digest(one), (name, one))
+    return list(found.values())
+
+
 def known_texts() -> list[tuple[str, str]]:
     """The fixed list of known licence texts and notices."""
     texts = [("MIT", _MIT), ("ISC", _ISC), ("BSD-2-Clause", _BSD_2 + _BSD_END), ("BSD-3-Clause", _BSD_2 + _BSD_3 + _BSD_END), ("Zlib", _ZLIB), ("Apache-2.0", _APACHE_HEADER)]
     texts += [(f"{short}-{v}", _GPL_HEADER.format(long, v)) for short, long, v in (("GPL", "", 2), ("GPL", "", 3), ("LGPL", "Lesser ", 3), ("AGPL", "Affero ", 3))]
     titles = {"MIT": "MIT License", "ISC": "ISC License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License"}
-    return texts + [(k, f"{titles[k]}\n\n{t}") for k, t in texts if k in titles] + _notices()
+    return texts + [(k, f"{titles[k]}\n\n{t}") for k, t in texts if k in titles] + full_texts() + _notices()
 
 
 #: Spellings that count as the same word (fixed values).
 EQUIVALENT = {
-    "licence": "license", "licences": "licenses", "licenced": "licensed", "acknowledgement": "acknowledgment", "merchantibility": "merchantability", "organisation": "organization",
+    "licence": "license", "licencee": "licensee", "licencees": "licensees", "licences": "licenses", "licenced": "licensed", "acknowledgement": "acknowledgment", "merchantibility": "merchantability", "organisation": "organization",
     "analyse": "analyze", "authorisation": "authorization", "authorised": "authorized", "colour": "color", "favour": "favor", "fulfil": "fulfill", "programme": "program",
     "sublicence": "sublicense", "noninfringement": "non infringement", "whilst": "while", "centre": "center", "judgement": "judgment", "recognise": "recognize", "v2": "2", "v3": "3",
 }
@@ -127,11 +151,47 @@ def units(text: str) -> list[tuple[str, str]]:
     return out
 
 
+#: How many words a known text is looked up by before its digest is.
+LEAD = 4
+
+
+def run_table(known: list[tuple[str, str]]) -> dict[str, dict[int, set[str]]]:
+    """Digests of the known texts of several paragraphs, by their first words and number of words."""
+    out: dict[str, dict[int, set[str]]] = {}
+    for _, text in known:
+        words = canonical(text).split()
+        if sum(bool(canonical(p)) for p in _BLANK.split(text)) > 1:
+            out.setdefault(" ".join(words[:LEAD]), {}).setdefault(len(words), set()).add(digest(text))
+    return out
+
+
+def runs(text: str, table: dict[str, dict[int, set[str]]]) -> list[str]:
+    """Digests of the runs of paragraphs that are known texts; the whole document is none."""
+    parts = [words for p in _BLANK.split(text) if (words := canonical(p).split())]
+    words = [w for p in parts for w in p]
+    starts = [0, *accumulate(map(len, parts))]
+    ends, out, free = set(starts), [], 0
+    for a, first in zip(starts, starts[1:]):
+        if a < free:
+            continue
+        lengths = table.get(" ".join(words[a : a + LEAD]), {})
+        for n in sorted(lengths, reverse=True):
+            if a + n in ends and (found := hashlib.sha256(" ".join(words[a : a + n]).encode()).hexdigest()) in lengths[n]:
+                if n == len(words):
+                    return []
+                if a + n > first:
+                    out.append(found)
+                free = a + n
+                break
+    return out
+
+
 ROWS = pa.schema([("doc_id", pa.int64()), ("unit", pa.string()), ("digest", pa.string())])
 
 
-def unit_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, unit, digest) of every unit of every text."""
+def unit_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: dict[str, dict[int, set[str]]] | None = None) -> DataFrame:
+    """(doc_id, unit, digest) of every unit of every text, and of its runs of paragraphs that are in the table."""
+    table = table or {}
 
     def run(batches):
         for batch in batches:
@@ -143,6 +203,10 @@ def unit_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         ids.append(doc_id)
                         kinds.append(kind)
                         digests.append(found)
+                for found in runs(text or "", table) if table else ():
+                    ids.append(doc_id)
+                    kinds.append("paragraphs")
+                    digests.append(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(digests, pa.string())], schema=ROWS)
 
     return pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, unit string, digest string")
@@ -150,10 +214,11 @@ def unit_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, unit, n): the documents that hold an entire known text, as what, how often."""
-    table = {digest(text): name for name, text in (known or known_texts())}
+    known = known or known_texts()
+    table = {digest(text): name for name, text in known}
     table.pop(None, None)
     names = docs.sparkSession.createDataFrame(sorted(table.items()), "digest string, license string")
-    met = unit_digests(docs, id_col, text_col).join(F.broadcast(names), "digest")
+    met = unit_digests(docs, id_col, text_col, run_table(known)).join(F.broadcast(names), "digest")
     return met.groupBy("doc_id", "license", "unit").agg(F.count("*").alias("n"))
 
 

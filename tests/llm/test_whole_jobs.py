@@ -1,6 +1,8 @@
 """Operators do the whole of what they name."""
 
-from millrace.llm import decontam
+from pathlib import Path
+
+from millrace.llm import decontam, licenses
 
 NUMBERS = [
     "Compute 3 5 7 9 11 13 15 and then give the sum of these", "Find the mean 4 8 15 16 23 42 7 9 11 and round it up", "What is 17 + 25 * 3 - 14 / 2 + 99 - 6 * 31 + 8?", "12 + 30 = ?",
@@ -17,3 +19,24 @@ def test_decontamination_of_items_that_are_mostly_numbers(spark):
     copies = {(a + i, i): True for a in (10, 20) for i in range(len(NUMBERS))}
     assert {(r["doc_id"], r["item_id"]): r["verbatim"] for r in found} == copies | {(30, 0): False, (31, 1): False}
     assert {r["n_tokens"] for r in found if r["doc_id"] == 10} == {15}
+
+
+def test_entire_license_texts(spark):
+    files = sorted((Path(licenses.__file__).parent / "license_texts").glob("*.txt"))
+    docs = [(i, f.read_text()) for i, f in enumerate(files)]
+    docs += [(10 + i, f"Some prose.\n\n{t}\n\nmore of it\nand more") for i, t in docs]
+    found = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {(r["doc_id"], r["license"], r["unit"]): r["n"] for r in found if r["unit"] in ("document", "paragraphs")}
+    assert len(files) == 7
+    assert got == {(i, f.stem, "document"): 1 for i, f in enumerate(files)} | {(10 + i, f.stem, "paragraphs"): 1 for i, f in enumerate(files)}
+
+
+def test_licenses_of_several_paragraphs_inside_documents(spark):
+    known = dict(reversed(licenses.known_texts()))
+    mit, bsd = known["MIT"], known["BSD-3-Clause"]
+    docs = [
+        (1, f"The MIT License\n\nCopyright (c) 2020 Some One\n\n{mit}\n\nint main() {{}}\n\nreturn"), (2, f"before\n\n{bsd}\n\nbetween\n\n{mit}\n\n{mit}"), (3, f"before\n\n{mit} and more\n\nafter"),
+        (4, f"MIT License\n\n{mit}\n\nafter"), (5, f"before\n\n{' '.join(mit.split())}\n\nafter"),
+    ]
+    got = {(r["doc_id"], r["license"], r["unit"]): r["n"] for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(1, "MIT", "paragraphs"): 1, (2, "BSD-3-Clause", "paragraphs"): 1, (2, "MIT", "paragraphs"): 2, (4, "MIT", "paragraphs"): 1, (5, "MIT", "paragraph"): 1}
