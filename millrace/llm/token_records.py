@@ -195,7 +195,7 @@ class _Part:
         return self.data[self.at - n : self.at]
 
 
-_ENCODERS: dict[str, WordCache] = {}
+_ENCODERS: dict[tuple[str, bool], WordCache] = {}
 
 #: Separators that Python's split() knows and the tokenizer's white space does not.
 _ODD = "\x1c\x1d\x1e\x1f"
@@ -223,14 +223,17 @@ class _Chunks:
     model.  The vocabulary marks the token that ends a pre-token, so the ids split again
     there.  Where the marks do not match the chunks, and for all other chunks, each chunk
     has an encoding of its own.
+
+    With ``added``, the tokenizer's special tokens have their own ids where they stand in a
+    text, as is the library's default; else they are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         self.light = Tokenizer.from_file(path)
         self.light.encode_special_tokens = True
         self.light.normalizer = normalizers.Lowercase()
@@ -276,16 +279,16 @@ def _plain(word: str) -> bool:
     return word.isalpha() and (word.isascii() or word.lower().isalpha() and unicodedata.is_normalized("NFC", word))
 
 
-def encoder(path: str) -> WordCache:
+def encoder(path: str, added: bool = False) -> WordCache:
     """A bounded cache of chunks' ids for a tokenizer file; a worker keeps it between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordCache(_Chunks(path).make, "uint32", limit=900_000)
-    return _ENCODERS[path]
+    if (path, added) not in _ENCODERS:
+        _ENCODERS[path, added] = WordCache(_Chunks(path, added).make, "uint32", limit=900_000)
+    return _ENCODERS[path, added]
 
 
-def encode_texts(texts: list[str], tokenizer_path: str) -> list[np.ndarray]:
-    """Ids of whole texts for a tokenizer whose pre-tokens never span white space."""
-    cache = encoder(tokenizer_path)
+def encode_texts(texts: list[str], tokenizer_path: str, added: bool = False) -> list[np.ndarray]:
+    """Ids of whole texts for a tokenizer whose pre-tokens and special tokens never span white space."""
+    cache = encoder(tokenizer_path, added)
     words, counts = flatten(map(_chunks, texts))
     ids, lengths = cache.take(cache.codes(words))
     ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
@@ -314,7 +317,7 @@ def write_records(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 out = out or store.open_output_stream(local, compression=None)
-                encoded = [np.append(x, np.uint32(end_id)) for x in encode_texts(texts[a:b], tokenizer_path)]
+                encoded = [np.append(x, np.uint32(end_id)) for x in encode_texts(texts[a:b], tokenizer_path, added=True)]
                 payloads = [pack(i, x) for i, x in zip(ids[a:b], encoded)]
                 for i, x, payload, record in zip(ids[a:b], encoded, payloads, frame(payloads)):
                     entries.append((offset, len(payload), i or 0, i is None, len(x)))

@@ -2,7 +2,11 @@
 
 from pathlib import Path
 
-from millrace.llm import decontam, licenses
+import numpy as np
+from tokenizers import Tokenizer
+
+from millrace.llm import decontam, licenses, token_records
+from tests.llm.test_records_and_archives import WORD_BPE, odd_texts
 
 NUMBERS = [
     "Compute 3 5 7 9 11 13 15 and then give the sum of these", "Find the mean 4 8 15 16 23 42 7 9 11 and round it up", "What is 17 + 25 * 3 - 14 / 2 + 99 - 6 * 31 + 8?", "12 + 30 = ?",
@@ -40,3 +44,12 @@ def test_licenses_of_several_paragraphs_inside_documents(spark):
     ]
     got = {(r["doc_id"], r["license"], r["unit"]): r["n"] for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {(1, "MIT", "paragraphs"): 1, (2, "BSD-3-Clause", "paragraphs"): 1, (2, "MIT", "paragraphs"): 2, (4, "MIT", "paragraphs"): 1, (5, "MIT", "paragraph"): 1}
+
+
+def test_records_equal_an_untouched_tokenizer(spark):
+    t = Tokenizer.from_file(WORD_BPE)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|startoftext|> y", "<|EndOfText|> <|endoftext|>.", "plain words, here", *odd_texts(2000)]
+    assert t.encode(texts[1], add_special_tokens=False).ids == [49407]
+    manifest = token_records.write_records(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORD_BPE, 2)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in token_records.read_records(manifest).collect()}
+    assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
