@@ -14,7 +14,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters of text that a worker handles at once; longer single texts are handled alone.
@@ -225,6 +225,20 @@ class WordCache:
         return self.flat[ragged_take(self.starts[codes], lengths)], lengths
 
 
+def within_budget(rows: DataFrame, size: str, budget: int, *ties: str) -> pa.Table:
+    """The rows of a written sample (at most some thousands) whose sizes fit a budget, in the order of a hash of doc_id.
+
+    Only sizes come to the driver at first; then the rows up to where their sum passes the
+    budget, and the first row always.
+    """
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), *map(F.col, ties)]
+    sums = rows.select("doc_id", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)).alias("sum"), *ties)
+    over = sums.where(F.col("sum") > budget).orderBy("sum").limit(1).collect()
+    if not over:
+        return rows.toArrow()
+    return rows.orderBy(*order).limit(max(1, sums.where(F.col("sum") <= budget).count())).toArrow()
+
+
 def flatten(lists: Iterable[list[str]]) -> tuple[list[str], np.ndarray]:
     """All strings in one list, and how many each list had."""
     lists = list(lists)

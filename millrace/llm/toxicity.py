@@ -1,13 +1,15 @@
 """Toxicity by the nearest labelled examples, exact TF-IDF cosine over a block-max index.
 
-Terms are words and their character n-grams (``<`` and ``>`` mark a word's ends).  The
-vocabulary is learned: the terms whose document frequency differs most between the two
-labels (chi-square), one of those that stand in the same documents.  Examples are a bounded sample of labelled documents, whole texts.
+Terms are the words of the texts, and all words of all examples are in the index.  A term
+weighs (1 + ln tf) idf r: idf from its document frequency in all documents, r its
+relevance in the labelled examples, the root of its chi-square less ``DOUBT`` and never
+nought.  Words that no example has take no part.  Examples are a bounded sample of
+labelled documents, whole texts.
 
-The index holds postings by (block of examples, term), and per term and block the
-largest weight.  A query first bounds every block's best cosine from those maxima, then
-scores blocks exactly in falling order of their bound until the k-th best cosine is at
-least the next bound: the neighbours are exactly those of a full scan.
+Postings of rare terms are traversed whole.  Those of the ``DENSE`` most frequent terms are
+kept by block of examples with their largest weight in the block, and a block is opened
+only where what the rare terms give in it and its largest weights together reach the k-th
+best cosine found so far: the neighbours are exactly those of a full scan.
 
 Neighbours vote by distance, 1 / (1 - cosine + softening).  A logistic calibration, fitted
 on the examples with each one's own vote left out, turns the vote, the best cosine and
@@ -21,34 +23,37 @@ only, the score is the smoothed share of ones; an empty table gives an empty res
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordCache, flatten, pick, ragged_take, slices, tidy, tuned
+from millrace.llm.common import WordCache, by_group, flatten, pick, ragged_take, slices, tidy, tuned, within_budget, written
 from millrace.llm.quality import bounded_sample, learnable
-from millrace.llm.subwords import subword_hashes
 
-SIZES = (3, 4, 5)
-SPACE = 1 << 20
 BLOCK = 32
+#: How many of the most frequent terms are bounded by blocks; which ones are changes no result.
+DENSE = 1024
 NEIGHBOURS = 15
 SOFTENING = 0.1
-#: Blocks scored before the first look at the bound; each look doubles it.
+#: What chance alone may give a term in chi-square, and the least relevance of a term.
+DOUBT, LEAST = 4.0, 0.5
+#: Cosines are rounded to so many digits, so that they do not depend on what is scored together.
+DIGITS = 9
+#: Blocks that are opened before the first look at the bounds.
 AT_ONCE = 8
-SAMPLE = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("text_key", pa.binary()), ("terms", pa.binary()), ("counts", pa.binary())])
+#: Documents that are searched together.
+TOGETHER = 128
+SAMPLE = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("text_key", pa.binary()), ("terms", pa.binary()), ("counts", pa.binary()), ("size", pa.int64())])
 _EDGES = "\"'`.,:;!?()[]{}<>|&%$#*-_/\\"
 
 
 def _terms(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed terms of chunks, and how many each has; punctuation around a chunk is no part of its word."""
+    """The hashed word of every chunk, if it has one: lower-cased, without punctuation around it."""
+    import xxhash
+
     words = [c.strip(_EDGES).lower() for c in chunks]
-    hashes, lengths = subword_hashes(words, SIZES)
-    full = np.fromiter(map(bool, words), bool, len(words))
-    return (hashes[np.repeat(full, lengths)] % np.uint64(SPACE)).astype(np.uint32), lengths * full
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words if w), np.uint64), np.fromiter(map(bool, words), np.int64, len(words))
 
 
 def chi_square(with_term: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -60,108 +65,137 @@ def chi_square(with_term: np.ndarray, totals: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over sparse unit vectors."""
-
-    def __init__(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int):
-        self.n, self.n_blocks = n, max(1, -(-n // BLOCK))
-        key = (owner // BLOCK) * n_terms + term
-        order = np.lexsort((owner, key))
-        self.owner, self.weight = owner[order], weight[order]
-        self.starts = np.searchsorted(key[order], np.arange(self.n_blocks * n_terms + 1))
-        self.n_terms = n_terms
-        self.best = np.zeros((n_terms, self.n_blocks), np.float32)
-        np.maximum.at(self.best, (term, owner // BLOCK), np.nextafter(weight.astype(np.float32), np.float32(2)))
-
-    def score_blocks(self, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of the blocks and their exact cosines."""
-        cell = (blocks[:, None] * self.n_terms + terms).ravel()
-        lengths = self.starts[cell + 1] - self.starts[cell]
-        at = ragged_take(self.starts[cell], lengths)
-        rows = np.repeat(np.arange(len(cell)), lengths)
-        slot = rows // len(terms) * BLOCK + self.owner[at] % BLOCK
-        dots = np.bincount(slot, self.weight[at] * weights[rows % len(terms)], minlength=len(blocks) * BLOCK)
-        found = np.flatnonzero(dots > 0)
-        return blocks[found // BLOCK] * BLOCK + found % BLOCK, dots[found]
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples and their cosines, falling; ties by the example's place."""
-        bounds = weights @ self.best[terms].astype(np.float64)
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        ids, dots = np.zeros(0, np.int64), np.zeros(0)
-        a, step = 0, AT_ONCE
-        while a < len(order) and not (len(dots) == k and dots[-1] > bounds[order[a]]):
-            more = self.score_blocks(order[a : a + step], terms, weights)
-            a, step = a + step, 2 * step
-            ids, dots = np.concatenate([ids, more[0]]), np.concatenate([dots, more[1]])
-            if skip >= 0:
-                ids, dots = ids[ids != skip], dots[ids != skip]
-            top = np.lexsort((ids, -dots))[:k]
-            ids, dots = ids[top], dots[top]
-        return ids, dots
+    """Exact top-k cosine over sparse unit vectors of examples, given as (owner, term, weight)."""
+
+    def __init__(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int, dense: int = DENSE):
+        self.n, self.n_terms, self.n_blocks = n, n_terms, max(1, -(-n // BLOCK))
+        order = np.lexsort((owner, term))
+        self.owner, self.term, self.weight = owner[order].astype(np.int32), term[order].astype(np.int32), weight[order]
+        self.df = np.bincount(term, minlength=n_terms)
+        self.frequent = np.sort(np.argsort(-self.df, kind="stable")[:dense])
+        self._opened = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_opened": None}
+
+    def _open(self) -> tuple:
+        """Column of every frequent term, weights and largest weights by block, and starts of the postings; made once a worker."""
+        if self._opened is None:
+            column = np.full(self.n_terms, -1, np.int32)
+            column[self.frequent] = np.arange(len(self.frequent))
+            held = column[self.term] >= 0
+            weights = np.zeros((self.n_blocks * BLOCK, len(self.frequent)))
+            weights[self.owner[held], column[self.term[held]]] = self.weight[held]
+            weights = weights.reshape(self.n_blocks, BLOCK, -1)
+            self._opened = column, weights, np.ascontiguousarray(weights.max(1).T), np.cumsum(self.df) - self.df
+        return self._opened
+
+    def search_all(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of n queries (owner, term, weight) the k nearest examples and their cosines, falling; ties by the
+        example's place.  ``skip`` names an example a query that does not count."""
+        column, weights, largest, starts = self._open()
+        width = self.n_blocks * BLOCK
+        at = column[term]
+        rare = at < 0
+        lengths = self.df[term[rare]]
+        posts = ragged_take(starts[term[rare]], lengths)
+        cells = np.repeat(owner[rare].astype(np.int64) * width, lengths) + self.owner[posts]
+        base = np.bincount(cells, np.repeat(weight[rare], lengths) * self.weight[posts], minlength=n * width).reshape(n, self.n_blocks, BLOCK)
+        asked = np.zeros((n, len(self.frequent)))
+        asked[owner[~rare], at[~rare]] = weight[~rare]
+        bounds = np.round(base.max(2) + asked @ largest + 2 * 10.0**-DIGITS, DIGITS)
+        cosines = np.zeros((n, self.n_blocks, BLOCK))
+        least = np.zeros(n)
+        todo = np.zeros((n, self.n_blocks), bool)
+        first = np.argpartition(-bounds, min(AT_ONCE, self.n_blocks) - 1, axis=1)[:, :AT_ONCE]
+        todo[np.arange(n)[:, None], first] = True
+        done = np.zeros_like(todo)
+        for _ in range(2):
+            for block in np.flatnonzero(todo.any(0)).tolist():
+                rows = np.flatnonzero(todo[:, block])
+                cosines[rows, block] = np.round(base[rows, block] + asked[rows] @ weights[block].T, DIGITS)
+            if skip is not None:
+                own = np.flatnonzero(skip >= 0)
+                cosines.reshape(n, width)[own, skip[own]] = 0
+            done |= todo
+            if width > k:
+                least = -np.partition(-cosines.reshape(n, width), k - 1, axis=1)[:, k - 1]
+            todo = ~done & (bounds >= least[:, None]) & (bounds > 0)
+        out = []
+        flat = cosines.reshape(n, width)
+        for q in range(n):
+            ids = np.flatnonzero((flat[q] >= least[q]) & (flat[q] > 0))
+            ids = ids[np.lexsort((ids, -flat[q, ids]))[:k]]
+            out.append((ids, flat[q, ids]))
+        return out
 
 
 class Model:
     """Vocabulary, index, labels and calibration."""
 
-    def __init__(self, doc_ids: list[int], labels: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], shares: np.ndarray, max_terms: int, k: int, least_chi: float = 28.0):
-        """shares: how many labelled rows of class 0 and 1 the sample stands for."""
+    def __init__(self, doc_ids: list[int], labels: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], shares: np.ndarray, document_frequency, k: int = NEIGHBOURS):
+        """shares: how many labelled rows of class 0 and 1 the sample stands for; document_frequency: a function from the
+        sorted vocabulary to how many documents there are and how many have each term."""
         self.k = k
-        self.column = np.full(SPACE, -1, np.int32)
-        n = len(labels)
         totals = np.bincount(labels, minlength=2)
         self.prior = float((shares[1] + 1) / (shares.sum() + 2))
         self.flat = not totals.all()
         if self.flat:
             return
-        flat = np.concatenate(terms)
-        df = np.stack([np.bincount(np.concatenate([t for t, y in zip(terms, labels) if y == c]), minlength=SPACE) for c in (0, 1)], axis=1)
-        chi = chi_square(df, totals)
-        order = np.argsort(-chi, kind="stable")
-        order = order[(chi[order] >= least_chi) & (df[order].sum(1) >= 3)]
-        # n-grams of one word stand in the same documents; one term of such a group says it all
-        marks = np.bincount(flat, np.repeat(np.random.default_rng(1).random(n), list(map(len, terms))), minlength=SPACE)
-        chosen = np.sort(order[np.sort(np.unique(marks[order], return_index=True)[1])[:max_terms]])
-        self.column[chosen] = np.arange(len(chosen))
-        expected = df[chosen] / totals * shares
-        self.idf = np.log(1 + shares.sum() / np.maximum(expected.sum(1), 1e-9))
-        del flat, df, chi
-        vectors = [self.vector(t[self.column[t] >= 0], c[self.column[t] >= 0]) for t, c in zip(terms, counts)]
-        first = np.array([v[0][np.argmax(v[1])] if len(v[0]) else -1 for v in vectors])
-        order = np.lexsort((first, labels))
-        order = order[first[order] >= 0]
-        vectors = [vectors[i] for i in order]
+        lengths = np.fromiter(map(len, terms), np.int64, len(terms))
+        self.vocabulary, term = np.unique(np.concatenate([np.zeros(0, np.uint64), *terms]), return_inverse=True)
+        owner, n_terms = np.repeat(np.arange(len(terms)), lengths), max(1, len(self.vocabulary))
+        by_class = np.stack([np.bincount(term[labels[owner] == c], minlength=n_terms) for c in (0, 1)], axis=1)
+        n_docs, df = document_frequency(self.vocabulary)
+        relevance = np.maximum(np.sqrt(np.maximum(chi_square(by_class, totals) - DOUBT, 0)), LEAST)
+        self.factor = np.log(1 + n_docs / np.maximum(df, 1)) * relevance if len(self.vocabulary) else np.zeros(1)
+        flat_counts = np.concatenate([np.zeros(0, np.uint32), *counts])
+        weight = self._unit(owner, term, flat_counts, len(labels))
+        # examples of one label and strongest term stand together, which makes the bounds of blocks tight
+        place = np.lexsort((weight, owner))
+        strongest = np.full(len(labels), -1)
+        strongest[owner[place]] = term[place]
+        order = np.lexsort((strongest, labels))
+        order = order[strongest[order] >= 0]
+        number = np.full(len(labels), -1)
+        number[order] = np.arange(len(order))
         self.labels, self.doc_ids = labels[order], np.array(doc_ids, np.int64)[order]
-        lengths = np.array([len(v[0]) for v in vectors], np.int64)
-        self.index = BlockMaxIndex(np.repeat(np.arange(len(order)), lengths), np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)]), np.concatenate([v[1] for v in vectors] or [np.zeros(0)]), len(order), max(1, len(chosen)))
-        self._calibrate(labels, order, vectors, shares / np.maximum(totals, 1), n)
-
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Columns and unit TF-IDF weights of known terms with their counts."""
-        columns = self.column[terms].astype(np.int64)
-        weights = (1 + np.log(counts)) * self.idf[columns]
-        norm = np.sqrt((weights**2).sum())
-        return columns, weights / norm if norm else weights
-
-    def _vote(self, ids: np.ndarray, dots: np.ndarray) -> float:
-        weight = 1 / (1 - np.minimum(dots, 1) + SOFTENING)
+        self.index = BlockMaxIndex(number[owner], term, weight, len(order), n_terms)
+        self._calibrate(labels, number, owner, term, flat_counts, by_class.sum(1), shares / np.maximum(totals, 1))
+
+    def _unit(self, owner: np.ndarray, term: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+        """Unit weights of the terms of n texts."""
+        weight = (1 + np.log(counts)) * self.factor[term]
+        norm = np.sqrt(np.bincount(owner, weight * weight, minlength=n))
+        return weight / norm[owner]
+
+    def _vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
+        weight = 1 / (1 - np.minimum(cosines, 1) + SOFTENING)
         return float((weight * self.labels[ids]).sum() / weight.sum())
 
-    def _calibrate(self, labels: np.ndarray, order: np.ndarray, vectors: list, inverse: np.ndarray, n: int) -> None:
-        """Weighted logistic regression of the label on vote and best cosine, own example left out."""
-        none = np.setdiff1d(np.arange(n), order)
-        weight = inverse[labels]
-        inputs, ys, ws = [], [], []
-        for i, (terms, weights) in enumerate(vectors):
-            ids, dots = self.index.search(terms, weights, self.k, skip=i)
+    def neighbours(self, owner: np.ndarray, term: np.ndarray, counts: np.ndarray, n: int, skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The nearest examples of n texts, given as (owner, term, count) in the order of owners."""
+        weight, out = self._unit(owner, term, counts, n), []
+        cuts = np.searchsorted(owner, np.arange(0, n + TOGETHER, TOGETHER))
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            first = i * TOGETHER
+            m = min(TOGETHER, n - first)
+            if m > 0:
+                out += self.index.search_all(owner[a:b] - first, term[a:b], weight[a:b], m, self.k, None if skip is None else skip[first : first + m])
+        return out
+
+    def _calibrate(self, labels: np.ndarray, number: np.ndarray, owner: np.ndarray, term: np.ndarray, counts: np.ndarray, df: np.ndarray, inverse: np.ndarray) -> None:
+        """Weighted logistic regression of the label on vote and best cosine, own example and its own words left out."""
+        others = df[term] > 1
+        found = self.neighbours(owner[others], term[others], counts[others], len(labels), number)
+        weight, inputs, at = inverse[labels], [], []
+        for i, (ids, cosines) in enumerate(found):
             if len(ids):
-                inputs.append((1, self._vote(ids, dots) - 0.5, dots[0]))
-                ys.append(self.labels[i])
-                ws.append(inverse[self.labels[i]])
-            else:
-                none = np.append(none, order[i])
+                inputs.append((1, self._vote(ids, cosines) - 0.5, cosines[0]))
+                at.append(i)
+        none = np.setdiff1d(np.arange(len(labels)), at)
         self.no_neighbour = float(((labels[none] * weight[none]).sum() + self.prior) / (weight[none].sum() + 1))
-        x, y, w = np.array(inputs).reshape(-1, 3), np.array(ys, float), np.array(ws, float)
+        x, y, w = np.array(inputs).reshape(-1, 3), labels[at].astype(float), weight[at]
         w = w / max(w.sum(), 1e-9) * max(len(w), 1)
         beta = np.zeros(3)
         for _ in range(30):
@@ -171,52 +205,102 @@ class Model:
             beta = beta + np.clip(np.linalg.solve(hess, grad), -5, 5)
         self.beta = beta
 
-    def known_terms(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The terms of chunks that are in the vocabulary, and how many each has."""
-        flat, lengths = _terms(chunks)
-        known = self.column[flat] >= 0
-        return flat[known], np.bincount(np.repeat(np.arange(len(lengths)), lengths)[known], minlength=len(lengths))
+    def word_numbers(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of every chunk's word in the vocabulary, if it is in it."""
+        return known_numbers(self.vocabulary, chunks)
 
-    def score(self, terms: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Score, and the nearest examples with their cosines, of a text's known terms with repetition."""
+    def score_all(self, texts: list[str], cache: WordCache) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, and the nearest examples with their cosines, of every text."""
         none = np.zeros(0, np.int64), np.zeros(0)
         if self.flat:
-            return self.prior, *none
-        if not len(terms):
-            return self.no_neighbour, *none
-        terms, counts = np.unique(terms, return_counts=True)
-        ids, dots = self.index.search(*self.vector(terms, counts), self.k)
-        if not len(ids):
-            return self.no_neighbour, *none
-        z = np.clip(self.beta @ (1, self._vote(ids, dots) - 0.5, dots[0]), -30, 30)
-        return float(1 / (1 + np.exp(-z))), ids, dots
-
-
-def train(docs: DataFrame, labels: DataFrame, max_ones: int = 2000, max_zeros: int = 3000, max_terms: int = 256, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on at most max_ones + max_zeros labelled rows (doc_id, label), in the order of a hash of doc_id."""
+            return [(self.prior, *none)] * len(texts)
+        out = []
+        for ids, cosines in self.neighbours(*text_terms(texts, cache, len(self.vocabulary)), len(texts)):
+            if len(ids):
+                z = np.clip(self.beta @ (1, self._vote(ids, cosines) - 0.5, cosines[0]), -30, 30)
+                out.append((float(1 / (1 + np.exp(-z))), ids, cosines))
+            else:
+                out.append((self.no_neighbour, *none))
+        return out
+
+
+def known_numbers(vocabulary: np.ndarray, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the chunks' words in a sorted vocabulary, and how many (0 or 1) each has."""
+    found, lengths = _terms(chunks)
+    at = np.searchsorted(vocabulary, found)
+    known = np.zeros(len(found), bool)
+    inside = at < len(vocabulary)
+    known[inside] = vocabulary[at[inside]] == found[inside]
+    lengths[lengths > 0] = known
+    return at[known].astype(np.uint32), lengths
+
+
+def text_terms(texts: list[str], cache: WordCache, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, term, count) of the known terms of texts, in the order of owners and terms."""
+    words, counts = flatten(t.split() for t in texts)
+    flat, lengths = cache.take(cache.codes(words))
+    owner = np.repeat(np.arange(len(texts)), by_group(lengths, counts))
+    cells, n = np.unique(owner * max(1, n_terms) + flat, return_counts=True)
+    return cells // max(1, n_terms), cells % max(1, n_terms), n
+
+
+def document_frequency(texts: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many texts there are, and how many have each term of the vocabulary.
+
+    Each task counts by term and sends one row a term it met; sums are partial before they
+    are shuffled, and at most a row a term of the bounded vocabulary comes to the driver.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        vocabulary = shared.value
+        cache = WordCache(lambda chunks: known_numbers(vocabulary, chunks), "uint32")
+        total, n = np.zeros(len(vocabulary), np.int64), 0
+        for batch in batches:
+            some = [t or "" for t in batch.column(0).to_pylist()]
+            n += len(some)
+            for a, b in slices(some):
+                total += np.bincount(text_terms(some[a:b], cache, len(vocabulary))[1], minlength=len(vocabulary))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], n))], ["term", "n"])
+
+    rows = texts.select("text").mapInArrow(tidy(run), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(vocabulary) + 1, np.int64)  # the last place is that of -1
+    out[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
+    shared.destroy()
+    return int(out[-1]), out[:-1]
+
+
+def train(docs: DataFrame, labels: DataFrame, max_ones: int = 2000, max_zeros: int = 3000, max_terms: int = 4_000_000, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fits on at most max_ones + max_zeros labelled rows (doc_id, label), in the order of a hash of doc_id,
+    whose distinct terms are at most max_terms in all; whole texts, however many examples that makes."""
     totals = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     sample = bounded_sample(labels.where("label = 1"), max_ones).union(bounded_sample(labels.where("label = 0"), max_zeros))
-    rows = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    texts = pick(docs, doc_id=id_col, text=text_col)
+    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
 
     def features(batches):
-        cache = WordCache(_terms, "uint32")
+        import xxhash
+
+        cache = WordCache(_terms, "uint64")
         for batch in batches:
             out = []
             for doc_id, label, text in zip(*(c.to_pylist() for c in batch.columns)):
                 flat, _ = cache.take(cache.codes((text or "").split()))
                 terms, counts = np.unique(flat, return_counts=True)
-                out.append({"doc_id": doc_id, "label": label, "text_key": hashlib.md5((text or "").encode()).digest(), "terms": terms.astype("<u4").tobytes(), "counts": np.minimum(counts, 65535).astype("<u2").tobytes()})
+                out.append({"doc_id": doc_id, "label": label, "text_key": xxhash.xxh3_128_digest((text or "").encode()), "terms": terms.astype("<u8").tobytes(), "counts": counts.astype("<u4").tobytes(), "size": len(terms)})
             yield pa.RecordBatch.from_pylist(out, SAMPLE)
 
-    found = rows.mapInArrow(tidy(features), "doc_id long, label int, text_key binary, terms binary, counts binary").toArrow().sort_by([("label", "descending"), ("doc_id", "ascending")])
+    made = written(rows.mapInArrow(tidy(features), "doc_id long, label int, text_key binary, terms binary, counts binary, size long"), "toxicity-examples")
+    found = within_budget(made, "size", max_terms, "text_key").sort_by([("label", "descending"), ("doc_id", "ascending"), ("text_key", "ascending")])
     once: dict[bytes, int] = {}
     for i, key in enumerate(found.column("text_key").to_pylist()):
         once.setdefault(key, i)
     found = found.take(pa.array(sorted(once.values()), pa.int64()))
-    terms = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in found.column("terms")]
-    counts = [np.frombuffer(x.as_py(), "<u2") for x in found.column("counts")]
+    terms = [np.frombuffer(x.as_py(), "<u8") for x in found.column("terms")]
+    counts = [np.frombuffer(x.as_py(), "<u4") for x in found.column("counts")]
     shares = np.array([totals.get(0, 0), totals.get(1, 0)], float)
-    return Model(found.column("doc_id").to_pylist(), np.array(found.column("label").to_pylist(), np.int64), terms, counts, shares, max_terms, k)
+    return Model(found.column("doc_id").to_pylist(), np.array(found.column("label").to_pylist(), np.int64), terms, counts, shares, lambda v: document_frequency(texts, v), k)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", n_evidence: int = 3) -> DataFrame:
@@ -227,18 +311,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         model = shared.value
-        cache = WordCache(model.known_terms, "uint32")
+        cache = None if model.flat else WordCache(model.word_numbers, "uint32")
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             scores, seen = [], []
             for a, b in slices(texts):
-                words, counts = flatten(t.split() for t in texts[a:b])
-                flat, lengths = cache.take(cache.codes(words))
-                ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
-                for terms in np.split(flat, ends[:-1]):
-                    value, ids, dots = model.score(terms)
+                for value, ids, cosines in model.score_all(texts[a:b], cache):
                     scores.append(value)
-                    seen.append([{"doc_id": int(model.doc_ids[i]), "label": int(model.labels[i]), "cosine": float(c)} for i, c in zip(ids[:n_evidence], dots[:n_evidence])])
+                    seen.append([{"doc_id": int(model.doc_ids[i]), "label": int(model.labels[i]), "cosine": float(c)} for i, c in zip(ids[:n_evidence], cosines[:n_evidence])])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(seen, evidence)], ["doc_id", "score", "evidence"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -1,14 +1,17 @@
 """The classifiers, the nearest-example search and the secret scan."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from millrace.llm import quality, queries, secrets, toxicity
+from millrace.llm.common import within_budget
 
 SF = "/root/testdata/sf0.01"
 
@@ -69,25 +72,87 @@ def test_learnable_folds(spark):
     assert quality.bounded_sample(quality.learnable(labels, "toxic", 0, 5), 7).count() == 7
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_block_max_search_equals_a_full_scan(seed):
+def ragged(dense):
+    owner, term = np.nonzero(dense)
+    return owner, term, dense[owner, term]
+
+
+@pytest.mark.parametrize("seed,n_dense", [(0, 1024), (1, 10), (2, 1), (3, 0)])
+def test_block_max_search_equals_a_full_scan(seed, n_dense):
     rng = np.random.default_rng(seed)
-    dense = rng.random((150, 40)) * (rng.random((150, 40)) < 0.15)
-    dense[rng.integers(0, 150, 30)] = dense[3]  # ties
+    dense = rng.random((350, 40)) * (rng.random((350, 40)) < 0.15)
+    dense[rng.integers(0, 350, 30)] = dense[3]  # ties
     norm = np.sqrt((dense**2).sum(1, keepdims=True))
     dense = np.where(norm > 0, dense / np.maximum(norm, 1e-12), 0)
-    owner, term = np.nonzero(dense)
-    index = toxicity.BlockMaxIndex(owner, term, dense[owner, term], 150, 40)
-    for _ in range(30):
-        q = rng.random(40) * (rng.random(40) < 0.2)
-        terms = np.flatnonzero(q)
-        if not len(terms):
-            continue
-        weights = q[terms] / np.sqrt((q**2).sum())
-        ids, dots = index.search(terms, weights, 9)
-        full = dense[:, terms] @ weights
-        want = np.sort(full[full > 1e-12])[::-1][:9]
-        assert np.allclose(dots, want) and np.allclose(full[ids], dots) and len(set(ids.tolist())) == len(ids)
+    index = toxicity.BlockMaxIndex(*ragged(dense), 350, 40, n_dense)
+    asked = rng.random((30, 40)) * (rng.random((30, 40)) < 0.2)
+    asked /= np.maximum(np.sqrt((asked**2).sum(1, keepdims=True)), 1e-12)
+    skip = np.where(rng.random(30) < 0.5, rng.integers(0, 350, 30), -1)
+    for skipped in (None, skip):
+        for q, (ids, cosines) in enumerate(index.search_all(*ragged(asked), 30, 9, skipped)):
+            full = np.round(dense @ asked[q], toxicity.DIGITS)
+            if skipped is not None and skip[q] >= 0:
+                full[skip[q]] = 0
+            want = sorted(np.flatnonzero(full > 0).tolist(), key=lambda i: (-full[i], i))[:9]
+            assert ids.tolist() == want and cosines.tolist() == full[want].tolist()
+
+
+def plain_words(text):
+    return [w for w in (c.strip(toxicity._EDGES).lower() for c in (text or "").split()) if w]
+
+
+def test_toxicity_query_equals_brute_force(spark):
+    """The query's scores and neighbours, from dictionaries and a scan of all examples."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    df = Counter(w for t in docs.values() for w in set(plain_words(t)))
+    seen, examples = set(), []
+    for i in sorted(labels, key=lambda i: (-labels[i], i)):
+        if docs[i] not in seen:
+            seen.add(docs[i])
+            examples.append((i, labels[i], Counter(plain_words(docs[i]))))
+    totals = [sum(y == c for _, y, _ in examples) for c in (0, 1)]
+    by_class = [Counter(w for _, y, words in examples if y == c for w in words) for c in (0, 1)]
+    factor = {}
+    for w in by_class[0].keys() | by_class[1].keys():
+        a, b = by_class[1][w], by_class[0][w]
+        c, d = totals[1] - a, totals[0] - b
+        below = (a + b) * (c + d) * (a + c) * (b + d)
+        chi = (a * d - b * c) ** 2 * sum(totals) / below if below else 0
+        factor[w] = math.log(1 + len(docs) / df[w]) * max(max(chi - 4, 0) ** 0.5, 0.5)
+
+    def vector(words):
+        v = {w: (1 + math.log(n)) * factor[w] for w, n in words.items() if w in factor}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = [(i, y, vector(words)) for i, y, words in examples]
+    got = {r["doc_id"]: r for r in queries.QUERIES["op2_toxicity"](spark, SF).collect()}
+    votes = []
+    for i in sorted(docs)[::9]:
+        q = vector(Counter(plain_words(docs[i])))
+        cosines = sorted(((sum(x * v[w] for w, x in q.items() if w in v), y, j) for j, y, v in vectors), reverse=True)[:15]
+        cosines = [c for c in cosines if c[0] > 0]
+        mine = [int(x) for x in got[i]["nearest"].split(",") if x]
+        assert len(mine) == min(3, len(cosines))
+        value = {j: c for c, _, j in cosines}
+        assert [value[j] for j in mine] == pytest.approx([c for c, _, _ in cosines[:3]], abs=2e-9)
+        if cosines:
+            weight = [1 / (1 - c + 0.1) for c, _, _ in cosines]
+            votes.append((sum(w for w, (_, y, _) in zip(weight, cosines) if y) / sum(weight), cosines[0][0], got[i]["score"]))
+    # scores are one logistic function of the vote and the best cosine
+    x = np.array([(1, v, c) for v, c, _ in votes])
+    z = np.log([s / (1 - s) for _, _, s in votes])
+    beta = np.linalg.lstsq(x, z, rcond=None)[0]
+    assert len(votes) > 50 and np.abs(x @ beta - z).max() < 1e-5 and beta[1] > 0
+
+
+def test_samples_stay_within_their_budget(spark):
+    rows = spark.createDataFrame([(k, 10, bytes([k])) for k in range(20)] + [(20, 1000, b"x")], "doc_id long, size long, key binary")
+    assert within_budget(rows, "size", 10**6, "key").num_rows == 21
+    few = within_budget(rows, "size", 55, "key")
+    assert 1 <= few.num_rows <= 5 and (few.num_rows == 1 or sum(few.column("size").to_pylist()) <= 55)
+    assert within_budget(rows.limit(0), "size", 55, "key").num_rows == 0
 
 
 BRUTE = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
