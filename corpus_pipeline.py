@@ -5,8 +5,8 @@ returns a DataFrame, which is written as Parquet and read again as the next stag
 All but the last return the columns of docs.
 
 Edge cases: rows with null texts count as empty texts; rows with a null doc_id are kept by
-the stages that drop documents by id; of repeated doc_ids one row stays after
-deduplication; empty tables go through as empty tables.
+deduplication and judged by their texts in the other stages; of repeated doc_ids the row
+of the least text digest stays after deduplication; empty tables go through as empty tables.
 """
 
 from __future__ import annotations
@@ -43,14 +43,21 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # of differing texts under one id the one with the least digest stays, whatever the order of rows
+    first = F.min_by(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]), F.struct(F.sha2(F.coalesce("text", F.lit("")), 256), F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])))
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("row")).select("row.*")
     return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item, also with other numbers, units and names."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Drops the documents that hold a benchmark item, also with other numbers, units and names.
+
+    A text alone decides, so rows are named by a digest of their text: also those with a null or repeated doc_id.
+    """
+    name = _free("key", docs)
+    keyed = docs.withColumn(name, F.xxhash64(F.col("text")))
+    found = decontam.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=name)
+    return keyed.join(found.select(F.col("doc_id").alias(name)).distinct(), name, "left_anti").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
