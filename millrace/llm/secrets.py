@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns, and a character convolutional network over every candidate.
 
 Base findings are the matches of three patterns (assign, access, hex).  Candidates are
-all runs of ``LEAST`` or more token characters that look composed (a digit, a symbol or
-capitals inside).  Each candidate that meets no base finding is scored, with the text
-around it, by a network in numpy: character vectors, two convolutions, maximum and mean
+all runs of ``LEAST`` or more token characters, whatever they look like; below that length
+runs are words so often (24,000 runs of 8 or more in a MB of text, 1,800 of 12 or more) that
+the network would take the whole time that a scan may take.  Each candidate that meets no
+base finding is scored, with the text around it, by a network in numpy: character vectors, two convolutions, maximum and mean
 over the candidate, a logistic output.  Long candidates are scored in overlapping
 windows, of which the highest counts.
 
@@ -27,16 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import pick, tidy, tuned
+from millrace.llm.common import pick, tidy, tuned, written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-COMPOSED = re.compile(r"[0-9+/_=]|[a-z.-][A-Z]|[A-Za-z][.-][A-Za-z]")
+LEAST = 12
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 KINDS = ("assign", "access", "hex", "cnn")
-LEAST = 16
 CONTEXT, INSIDE = 24, 48
 WIDTH = 2 * CONTEXT + INSIDE
 RECALL = 0.98
@@ -51,7 +51,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     for run in RUN.finditer(text):
         a, b = run.span()
-        if "AKIA" in run[0]:
+        if b - a >= 16 and "AKIA" in run[0]:
             out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text, a, b) if m.end() - m.start() >= 16]
         if b - a >= 32:
             out += [(m.start(), 2, m.end()) for m in HEX.finditer(text, a, b)]
@@ -59,11 +59,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]] = ()) -> list[tuple[int, int]]:
-    """Places of all composed runs that meet no taken span."""
+    """Places of all runs, without closing punctuation, that meet no taken span."""
     out = []
     for run in RUN.finditer(text):
-        if not COMPOSED.search(run[0]):
-            continue
         a, b = run.start(), run.start() + len(run[0].rstrip(".=-/"))
         if b - a >= LEAST and not any(s < b and a < e for s, _, e in taken):
             out.append((a, b))
@@ -75,20 +73,20 @@ _CODE[32:127] = np.arange(1, 96)
 _CODE[[9, 10, 13]] = 96
 
 
+def encode_all(text: str, places: list[tuple[int, int]]) -> tuple[np.ndarray, list[int]]:
+    """Windows over candidates, and how many each has: character codes (0 outside the text), 128 more inside the candidate."""
+    starts = [range(a, max(a + 1, b - INSIDE // 2), INSIDE // 2) for a, b in places]
+    counts = list(map(len, starts))
+    at = np.array([x for r in starts for x in r], np.int64)[:, None] + np.arange(-CONTEXT, INSIDE + CONTEXT)
+    codes = np.zeros(len(text) + 2, np.uint8)  # the two ends stand for what is outside
+    codes[1:-1] = _CODE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 0x24F)]
+    rows = codes[np.clip(at + 1, 0, len(text) + 1)]
+    a, b = (np.repeat(np.array([p[k] for p in places], np.int64), counts)[:, None] for k in (0, 1))
+    return rows + ((at >= a) & (at < b)).astype(np.uint8) * np.uint8(128), counts
+
+
 def encode(text: str, a: int, b: int) -> np.ndarray:
-    """Windows over a candidate: character codes (0 outside the text), 128 more inside the candidate."""
-    rows = []
-    for at in range(a, max(a + 1, b - INSIDE // 2), INSIDE // 2):
-        start = at - CONTEXT
-        piece = text[max(0, start) : at + INSIDE + CONTEXT]
-        points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4")
-        row = np.zeros(WIDTH, np.uint8)
-        shift = max(0, -start)
-        row[shift : shift + len(points)] = _CODE[np.minimum(points, 0x24F)]
-        inside = np.arange(WIDTH) + start
-        row[(inside >= a) & (inside < b)] += 128
-        rows.append(row)
-    return np.stack(rows)
+    return encode_all(text, [(a, b)])[0]
 
 
 class CharCNN:
@@ -200,15 +198,16 @@ def generated(n: int, seed: int = 11) -> tuple[list[np.ndarray], list[int]]:
         return "".join(draw("bcdfghklmnprstvwz", 1, 2) + draw("aeiou", 1, 2) + draw("nrst", 0, 2) for _ in range(rng.integers(1, 5)))
 
     secrets = [
-        lambda: draw("0123456789abcdef", 32, 65), lambda: draw(many, 20, 45), lambda: draw(many + "+/", 24, 60) + "==", lambda: "AKIA" + draw(upper + digits, 16, 17),
+        lambda: draw("0123456789abcdef", 16, 65), lambda: draw(many, 12, 45), lambda: draw(many + "+/", 24, 60) + "==", lambda: "AKIA" + draw(upper + digits, 16, 17),
         lambda: "sk_live_" + draw(many, 20, 33), lambda: "ghp_" + draw(many, 36, 37), lambda: "eyJ" + draw(many, 20, 40) + "." + draw(many + "_-", 30, 60),
-        lambda: draw(upper + digits, 20, 40), lambda: draw(many + "_-", 30, 45),
+        lambda: draw(upper + digits, 14, 40), lambda: draw(many + "_-", 16, 45), lambda: draw(upper, 18, 36), lambda: draw(lower + digits, 14, 36),
     ]
     others = [
         lambda: draw(digits, 16, 20), lambda: "_".join(word() for _ in range(4)), lambda: "/".join(word() for _ in range(4)), lambda: f"mail{draw(digits, 1, 3)}.example.com",
         lambda: f"20{draw(digits, 2, 3)}-{draw(digits, 2, 3)}-{draw(digits, 2, 3)}T{draw(digits, 2, 3)}", lambda: "-".join(word() for _ in range(3)) + draw(digits, 1, 3),
         lambda: word() + word().capitalize() + word().capitalize(), lambda: "==" + "=" * int(rng.integers(14, 40)), lambda: "www." + word() + word() + "." + draw(lower, 2, 4),
         lambda: f"v{draw(digits, 1, 3)}.{draw(digits, 1, 3)}.{draw(digits, 1, 3)}-" + word() + word() + word(), lambda: (word() + word()).capitalize() + "." + (word() + word()).capitalize(),
+        lambda: word() + word() + word(), lambda: (word() + word() + word()).capitalize(), lambda: (word() + word()).upper(), lambda: (word() + word()).upper() + "_" + word().upper(),
     ]
     rows, labels = [], []
     for i in range(n):
@@ -227,7 +226,7 @@ def generated(n: int, seed: int = 11) -> tuple[list[np.ndarray], list[int]]:
 FINDINGS = pa.schema([("label", pa.int32()), ("window", pa.binary())])
 
 
-def train(docs: DataFrame, max_docs: int = 3000, max_each: int = 1500, n_generated: int = 1600, id_col: str = "doc_id", text_col: str = "text") -> CharCNN:
+def train(docs: DataFrame, max_docs: int = 3000, max_each: int = 3000, n_generated: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> CharCNN:
     """Fits on the findings of at most ``max_docs`` documents (whole texts, first in the order of a hash of
     doc_id), at most ``max_each`` windows a label, and generated examples."""
     texts = pick(docs, doc_id=id_col, text=text_col)
@@ -239,11 +238,15 @@ def train(docs: DataFrame, max_docs: int = 3000, max_each: int = 1500, n_generat
             for text in batch.column(0).to_pylist():
                 text = text or ""
                 taken = base_spans(text)
-                places = [(1, max(a, text.rfind(" ", a, b) + 1), b) for a, _, b in taken] + [(0, a, b) for a, b in candidates(text, taken)]
-                out += [{"label": label, "window": row.tobytes()} for label, a, b in places for row in encode(text, a, b)]
+                secrets, others = [(max(a, text.rfind(" ", a, b) + 1), b) for a, _, b in taken], candidates(text, taken)
+                rows, counts = encode_all(text, secrets + others)
+                labels = np.repeat([1] * len(secrets) + [0] * len(others), counts)
+                out += [{"label": int(label), "window": row.tobytes()} for label, row in zip(labels, rows)]
+                if others and len(capitals := text.upper()) == len(text):  # words in capitals are rare, and no secrets
+                    out += [{"label": 0, "window": row.tobytes()} for row in encode_all(capitals, others)[0]]
             yield pa.RecordBatch.from_pylist(out, FINDINGS)
 
-    found = texts.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(tidy(findings), "label int, window binary").distinct()
+    found = written(texts.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(tidy(findings), "label int, window binary").distinct(), "findings")
     first = [found.where(F.col("label") == k).orderBy(F.xxhash64("window"), "window").limit(max_each) for k in (0, 1)]
     rows = first[0].union(first[1]).orderBy("label", "window").collect()
     windows, labels = generated(n_generated)
@@ -257,17 +260,31 @@ ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()),
 
 def find_all(texts: list[str], net: CharCNN) -> list[list[dict]]:
     """All spans of every text, by start and then kind; base findings have score 1."""
-    base = [base_spans(t) for t in texts]
-    places = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t, base[i])]
-    out = [[{"kind": KINDS[k], "start": a, "end": b, "score": 1.0} for a, k, b in spans] for spans in base]
-    for start in range(0, len(places), 256):
-        some = places[start : start + 256]
-        rows = [encode(texts[i], a, b) for i, a, b in some]
-        scores = net.scores(np.concatenate(rows))
-        best = np.maximum.reduceat(scores, np.cumsum([0, *map(len, rows)])[:-1])
-        for (i, a, b), score in zip(some, best.tolist()):
-            if score >= net.threshold:
-                out[i].append({"kind": "cnn", "start": a, "end": b, "score": score})
+    out, owners, rows, counts = [], [], [], []
+
+    def decide() -> None:
+        """Scores the windows gathered so far; a candidate has the highest score of its windows."""
+        if owners:
+            best = np.maximum.reduceat(net.scores(np.concatenate(rows)), np.cumsum([0, *counts])[:-1])
+            for (i, a, b), score in zip(owners, best.tolist()):
+                if score >= net.threshold:
+                    out[i].append({"kind": "cnn", "start": a, "end": b, "score": score})
+            for held in (owners, rows, counts):
+                held.clear()
+
+    for i, text in enumerate(texts):
+        base = base_spans(text)
+        out.append([{"kind": KINDS[k], "start": a, "end": b, "score": 1.0} for a, k, b in base])
+        places = candidates(text, base)
+        for start in range(0, len(places), 512):
+            some = places[start : start + 512]
+            windows, n = encode_all(text, some)
+            owners += [(i, a, b) for a, b in some]
+            rows.append(windows)
+            counts += n
+            if len(owners) >= 512:
+                decide()
+    decide()
     return [sorted(spans, key=lambda s: (s["start"], KINDS.index(s["kind"]))) for spans in out]
 
 

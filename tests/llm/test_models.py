@@ -227,3 +227,57 @@ def test_secret_query_digests(spark):
         text = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base)
         r = got[d["doc_id"]]
         assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest() and r["n_assign"] == sum(k == 0 for _, k, _ in base)
+
+
+def plain_window(text, start, a, b):
+    """Codes of a window by a loop over its characters."""
+    out = []
+    for at in range(start - secrets.CONTEXT, start + secrets.INSIDE + secrets.CONTEXT):
+        code = 0
+        if 0 <= at < len(text):
+            point = ord(text[at])
+            code = 96 if point in (9, 10, 13) else point - 31 if 32 <= point < 127 else 98
+        out.append(code + 128 * (a <= at < b))
+    return out
+
+
+def test_every_candidate_is_scored(spark):
+    """The added spans are those that a plain scan of all runs gives."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    net = secrets.train(docs)
+    texts = [r["text"] or "" for r in docs.where("doc_id % 20 = 3").collect()] + ["QWERTZUIOPASDFGHJKLY", "x aB3dE5gH7jK9mN1.", "ab" * 200, "password=abcdefgh1234 é aB3dE5gH7jK9mN1é"]
+    n = 0
+    for text, found in zip(texts, secrets.find_all(texts, net)):
+        base, want = brute_base(text), []
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text):
+            a, b = m.start(), m.start() + len(m[0].rstrip(".=-/"))
+            if len(m[0]) >= 12 and b - a >= 12 and not any(s < b and a < e for s, _, e in base):
+                windows = [plain_window(text, at, a, b) for at in range(a, max(a + 1, b - 24), 24)]
+                n += 1
+                if net.scores(np.array(windows, np.uint8)).max() >= net.threshold:
+                    want.append((a, b))
+        assert [(s["start"], s["end"]) for s in found if s["kind"] == "cnn"] == want
+    assert n > 100
+
+
+def test_recall_of_secrets_planted_in_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    net, rng = secrets.train(docs), random.Random(5)
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+    draw = lambda alphabet, least, most: "".join(rng.choice(alphabet) for _ in range(rng.randint(least, most)))
+    makers = [
+        lambda: draw(letters + digits, 12, 20), lambda: draw(letters + digits, 20, 40), lambda: draw(letters[:26], 20, 20), lambda: "ghp_" + draw(letters + digits, 36, 36),
+        lambda: draw(letters + digits + "+/", 40, 40) + "==", lambda: draw("abcdef" + digits, 16, 31), lambda: draw(letters[26:] + digits, 16, 16),
+    ]
+    texts, places, clean = [], [], []
+    for r in docs.collect():
+        text = r["text"] or ""
+        at = text.find(" ", rng.randint(0, max(0, len(text) - 1)))
+        at, value = len(text) if at < 0 else at, rng.choice(makers)()
+        texts.append(f"{text[:at]} {value}{text[at:]}")
+        places.append((at + 1, at + 1 + len(value)))
+        clean.append(text)
+    met = [any(s["start"] < b and a < s["end"] for s in found) for found, (a, b) in zip(secrets.find_all(texts, net), places)]
+    assert np.mean(met) >= 0.9
+    false = sum(s["kind"] == "cnn" for found in secrets.find_all(clean, net) for s in found)
+    assert false <= 0.005 * sum(len(secrets.candidates(t, secrets.base_spans(t))) for t in clean)
