@@ -7,7 +7,8 @@ its sample tables (stts, stsc, stsz, stco/co64, stss) and returns what they say;
 bytes are only located, never decoded.
 
 Edge cases: a null or empty text is one frame of zeros; a null container or one without
-a readable movie box gives null features; equal texts give equal containers (no clocks
+a readable movie box gives null features, and so do boxes, tables, offsets or sync samples
+that say more than the file holds; memory is bounded by the file's own size; equal texts give equal containers (no clocks
 or random values are stored); long payloads get 64-bit sizes and offsets.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +87,7 @@ def encode_container(payload: bytes) -> bytes:
 
 @dataclass
 class Track:
-    """What a track's boxes say."""
+    """What a track's boxes say.  Tables are as long as their boxes; counts that say more are rejected."""
 
     handler: str = ""
     codec: str = ""
@@ -94,31 +95,58 @@ class Track:
     height: int = 0
     timescale: int = 0
     duration: int = 0
-    times: list = field(default_factory=list)
+    times: np.ndarray | None = None
     runs: np.ndarray | None = None
+    n_samples: int = 0
+    #: The size of all samples, or 0 where ``sizes`` lists them.
+    size: int = 0
     sizes: np.ndarray | None = None
     chunks: np.ndarray | None = None
     sync: np.ndarray | None = None
 
-    def ranges(self) -> tuple[np.ndarray, np.ndarray]:
-        """Byte offset and size of every sample, from the chunk and size tables."""
-        if self.sizes is None or self.chunks is None or self.runs is None or not len(self.sizes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def _before(self, samples: np.ndarray) -> np.ndarray:
+        """Bytes of all samples before the given ones (numbers from 0)."""
+        if self.size:
+            return samples * self.size
+        return np.concatenate([np.zeros(1, np.int64), np.cumsum(self.sizes)])[samples]
+
+    def _heads(self) -> np.ndarray:
+        """The first sample of every chunk, and where the last one ends, by the chunk runs."""
+        first = self.runs[:, 0]
+        if len(first) and (first[0] != 1 or (np.diff(first) < 1).any()):
+            raise ValueError("chunk runs must rise from the first chunk")
         per = np.zeros(len(self.chunks), np.int64)
-        for i, (first, count) in enumerate(self.runs.tolist()):
-            until = int(self.runs[i + 1][0]) - 1 if i + 1 < len(self.runs) else len(per)
-            per[first - 1 : until] = count
-        if per.sum() < len(self.sizes):
+        for i, (start, count) in enumerate(self.runs[first <= len(per)].tolist()):
+            until = int(first[i + 1]) - 1 if i + 1 < len(first) else len(per)
+            per[start - 1 : until] = count
+        heads = np.concatenate([np.zeros(1, np.int64), np.cumsum(per)])
+        if heads[-1] < self.n_samples:
             raise ValueError("the chunk table holds too few samples")
-        chunk = np.repeat(np.arange(len(per)), per)[: len(self.sizes)]
-        before = np.cumsum(self.sizes) - self.sizes
-        heads = np.concatenate([[0], np.cumsum(per)[:-1]]).clip(max=len(self.sizes) - 1)
-        return self.chunks[chunk] + before - before[heads[chunk]], self.sizes
+        return np.minimum(heads, self.n_samples)
+
+    def ranges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Byte offset and size of what every chunk holds, from the chunk and size tables."""
+        if self.chunks is None or self.runs is None or not self.n_samples:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = self._before(self._heads())
+        return self.chunks, np.diff(held)
 
-    def keyframes(self) -> np.ndarray:
-        """Numbers (from 0) of the sync samples; all samples where no table lists them."""
-        n = 0 if self.sizes is None else len(self.sizes)
-        return np.arange(n) if self.sync is None else self.sync - 1
+    def keyframes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Byte offset and size of every sync sample.  Where no table lists them all samples are: then those of chunks, each
+        a run of keyframes."""
+        offsets, sizes = self.ranges()
+        if self.sync is None or not len(offsets):
+            return offsets[sizes > 0], sizes[sizes > 0]
+        sync, heads = self.sync - 1, self._heads()
+        if len(sync) and (sync.min() < 0 or sync.max() >= self.n_samples):
+            raise ValueError("a sync sample that there is not")
+        chunk = np.searchsorted(heads, sync, "right") - 1
+        start = self._before(sync)
+        return offsets[chunk] + start - self._before(heads[chunk]), self._before(sync + 1) - start
+
+
+#: Boxes inside boxes beyond which a file is taken as broken.
+DEEPEST = 32
 
 
 def _walk(data: memoryview, start: int, end: int):
@@ -135,69 +163,86 @@ def _walk(data: memoryview, start: int, end: int):
         start += size
 
 
-def parse_container(data: bytes) -> list[Track]:
-    """The tracks of a container.  Media data boxes are stepped over."""
+def parse_container(data: bytes, most: int | None = None) -> list[Track]:
+    """The tracks of a container, or the first ``most``.  Media data boxes are stepped over."""
     view, tracks = memoryview(data), []
 
-    def table(start: int, dtype: str, count: int) -> np.ndarray:
-        return np.frombuffer(view, dtype, count, start).astype(np.int64)
-
-    def visit(start: int, end: int) -> None:
-        for kind, a, b in _walk(view, start, end):
-            if kind == b"trak":
-                tracks.append(Track())
-            if kind in CONTAINERS:
-                visit(a, b)
-                continue
-            if not tracks:
-                continue
-            t = tracks[-1]
-            if kind == b"mdhd":
-                form, at = (">IQ", a + 20) if view[a] else (">II", a + 12)
-                t.timescale, t.duration = struct.unpack_from(form, view, at)
-            elif kind == b"hdlr":
-                t.handler = bytes(view[a + 8 : a + 12]).decode("latin-1")
-            elif kind == b"stsd" and struct.unpack_from(">I", view, a + 4)[0]:
-                t.codec = bytes(view[a + 12 : a + 16]).decode("latin-1").strip()
-                if t.handler == "vide":
-                    t.width, t.height = struct.unpack_from(">HH", view, a + 8 + 32)
-            elif kind == b"stts":
-                t.times = table(a + 8, ">u4", 2 * struct.unpack_from(">I", view, a + 4)[0]).reshape(-1, 2).tolist()
-            elif kind == b"stsc":
-                t.runs = table(a + 8, ">u4", 3 * struct.unpack_from(">I", view, a + 4)[0]).reshape(-1, 3)[:, :2]
-            elif kind == b"stsz":
-                size, n = struct.unpack_from(">II", view, a + 4)
-                t.sizes = np.full(n, size, np.int64) if size else table(a + 12, ">u4", n)
-            elif kind in (b"stco", b"co64"):
-                t.chunks = table(a + 8, ">u4" if kind == b"stco" else ">u8", struct.unpack_from(">I", view, a + 4)[0])
-            elif kind == b"stss":
-                t.sync = table(a + 8, ">u4", struct.unpack_from(">I", view, a + 4)[0])
-
-    visit(0, len(view))
+    def table(a: int, b: int, dtype: str, count: int) -> np.ndarray:
+        if a + count * int(dtype[2:]) > b:
+            raise ValueError("a table is longer than its box")
+        return np.frombuffer(view, dtype, count, a).astype(np.int64)
+
+    def number(a: int) -> int:
+        return struct.unpack_from(">I", view, a)[0]
+
+    work = [_walk(view, 0, len(view))]
+    while work:
+        found = next(work[-1], None)
+        if found is None:
+            work.pop()
+            continue
+        kind, a, b = found
+        if kind == b"trak":
+            if len(tracks) == most:
+                break
+            tracks.append(Track())
+        if kind in CONTAINERS:
+            if len(work) == DEEPEST:
+                raise ValueError("boxes are nested too deep")
+            work.append(_walk(view, a, b))
+            continue
+        if not tracks:
+            continue
+        t = tracks[-1]
+        if kind == b"mdhd":
+            form, at = (">IQ", a + 20) if view[a] else (">II", a + 12)
+            t.timescale, t.duration = struct.unpack_from(form, view, at)
+        elif kind == b"hdlr":
+            t.handler = bytes(view[a + 8 : a + 12]).decode("latin-1")
+        elif kind == b"stsd" and number(a + 4):
+            t.codec = bytes(view[a + 12 : a + 16]).decode("latin-1").strip()
+            if t.handler == "vide":
+                t.width, t.height = struct.unpack_from(">HH", view, a + 8 + 32)
+        elif kind == b"stts":
+            t.times = table(a + 8, b, ">u4", 2 * number(a + 4)).reshape(-1, 2)
+        elif kind == b"stsc":
+            t.runs = table(a + 8, b, ">u4", 3 * number(a + 4)).reshape(-1, 3)[:, :2]
+        elif kind == b"stsz":
+            t.size, t.n_samples = struct.unpack_from(">II", view, a + 4)
+            t.sizes = None if t.size else table(a + 12, b, ">u4", t.n_samples)
+        elif kind in (b"stco", b"co64"):
+            t.chunks = table(a + 8, b, ">u4" if kind == b"stco" else ">u8", number(a + 4))
+        elif kind == b"stss":
+            t.sync = table(a + 8, b, ">u4", number(a + 4))
     return tracks
 
 
 def describe(data: bytes | None) -> dict | None:
     """codec, size, duration and keyframe ranges of the first track; None if it can't be read."""
     try:
-        track = parse_container(data)[0] if data is not None else None
-        if track is None:
+        tracks = parse_container(data, 1) if data is not None else []
+        if not tracks:
+            return None
+        track = tracks[0]
+        if track.n_samples and (track.size * track.n_samples if track.size else int(track.sizes.sum())) > len(data):
             return None
         offsets, sizes = track.ranges()
-        keys = track.keyframes()
-        if len(offsets) and int((offsets + sizes).max()) > len(data):
+        keys, key_sizes = track.keyframes()
+        if len(offsets) and (int(offsets.min()) < 0 or int((offsets + sizes).max()) > len(data)):
+            return None
+        duration = 1000 * track.duration // track.timescale if track.timescale else 0
+        if duration >= 1 << 63:
             return None
         return {
-            "codec": track.codec, "width": track.width, "height": track.height, "n_samples": len(sizes),
-            "duration_ms": 1000 * track.duration // track.timescale if track.timescale else 0,
-            "key_offsets": offsets[keys], "key_sizes": sizes[keys], "offsets": offsets, "sizes": sizes,
+            "codec": track.codec, "width": track.width, "height": track.height, "n_samples": track.n_samples, "duration_ms": duration,
+            "key_offsets": keys, "key_sizes": key_sizes, "offsets": offsets, "sizes": sizes,
         }
     except (ValueError, struct.error, IndexError):
         return None
 
 
 def stored_samples(data: bytes, found: dict) -> bytes:
-    """The bytes of all samples, in order, by the ranges that were read."""
+    """The bytes of all samples, in order, by the ranges of chunks that were read."""
     offsets, sizes = found["offsets"], found["sizes"]
     if not len(offsets):
         return b""
