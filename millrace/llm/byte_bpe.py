@@ -13,6 +13,13 @@ Decoding joins ids to the token-byte table (a table of the vocabulary's fixed si
 A word, however frequent, meets at most one entry a block, so no word is a hot key.
 Blocks are bounded by characters, so no task holds more than a block (or one text).
 
+Hash buckets and tasks are counted from the bytes of text, so what one holds does not grow
+with the table.
+
+tiktoken's and Python's pattern libraries know different versions of Unicode.  Characters
+that the pattern's classes see differently are replaced by stand-ins while a text is cut,
+so every text is cut as tiktoken cuts it.
+
 Edge cases: null and empty texts have no ids and decode to no bytes; repeated or null
 doc_ids keep one result a row; an empty table gives an empty result.
 """
@@ -20,6 +27,7 @@ doc_ids keep one result a row; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from functools import lru_cache
 
@@ -29,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import filesystem, fresh_path, pick, ragged_take, tidy, tidy_group, tuned, written
+from millrace.llm.common import filesystem, fresh_path, n_buckets, n_tasks, pick, ragged_take, text_bytes, tidy, tidy_group, tuned, written
 from millrace.llm.packing import expand, pack, read_sections, squeeze, unpack, write_sections
 
 BLOCK_CHARS = 6_000_000
@@ -63,6 +71,49 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("millrace", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
+def _classes(pattern: str) -> list[str]:
+    """The character classes that a pattern names."""
+    return sorted(set(re.findall(r"\\p\{\w+\}|\\[sSdDwW]", pattern)))
+
+
+@lru_cache(maxsize=4)
+def stand_ins(pattern: str) -> dict[int, str]:
+    """Code points that tiktoken puts in other classes of the pattern than Python does, each with a
+    character that Python puts where tiktoken puts the code point."""
+    import regex
+    import tiktoken
+
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+    every = points.astype("<u4").tobytes().decode("utf-32-le")
+    plain = {bytes([i]): i for i in range(256)}
+    there, here = np.zeros(0x110000, np.int64), np.zeros(0x110000, np.int64)
+    for i, kind in enumerate(_classes(pattern)):
+        found = bytes(tiktoken.Encoding("class", pat_str=kind, mergeable_ranks=plain, special_tokens={}).encode_ordinary(every))
+        for seen, text in ((there, found.decode()), (here, "".join(regex.findall(kind, every)))):
+            seen[np.frombuffer(text.encode("utf-32-le"), "<u4")] |= 1 << i
+    usual = points[(points > 127) & (there[points] == here[points])]
+    first = {int(kind): chr(usual[at]) for kind, at in zip(*np.unique(here[usual], return_index=True))}
+    return {int(c): first[int(there[c])] for c in points[there[points] != here[points]].tolist() if int(there[c]) in first}
+
+
+def splitter(pattern: str, others: dict[int, str]):
+    """A function from a text to its pre-tokens, which together are the text."""
+    import regex
+
+    find = regex.compile(pattern)
+    points = sorted(others)
+    starts = [c for c in points if c - 1 not in others]
+    ends = [c for c in points if c + 1 not in others]
+    odd = re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends)) + "]") if points else None
+
+    def split(text: str) -> list[str]:
+        if odd is None or text.isascii() or not odd.search(text):
+            return find.findall(text)
+        return [text[m.start() : m.end()] for m in find.finditer(text.translate(others))]
+
+    return split
+
+
 @lru_cache(maxsize=4)
 def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The token-byte table by id: start and length in the joined bytes of all tokens."""
@@ -98,10 +149,10 @@ class Block:
         self.doc_ids.append(doc_id)
         self.chars += chars
 
-    def write(self, path: str, n_buckets: int) -> pa.RecordBatch:
+    def write(self, path: str, buckets: int) -> pa.RecordBatch:
         """Writes the sequences to a file; returns the distinct words as a row a bucket."""
         words = [w.encode() for w in self.number]
-        bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.int64, len(words))
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
         sections = [
             squeeze(order),
@@ -111,7 +162,7 @@ class Block:
             squeeze(np.concatenate(self.codes)),
         ]
         name = write_sections(path, sections, "codes", self.number_in_task)
-        cuts = np.concatenate([np.searchsorted(bucket[order], np.arange(n_buckets)), [len(order)]]).tolist()
+        cuts = np.concatenate([np.searchsorted(bucket[order], np.arange(buckets)), [len(order)]]).tolist()
         rows = [(k, [words[i] for i in order[a:b].tolist()]) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
         rows = rows or [(0, [])]
         return pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array([k for k, _ in rows], pa.int32()), pa.array([pack_words(w) for _, w in rows], pa.binary())], schema=WORDS)
@@ -124,31 +175,34 @@ def read_block(name: str) -> tuple[np.ndarray, list[int | None], np.ndarray, np.
     return expand(a), doc_ids, expand(d), expand(e)
 
 
-def pre_tokenise(df: DataFrame, pattern: str, n_buckets: int, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def pre_tokenise(df: DataFrame, pattern: str, buckets: int, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(block, bucket, words): the distinct pre-tokens of every block by hash bucket, as a written table."""
     path = fresh_path(df.sparkSession, "bpe-blocks")
     store, local = filesystem(path)
     store.create_dir(local)
 
     def run(batches):
-        import regex
-
-        split, block = regex.compile(pattern).findall, Block()
+        split, block = splitter(pattern, others), Block()
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text = text or ""
                 if block.chars and block.chars + len(text) > block_chars:
-                    yield block.write(path, n_buckets)
+                    yield block.write(path, buckets)
                     block = Block(block.number_in_task + 1)
                 block.add(doc_id, split(text), len(text))
         if block.doc_ids:
-            yield block.write(path, n_buckets)
+            yield block.write(path, buckets)
 
     rows = pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
+    others = stand_ins(pattern)
     return written(rows.mapInArrow(tidy(run), "block string, bucket int, words binary"), "bpe-words")
 
 
-def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
+def _dealt(df: DataFrame, tasks: int | None, key: str) -> DataFrame:
+    return df if tasks is None else df.repartition(tasks, key)
+
+
+def encode_words(words: DataFrame, path: str, pattern: str, tasks: int | None = None) -> DataFrame:
     """(block, bucket, ids): within a bucket each distinct word is encoded once, for all blocks."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -164,10 +218,10 @@ def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
             out.append(pack(np.fromiter(map(len, ids), np.uint32, len(ids)), squeeze(flat)))
         return pa.Table.from_arrays([table.column("block"), table.column("bucket"), pa.array(out, pa.binary())], schema=IDS)
 
-    return words.groupBy("bucket").applyInArrow(tidy_group(run), "block string, bucket int, ids binary")
+    return _dealt(words, tasks, "bucket").groupBy("bucket").applyInArrow(tidy_group(run), "block string, bucket int, ids binary")
 
 
-def reassemble(ids: DataFrame, decode_path: str | None = None) -> DataFrame:
+def reassemble(ids: DataFrame, decode_path: str | None = None, tasks: int | None = None) -> DataFrame:
     """(doc_id, ids) of every document: its block's sequence with the words' ids put in.
 
     With the path of a vocabulary also what the ids decode to, by its token-byte table.
@@ -190,7 +244,7 @@ def reassemble(ids: DataFrame, decode_path: str | None = None) -> DataFrame:
             columns["decoded"] = pa.array([decode_ids(np.frombuffer(x, "<u4"), decode_path) for x in out], pa.binary())
         return pa.table(columns)
 
-    return ids.groupBy("block").applyInArrow(tidy_group(run), "doc_id long, ids binary" + (", decoded binary" if decode_path else ""))
+    return _dealt(ids, tasks, "block").groupBy("block").applyInArrow(tidy_group(run), "doc_id long, ids binary" + (", decoded binary" if decode_path else ""))
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
@@ -198,12 +252,11 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     With ``decoded`` also the bytes that the ids decode to, so that decoding needs no
     second pass of them through a worker.
-
-    There are as many hash buckets as shuffle partitions, so they grow with the cluster's setting.
     """
-    n_buckets = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    words = pre_tokenise(df, pattern, n_buckets, id_col, text_col)
-    return reassemble(encode_words(words, path, pattern), path if decoded else None)
+    size = text_bytes(df, text_col)
+    tasks = n_tasks(df.sparkSession, size)
+    words = pre_tokenise(df, pattern, n_buckets(size), id_col, text_col)
+    return reassemble(encode_words(words, path, pattern, tasks), path if decoded else None, tasks)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -62,6 +62,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text that a bucket or task should hold, and how many tasks a stage is dealt to at most: beyond, tasks
+#: hold several buckets, one after the other.
+SHARE = 16_000_000
+MOST_TASKS = 20_000
+
+
+def text_bytes(df: DataFrame, col: str = "text") -> int:
+    """About how many bytes of text a table holds: twice its files' size, as Parquet packs text, or else a count of them.
+
+    It only sizes buckets and tasks; results never depend on it.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if sum(sizes) < 1 << 60:
+        return 2 * sum(sizes)
+    return df.agg(F.sum(F.octet_length(col))).first()[0] or 0
+
+
+def n_buckets(size: int) -> int:
+    """Hash buckets for so many bytes of text: they hold about the same whatever the size."""
+    return max(1, -(-size // SHARE))
+
+
+def n_tasks(spark: SparkSession, size: int) -> int:
+    """Tasks for so many bytes of text, at least one a core."""
+    return max(spark.sparkContext.defaultParallelism, min(n_buckets(size), MOST_TASKS))
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The filesystem of a URI or plain path, and the path in it."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)

@@ -170,3 +170,23 @@ def test_byte_bpe_over_many_blocks(spark):
     assert words.select("block").distinct().count() > 5
     got = {r["doc_id"]: byte_bpe.decode_ids(np.frombuffer(r["ids"], "<u4"), BYTE_BPE).decode() for r in byte_bpe.reassemble(byte_bpe.encode_words(words, BYTE_BPE, public_tokenizers.PATTERN)).collect()}
     assert got == dict(rows)
+
+
+def test_bpe_cuts_as_tiktoken_over_all_of_unicode(spark):
+    """Also where the two pattern libraries know different versions of Unicode."""
+    rng = random.Random(3)
+    others = byte_bpe.stand_ins(public_tokenizers.PATTERN)
+    anything = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = []
+    for k in range(20_000):
+        pool = anything if k % 2 or not others else list(map(chr, rng.sample(sorted(others), 20)))
+        texts.append("".join(rng.choice(pool) if rng.random() < 0.6 else rng.choice("a1 '\n.sTÉ½²") for _ in range(rng.randint(1, 24))))
+    # strings that differed before: newly assigned letters beside letters, numbers and marks
+    texts += ["".join(map(chr, x)) for x in ((0x3F124, 0xB235), (0x31, 0x31, 0x3F124), (0x2E600, 0x31114, 0x27, 0x533C3), (0x3C85B, 0x54, 0x9A61), (0x329C3, 0x27, 0x73, 0x73), (0x11DE0, 0x31), (0x20, 0x32D8E, 0x820DC))]
+    want = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks(BYTE_BPE), special_tokens={})
+    done = byte_bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BYTE_BPE, public_tokenizers.PATTERN, decoded=True).collect()
+    assert len(done) == len(texts)
+    for r in done:
+        text = texts[r["doc_id"]]
+        assert np.frombuffer(r["ids"], "<u4").tolist() == want.encode_ordinary(text), ascii(text)
+        assert bytes(r["decoded"]).decode() == text
