@@ -18,8 +18,10 @@
    least overlap that its smallest set needs.
 5. Components of the links; members take the component of their class.
 
-Groups beyond ``GROUP`` sets are cut into blocks, and every pair of blocks is a task, so no
-task holds a large group.  Since the result is components, a walk passes over subtrees
+Groups beyond ``GROUP`` sets are cut into bands of sizes, so wide that sets which link are in
+one band or in two neighbours, and bands into blocks.  Pairs of blocks of one band or of
+neighbours are tasks of their own, so no task holds a large group, and blocks whose sizes
+cannot link never meet.  Hash ranges and tasks are counted from the bytes of text.  Since the result is components, a walk passes over subtrees
 whose sets are all linked to it already; copies and links inside a component are never
 expanded to all pairs, and no link between components is lost.
 
@@ -31,17 +33,19 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordCache, bit_table, filesystem, flatten, fresh_path, in_table, pick, slices, tidy, tidy_group, tuned, written
+from millrace.llm.common import WordCache, bit_table, filesystem, flatten, fresh_path, in_table, n_buckets, n_tasks, pick, slices, text_bytes, tidy, tidy_group, tuned, written
 from millrace.llm.components import components
 from millrace.llm.packing import expand, expand48, pack, read_sections, squeeze, squeeze48, unpack, write_sections
 from millrace.llm.subwords import BASE, mix
 
-GROUP = 3000
+GROUP = 1000
 BLOCK_CHARS = 8_000_000
 #: Bits of a shingle's hash.
 HASH = 48
@@ -231,7 +235,7 @@ class Block:
         self.sets: list[np.ndarray] = []
         self.chars = 0
 
-    def write(self, folder: str, n_buckets: int) -> pa.RecordBatch:
+    def write(self, folder: str, buckets: int) -> pa.RecordBatch:
         """Writes the sets to a file; returns its distinct hashes and their documents, a row a hash range."""
         import xxhash
 
@@ -242,7 +246,7 @@ class Block:
         ]
         name = write_sections(folder, sections, "sets", self.number)
         hashes, counts = np.unique(flat, return_counts=True)
-        cuts = np.searchsorted(hashes, np.array([(k << HASH) // n_buckets for k in range(n_buckets + 1)], np.uint64)).tolist()
+        cuts = np.searchsorted(hashes, np.array([(k << HASH) // buckets for k in range(buckets + 1)], np.uint64)).tolist()
         rows = [(k, pack(counts[a:b], squeeze48(hashes[a:b]))) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a or not k]
         return pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], schema=HASHES)
 
@@ -257,7 +261,8 @@ def read_block(name: str) -> tuple[list[int | None], np.ndarray, list[bytes], np
 def shingle_counts(texts: DataFrame, n: int) -> DataFrame:
     """(block, bucket, hashes): per block its shingles that more than one document has, with
     how many have them; every block has a row.  Writes the block files on the way."""
-    n_buckets = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = text_bytes(texts)
+    buckets, tasks = n_buckets(size), n_tasks(texts.sparkSession, size)
     folder = fresh_path(texts.sparkSession, "sets")
     store, local = filesystem(folder)
     store.create_dir(local)
@@ -268,13 +273,13 @@ def shingle_counts(texts: DataFrame, n: int) -> DataFrame:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 if block.chars > BLOCK_CHARS:
-                    yield block.write(folder, n_buckets)
+                    yield block.write(folder, buckets)
                     block = Block(block.number + 1)
                 block.sets += shingle_sets(texts[a:b], n, cache)
                 block.ids += ids[a:b]
                 block.chars += sum(map(len, texts[a:b]))
         if block.ids:
-            yield block.write(folder, n_buckets)
+            yield block.write(folder, buckets)
 
     def count(table: pa.Table) -> pa.Table:
         counts, hashes = zip(*((c, expand48(h)) for c, h in map(unpack, table.column("hashes").to_pylist())))
@@ -287,7 +292,7 @@ def shingle_counts(texts: DataFrame, n: int) -> DataFrame:
         return pa.Table.from_arrays([table.column("block"), table.column("bucket"), pa.array(out, pa.binary())], schema=HASHES)
 
     sent = texts.mapInArrow(tidy(sign), "block string, bucket int, hashes binary")
-    return written(sent.groupBy("bucket").applyInArrow(tidy_group(count), "block string, bucket int, hashes binary"), "shingle-counts")
+    return written(sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(tidy_group(count), "block string, bucket int, hashes binary"), "shingle-counts")
 
 
 def set_keys(blocks: DataFrame) -> DataFrame:
@@ -346,15 +351,16 @@ def _sets(blocks: DataFrame, wanted: np.ndarray) -> DataFrame:
 
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+TASK = ("group", "left_band", "i", "right_band", "j")
 
 
 def _task_links(tasks: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of every task: rows (group, i, j, block, doc_id, n, found), dealt and sorted by task."""
+    """Links (a, b) of every task: rows (TASK, right, doc_id, n, found), dealt and sorted by task; ``right`` tells the sides apart."""
 
     def run(batches):
-        def join(rows):
+        def join(key, rows):
             sets = [np.frombuffer(r["found"], np.uint64) for r in rows]
-            across = None if rows[0]["i"] == rows[0]["j"] else np.array([r["block"] == r["i"] for r in rows])
+            across = None if key[1:3] == key[3:] else np.array([r["right"] for r in rows])
             ids = [r["doc_id"] for r in rows]
             found = trie_join(sets, np.array([r["n"] for r in rows]), num, den, across)
             return [{"a": ids[x], "b": ids[y]} for x, y in found if ids[x] != ids[y]]
@@ -363,17 +369,17 @@ def _task_links(tasks: DataFrame, num: int, den: int) -> DataFrame:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                now = row["group"], row["i"], row["j"]
+                now = tuple(row[c] for c in TASK)
                 if now != key and held:
-                    out += join(held)
+                    out += join(key, held)
                     held = []
                 key = now
                 held.append(row)
             yield pa.RecordBatch.from_pylist(out, LINKS)
         if held:
-            yield pa.RecordBatch.from_pylist(join(held), LINKS)
+            yield pa.RecordBatch.from_pylist(join(key, held), LINKS)
 
-    dealt = tasks.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "doc_id")
+    dealt = tasks.repartition(*TASK).sortWithinPartitions(*TASK, "doc_id")
     return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
@@ -389,15 +395,33 @@ def candidate_groups(tokens: DataFrame, classes: DataFrame) -> DataFrame:
     return written(components(met, "first", "doc_id"), "groups")
 
 
-def class_links(blocks: DataFrame, groups: DataFrame, num: int, den: int, group_size: int = GROUP) -> DataFrame:
-    """Links (a, b) between classes of the candidate groups, by trie joins."""
+def class_links(blocks: DataFrame, groups: DataFrame, num: int, den: int, group_size: int = GROUP, sizes: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between classes of the candidate groups, by trie joins.
+
+    A group of at most ``group_size`` sets is one task.  In larger ones a set goes to a task
+    for each block of its own band and of the two bands beside it.  sizes holds (doc_id, n).
+    """
     members = groups.select(F.col("component").alias("group"), F.col("node").alias("doc_id"))
-    large = members.groupBy("group").count().where(F.col("count") > group_size).select("group", F.ceil(F.col("count") / group_size).cast("int").alias("k"))
-    sets = _sets(blocks, bit_table(members, "doc_id")).join(members.hint("merge"), "doc_id")
-    blocks = sets.join(large, "group", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
-    tasks = blocks.select("group", "block", "doc_id", "n", "found", pairs.alias("t")).select("group", "t.i", "t.j", "block", "doc_id", "n", "found")
+    large = written(members.groupBy("group").count().where(F.col("count") > group_size).select("group", F.lit(True).alias("large")), "large-groups")
+    # a band is a little wider than the largest ratio of sizes that link, so rounding parts no link by two bands
+    width = math.log(den / num) * 1.0001 if num < den else 1e-9
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("long")
+    sizes = set_keys(blocks) if sizes is None else sizes
+    counts = members.join(large, "group").join(sizes.select("doc_id", "n"), "doc_id").groupBy("group", band.alias("band")).agg(F.ceil(F.count("*") / group_size).cast("int").alias("k"))
+    counts = written(counts, "bands")
+    sets = _sets(blocks, bit_table(members, "doc_id")).join(members.hint("merge"), "doc_id").join(large, "group", "left")
+    dealt = sets.withColumn("band", F.when(F.col("large"), band).otherwise(F.lit(0)))
+    for d, name in ((0, "k"), (1, "below"), (-1, "above")):
+        dealt = dealt.join(counts.select("group", (F.col("band") + d).alias("band"), F.col("k").alias(name)), ["group", "band"], "left")
+    own = F.when(F.col("k") > 0, F.pmod(F.xxhash64("doc_id"), F.coalesce("k", F.lit(1))).cast("int")).otherwise(F.lit(0))
+    dealt = dealt.withColumn("block", own)
+    to = lambda left, i, right, j, side: F.struct(left.alias("left_band"), i.alias("i"), right.alias("right_band"), j.alias("j"), side.alias("right"))
+    upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    here, block = F.col("band"), F.col("block")
+    same = F.transform(upto(F.coalesce("k", F.lit(1))), lambda o: to(here, F.least(block, o), here, F.greatest(block, o), block > o))
+    lower = F.transform(upto(F.col("below")), lambda o: to(here - 1, o, here, block, F.lit(True)))
+    upper = F.transform(upto(F.col("above")), lambda o: to(here, block, here + 1, o, F.lit(False)))
+    tasks = dealt.select("group", "doc_id", "n", "found", F.explode(F.concat(same, lower, upper)).alias("t")).select("group", "t.*", "doc_id", "n", "found")
     return written(_task_links(tasks, num, den), "class-links")
 
 
@@ -415,7 +439,7 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_c
     signed = written(set_keys(blocks), "set-keys")
     classes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     groups = candidate_groups(prefix_tokens(counts, num, den), classes)
-    ends = components(class_links(blocks, groups, num, den))
+    ends = components(class_links(blocks, groups, num, den, sizes=signed))
     ends = ends.select(F.col("node").alias("rep"), "component")
     named = classes.join(ends, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n", "key").join(named, "key", "left")

@@ -101,6 +101,30 @@ def test_large_groups_are_joined_in_blocks(spark):
         assert {i: ends.get(i, i) for i in reps if i in firsts} == {i: want[i][1] for i in firsts}
 
 
+def test_bands_of_sizes_lose_no_link(spark):
+    """A hot passage in sets of all sizes: cut into bands and blocks, whatever the block size."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(150):
+        x = base[: rng.randint(40, 400)]
+        for _ in range(rng.randint(0, 2)):
+            x[rng.randrange(len(x))] = f"z{rng.randrange(9)}"
+        rows.append((k, " ".join(x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for n, num, den in ((3, 90, 100), (5, 8, 10), (1, 1, 1)):
+        counts = ngram_join.shingle_counts(df, n)
+        blocks = counts.select("block").distinct()
+        keys = ngram_join.set_keys(blocks)
+        classes = keys.groupBy("key").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "rep")
+        groups = ngram_join.candidate_groups(ngram_join.prefix_tokens(counts, num, den), classes)
+        firsts = {r["rep"] for r in classes.collect()}
+        want = brute(rows, n, num, den)
+        for size in (1000, 5, 1):
+            ends = {r["node"]: r["component"] for r in components(ngram_join.class_links(blocks, groups, num, den, size)).collect()}
+            assert {i: ends.get(i, i) for i in firsts} == {i: want[i][1] for i in firsts}
+
+
 def test_repeated_ids_and_empty_tables(spark):
     text = " ".join(f"w{k}" for k in range(30))
     df = spark.createDataFrame([(5, text), (5, text), (2, text), (None, text), (None, "x y z")], "doc_id long, text string")
