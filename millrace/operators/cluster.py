@@ -69,6 +69,13 @@ def first_points(points: DataFrame, k: int) -> np.ndarray:
     return np.array([r[0] for r in rows], float)
 
 
+def random_points(points: DataFrame, k: int, seed: int = 0) -> np.ndarray:
+    """k points with different features, drawn at random: those of the least hash of seed and id."""
+    key = F.xxhash64(F.lit(seed).cast("long"), "id")
+    rows = points.groupBy("features").agg(F.min(F.struct(key.alias("h"), "id")).alias("at")).orderBy("at").limit(k).select("features").collect()
+    return np.array([r[0] for r in rows], float)
+
+
 #: Sums of many tasks come in any order, so centres that stay the same may differ by rounding, as a share of the largest coordinate.
 ROUNDING = 1e-12
 #: k-means settles long before so many rounds; if not, it fails.
@@ -95,10 +102,11 @@ def lloyd(points: DataFrame, k: int, rounds: int, centres: np.ndarray | None = N
     return centres
 
 
-def kmeans(points: DataFrame, k: int, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """(id, cluster, distance) when Lloyd's rounds from the points of the least ids move no centre any more."""
+def kmeans(points: DataFrame, k: int, most_rounds: int = MOST_ROUNDS, seed: int | None = None) -> DataFrame:
+    """(id, cluster, distance) when Lloyd's rounds move no centre any more, from the points of the least ids or, with a seed, random ones."""
     points = points.select("id", "features")
-    return assign(points, lloyd(points, k, most_rounds, settle=True)).select("id", "cluster", "distance")
+    start = None if seed is None else random_points(points, k, seed)
+    return assign(points, lloyd(points, k, most_rounds, start, settle=True)).select("id", "cluster", "distance")
 
 
 class Sets:

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.similarity import jaccard_pairs
+from millrace.operators.similarity import jaccard_pairs, shared_counts
 from millrace.session import cut
 
 #: Edges up to which a whole graph is sent to every task that walks it from its own roots.
@@ -41,8 +42,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 def cooccurrence_edges(members: DataFrame, owner: str, member: str, threshold: int) -> DataFrame:
     """Edges between owners that share at least ``threshold`` distinct members."""
     rows = members.select(F.col(owner).alias("o"), F.col(member).alias("m")).distinct()
-    left, right = rows.select(F.col("o").alias("a"), "m"), rows.select(F.col("o").alias("b"), "m")
-    return left.join(right, "m").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select("a", "b")
+    return shared_counts(rows, F.lit(threshold)).where(F.col("k") >= threshold).select("a", "b")
 
 
 def jaccard_edges(members: DataFrame, owner: str, member: str, threshold: float = 0.5) -> DataFrame:
@@ -193,26 +193,66 @@ def _split(adjacency: dict) -> list[list]:
     return out
 
 
-def _girvan_newman_small(pairs: list[tuple]) -> list[list]:
-    """Girvan-Newman of a small graph; after a removal only the components it touched are walked again."""
-    adjacency: dict = defaultdict(set)
-    for a, b in pairs:
-        adjacency[a].add(b)
-        adjacency[b].add(a)
-    degree, m = {x: len(y) for x, y in adjacency.items()}, len(pairs)
-    inside_of = lambda group: sum(1 for a, b in pairs if a in group and b in group)
+def matrix_flows(links: np.ndarray) -> np.ndarray:
+    """Edge betweenness of a graph given as a symmetric 0/1 matrix, from all roots at once.
 
-    def score(groups: list[list]) -> float:
-        return sum((2 * inside_of(set(g)) - sum(degree[x] for x in g) ** 2 / (2 * m)) / (2 * m) for g in groups)
-
-    def walk(group: list) -> dict:
+    ``paths`` and ``level`` hold a row a root.  Level by level, the new nodes are those that
+    the front reaches and nobody saw before; credits flow back the same way.
+    """
+    n = len(links)
+    level, paths = np.where(np.eye(n) > 0, 0, -1), np.eye(n)
+    front, depth = np.eye(n), 0
+    while front.any():
+        depth += 1
+        front = np.where(level < 0, front @ links, 0.0)
+        level[front > 0] = depth
+        paths += front
+    credit, flows = np.ones((n, n)), np.zeros((n, n))
+    for at in range(depth - 1, 0, -1):
+        down = np.where(level == at, credit / np.maximum(paths, 1.0), 0.0)
+        up = np.where(level == at - 1, paths, 0.0)
+        credit += up * (down @ links)
+        flows += up.T @ down
+    flows *= links
+    return (flows + flows.T) / 2
+
+
+def _walk(group: list, adjacency: dict) -> dict:
+    """Edge betweenness inside a component: as matrices unless it is large or has few edges."""
+    n = len(group)
+    if n > 3000 or n > 64 and sum(len(adjacency[x]) for x in group) < 4 * n:
         total: dict = defaultdict(float)
         for root in group:
             for edge, flow in shares_from(root, adjacency).items():
                 total[edge] += flow / 2
         return total
+    order = sorted(group)
+    place = {x: i for i, x in enumerate(order)}
+    links = np.zeros((n, n))
+    for x in order:
+        links[place[x], [place[y] for y in adjacency[x]]] = 1
+    flows = matrix_flows(links)
+    return {(order[i], order[j]): float(flows[i, j]) for i, j in np.argwhere(np.triu(links) > 0).tolist()}
 
-    flows = {tuple(sorted(g)): walk(g) for g in _split(adjacency)}
+
+def _girvan_newman_small(pairs: list[tuple]) -> list[list]:
+    """Girvan-Newman of a small graph; after a removal only the components it touched are walked again."""
+    adjacency: dict = defaultdict(set)
+    for a, b in pairs:
+        adjacency[a].add(b)
+        adjacency[b].add(a)
+    degree, m, of = {x: len(y) for x, y in adjacency.items()}, len(pairs), {}
+    original = {x: frozenset(y) for x, y in adjacency.items()}
+
+    def part(group: list) -> float:
+        """What a community adds to modularity, in the whole graph's links."""
+        key = tuple(sorted(group))
+        if key not in of:
+            inside = set(group)
+            of[key] = (sum(len(original[x] & inside) for x in group) - sum(degree[x] for x in group) ** 2 / (2 * m)) / (2 * m)
+        return of[key]
+
+    flows = {tuple(sorted(g)): _walk(g, adjacency) for g in _split(adjacency)}
     best, kept = None, []
     while True:
         top = max((v for f in flows.values() for v in f.values()), default=0.0)
@@ -225,14 +265,13 @@ def _girvan_newman_small(pairs: list[tuple]) -> list[list]:
                     adjacency[a].discard(b)
                     adjacency[b].discard(a)
                 del flows[group]
-                flows.update((tuple(sorted(g)), walk(g)) for g in _split({x: adjacency[x] for x in group}))
+                flows.update((tuple(sorted(g)), _walk(g, adjacency)) for g in _split({x: adjacency[x] for x in group}))
         if not any(flows.values()):
             return kept
-        groups = [list(g) for g in flows]
-        if len(groups) > 1:
-            now = score(groups)
+        if len(flows) > 1:
+            now = sum(part(list(g)) for g in flows)
             if best is None or now >= best - TOLERANCE:
-                best, kept = max(now, best or now), groups
+                best, kept = max(now, best or now), [list(g) for g in flows]
 
 
 def girvan_newman(edges: DataFrame, small: int = 5_000) -> DataFrame:

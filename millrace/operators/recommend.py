@@ -20,12 +20,12 @@ def tfidf_profile(texts: DataFrame, stopwords: list[str], k: int = 200, idf_n: s
     The idf numerator is the size of the vocabulary; ``idf_n="docs"`` takes the number of businesses.
     """
     counts = word_counts(texts, stopwords)
-    top = Window.partitionBy("business")
     df = counts.groupBy("word").agg(F.count("*").alias("df"))
     total = df.agg(F.count("*").alias("total")) if idf_n == "vocabulary" else counts.agg(F.countDistinct("business").alias("total"))
-    scored = counts.withColumn("most", F.max("freq").over(top)).join(df, "word").join(F.broadcast(total))
+    most = counts.groupBy("business").agg(F.max("freq").alias("most"))
+    scored = counts.join(most, "business").join(df, "word").join(F.broadcast(total))
     scored = scored.select("business", "word", "freq", F.round(F.col("freq") / F.col("most") * F.log2(F.col("total") / F.col("df")), 6).alias("tfidf"))
-    rank = F.row_number().over(top.orderBy(F.desc("tfidf"), "word"))
+    rank = F.row_number().over(Window.partitionBy("business").orderBy(F.desc("tfidf"), "word"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 

@@ -54,8 +54,9 @@ def count_over(df: DataFrame, key: str, n: int) -> DataFrame:
     return count_by(df, key).where(F.col("n") > n)
 
 
-def partition_stats(df: DataFrame, key: str, n: int) -> DataFrame:
-    """(partition, n) after hash partitioning by a key; empty partitions count 0."""
-    dealt = df.repartition(n, key).groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("n"))
+def partition_stats(df: DataFrame, key: str, n: int, partitioner: Column | None = None) -> DataFrame:
+    """(partition, n) after hash partitioning by a key, or by a partitioner that gives 0 to n - 1; empty partitions count 0."""
+    dealt = df.repartition(n, key) if partitioner is None else df.repartitionById(n, partitioner.cast("int"))
+    dealt = dealt.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("n"))
     every = df.sparkSession.range(n).select(F.col("id").cast("int").alias("partition"))
     return every.join(dealt, "partition", "left").select("partition", F.coalesce("n", F.lit(0)).alias("n"))

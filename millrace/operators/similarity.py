@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.hashing import universal
+
 #: Modulus of the MinHash functions (a fixed value).
 MODULUS = 2454587
 
@@ -13,17 +15,60 @@ ARRAY = 10_000
 
 
 def coefficients(n: int) -> list[tuple[int, int]]:
-    """n fixed pairs (a, b) of hash coefficients, by a rule that SQL can repeat."""
-    return [(1 + i * 7919 % 9973, i * 6101 % 9967 + 17) for i in range(1, n + 1)]
+    """n fixed pairs (a, b) of hash coefficients, by a rule that SQL can repeat.
+
+    Both are spread over the whole modulus, so that small members, too, are put in orders of all kinds.
+    """
+    return [(1 + i * i * 104729 % (MODULUS - 1), i * 15485863 % MODULUS) for i in range(1, n + 1)]
+
+
+def prefixes(rows: DataFrame, need: Column) -> DataFrame:
+    """(o, m, n): the members by which owners that share at least ``need`` (of their size n) members must meet.
+
+    An owner's members are put in rising order of how many owners have them; two owners that
+    share k members share one of the first n - k + 1 of each.  So members that many owners have
+    take part only where an owner has little else.  Owners of more than ``ARRAY`` members
+    take part with all of them, so none is ordered in one task.
+    """
+    owners = rows.groupBy("m").agg(F.count("*").alias("owners"))
+    sizes = rows.groupBy("o").agg(F.count("*").alias("n"))
+    sized = rows.join(owners, "m").join(sizes, "o")
+    rank = F.row_number().over(Window.partitionBy("o").orderBy("owners", "m"))
+    small = sized.where(F.col("n") <= ARRAY).withColumn("rank", rank).where(F.col("rank") <= F.col("n") - need + 1)
+    return small.select("o", "m", "n").unionByName(sized.where(F.col("n") > ARRAY).select("o", "m", "n"))
+
+
+def meeting(prefix: DataFrame, fit: Column) -> DataFrame:
+    """Distinct (a, b), a < b, of owners that meet in a prefix and whose sizes na and nb fit."""
+    left, right = prefix.select(F.col("o").alias("a"), "m", F.col("n").alias("na")), prefix.select(F.col("o").alias("b"), "m", F.col("n").alias("nb"))
+    return left.join(right, "m").where((F.col("a") < F.col("b")) & fit).select("a", "b").distinct()
+
+
+#: Owners up to which a member's owners are paired directly; which way pairs are counted changes no result.
+HOT = 2_000
+
+
+def shared_counts(rows: DataFrame, need: Column, fit: Column | None = None) -> DataFrame:
+    """(a, b, k), a < b: how many members (o, m) two owners share, of all pairs that share ``need`` (of a size n) or more.
+
+    Where no member has more than ``HOT`` owners, which is checked, the pairs of each member
+    are counted, partial sums first.  Beyond, owners must meet in their prefixes, so a member
+    that very many owners have makes no square of them, and their sets are then compared.
+    """
+    most = rows.groupBy("m").agg(F.count("*").alias("owners")).agg(F.max("owners")).first()[0] or 0
+    if most <= HOT:
+        left, right = rows.select(F.col("o").alias("a"), "m"), rows.select(F.col("o").alias("b"), "m")
+        return left.join(right, "m").where("a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
+    return intersections(meeting(prefixes(rows, need), F.lit(True) if fit is None else fit), rows)
 
 
 def jaccard_pairs(members: DataFrame, owner: str, member: str, threshold: float) -> DataFrame:
     """(a, b, sim), a < b, of owners that share a member with Jaccard of at least the threshold."""
     rows = members.select(F.col(owner).alias("o"), F.col(member).alias("m")).distinct()
-    sizes = rows.groupBy("o").agg(F.count("*").alias("n"))
-    left, right = rows.select(F.col("o").alias("a"), "m"), rows.select(F.col("o").alias("b"), "m")
-    both = left.join(right, "m").where("a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
-    return _jaccard(both, sizes, threshold)
+    # sets link only if the smaller one is at least the threshold's share of the larger, and so is what they share
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - 1e-9)).cast("int")
+    fit = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
+    return _jaccard(shared_counts(rows, need, fit), rows.groupBy("o").agg(F.count("*").alias("n")), threshold)
 
 
 def _jaccard(both: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
@@ -38,7 +83,7 @@ def minhash(members: DataFrame, owner: str, member: str, bands: int) -> DataFram
     All minima are taken in one aggregation, so a member row is not multiplied by the bands.
     """
     x = F.col(member)
-    mins = [F.min(F.pmod(x * F.lit(a) + F.lit(b), F.lit(MODULUS))).alias(f"s{i}") for i, (a, b) in enumerate(coefficients(bands))]
+    mins = [F.min(universal(x, a, b, MODULUS)).alias(f"s{i}") for i, (a, b) in enumerate(coefficients(bands))]
     signed = members.groupBy(F.col(owner).alias("o")).agg(*mins)
     return signed.select("o", F.posexplode(F.array(*[f"s{i}" for i in range(bands)])).alias("band", "sig"))
 
@@ -51,22 +96,24 @@ def lsh_candidates(members: DataFrame, owner: str, member: str, bands: int) -> D
 
 
 def lsh_pairs(members: DataFrame, owner: str, member: str, bands: int, threshold: float) -> DataFrame:
-    """LSH candidates with an exact Jaccard of at least the (positive) threshold.
+    """LSH candidates with an exact Jaccard of at least the (positive) threshold."""
+    rows = members.select(F.col(owner).alias("o"), F.col(member).alias("m")).distinct()
+    both = intersections(lsh_candidates(rows, "o", "m", bands), rows)
+    return _jaccard(both, rows.groupBy("o").agg(F.count("*").alias("n")), threshold)
+
+
+def intersections(candidates: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b, k): how many members (o, m) the two owners of each candidate pair (a, b) share, if any.
 
     Sets of at most ``ARRAY`` members, which is checked, are compared as arrays, so a
     candidate pair stays one row; larger ones by joining their members.
     """
-    rows = members.select(F.col(owner).alias("o"), F.col(member).alias("m")).distinct()
-    candidates = lsh_candidates(rows, "o", "m", bands)
-    sizes = rows.groupBy("o").agg(F.count("*").alias("n"))
-    if (sizes.agg(F.max("n")).first()[0] or 0) > ARRAY:
+    if (rows.groupBy("o").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > ARRAY:
         left, right = rows.select(F.col("o").alias("a"), "m"), rows.select(F.col("o").alias("b"), "m")
-        both = candidates.join(left, "a").join(right, ["b", "m"]).groupBy("a", "b").agg(F.count("*").alias("k"))
-        return _jaccard(both, sizes, threshold)
+        return candidates.join(left, "a").join(right, ["b", "m"]).groupBy("a", "b").agg(F.count("*").alias("k"))
     sets = rows.groupBy("o").agg(F.collect_set("m").alias("s"))
     pairs = candidates.join(sets.select(F.col("o").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("o").alias("b"), F.col("s").alias("sb")), "b")
-    counted = pairs.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("k"), (F.size("sa") + F.size("sb")).alias("n"))
-    return counted.select("a", "b", (F.col("k") / (F.col("n") - F.col("k"))).alias("sim")).where(F.col("sim") >= threshold)
+    return pairs.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("k")).where("k > 0")
 
 
 def pearson_pairs(ratings: DataFrame, owner: str, by: str, least: int = 3, candidates: DataFrame | None = None) -> DataFrame:
@@ -79,7 +126,7 @@ def pearson_pairs(ratings: DataFrame, owner: str, by: str, least: int = 3, candi
     left = rows.select(F.col("o").alias("a"), "m", F.col("r").alias("x"))
     right = rows.select(F.col("o").alias("b"), "m", F.col("r").alias("y"))
     if candidates is None:
-        candidates = left.select("a", "m").join(right.select("b", "m"), "m").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        candidates = shared_counts(rows.select("o", "m").distinct(), F.lit(least)).where(F.col("k") >= least)
     pairs = candidates.select("a", "b").join(left, "a").join(right, ["b", "m"])
     x, y = F.col("x"), F.col("y")
     sums = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x * y).alias("xy"))

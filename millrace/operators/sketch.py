@@ -63,14 +63,15 @@ def fm_estimate(df: DataFrame, value: str, *keys: str, form: str = "square") ->
     return found.select(*keys, "n_distinct", F.element_at(F.array_sort(F.array(*groups)), middle + 1).alias("estimate"))
 
 
-def reservoir(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
-    """A uniform sample of k rows: those with the least hash of an integer key.
+def reservoir(df: DataFrame, key: str, k: int, seed: int | None = None) -> DataFrame:
+    """A uniform sample of k rows: those with the least 64-bit hash of a key (and a seed), ties by key.
 
-    Every row has the same chance, and partitions keep k rows each at most, so it needs
-    neither an order of arrival nor a single task over all rows.
+    Every row has the same chance whatever the keys' order, as under reservoir sampling, and
+    partitions keep k rows each at most, so it needs neither an order of arrival nor a
+    single task over all rows.
     """
-    h = F.pmod((F.col(key) + F.lit(seed)) * F.lit(2654435761), F.lit(4294967296))
-    return df.withColumn("_h", F.pmod(h * F.lit(40503) + F.lit(12345), F.lit(4294967291))).orderBy("_h", key).limit(k).drop("_h")
+    h = F.xxhash64(key) if seed is None else F.xxhash64(F.lit(seed).cast("long"), key)
+    return df.withColumn("_h", h).orderBy("_h", key).limit(k).drop("_h")
 
 
 def top_frequencies(df: DataFrame, value: str, k: int = 3) -> DataFrame:
@@ -80,6 +81,12 @@ def top_frequencies(df: DataFrame, value: str, k: int = 3) -> DataFrame:
     return counts.join(F.broadcast(levels), "n", "left_semi").select(value, "n")
 
 
+def frequency_report(n_seen: int, top: list[tuple[str, int]]) -> str:
+    """The text of a report: how many rows came so far, then the most frequent values, highest first and then by value."""
+    lines = [f"{value} : {n}" for value, n in sorted(top, key=lambda x: (-x[1], x[0]))]
+    return "\n".join([f"The number of tweets with tags from the beginning: {n_seen}", *lines, "", ""])
+
+
 def dense_top(df: DataFrame, group: str, value: str, k: int = 3) -> DataFrame:
     """The same within groups, by dense rank."""
     counts = df.groupBy(group, value).agg(F.count("*").alias("n"))

@@ -8,18 +8,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.text import is_ascii_alpha, json_field
 from millrace.operators import cluster, graph, itemsets, recommend, relational, similarity, sketch
 from millrace.plans.oracle import ORACLE_SQL  # noqa: F401  (part of this module's interface)
 from millrace.plans.settings import (
     BASKET_SUPPORT, EDGE_THRESHOLD, JACCARD, K_MEANS, LSH_BANDS, LSH_JACCARD, PARTITIONS, SAMPLE_SIZE, STOPWORDS, SWAPPED_SUPPORT, USER_BANDS, YEAR,
 )
-from millrace.sources import views
+from millrace.session import cut, shared_dir
+from millrace.sources import readers, sinks, views
 from millrace.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def query(function: Query) -> Query:
     QUERIES[function.__name__] = function
     return function
@@ -70,6 +77,18 @@ def partition_stats(spark, d):
     return relational.partition_stats(views.reviews(spark, d), "business_id", PARTITIONS)
 
 
+@query
+def partition_by_id(spark, d):
+    """Partitions chosen by a partitioner of one's own."""
+    return relational.partition_stats(views.reviews(spark, d), "business_id", PARTITIONS, F.pmod("business_id", F.lit(PARTITIONS)))
+
+
+@query
+def partition_totals(spark, d):
+    found = relational.partition_stats(views.reviews(spark, d), "business_id", PARTITIONS)
+    return found.agg(F.count("*").alias("partitions"), F.sum("n").alias("n"))
+
+
 def _itemset_rows(sets: DataFrame) -> DataFrame:
     return sets.select(F.size("items").alias("size"), F.array_join("items", ",").alias("items"), F.col("freq").cast("long").alias("freq"))
 
@@ -107,6 +126,15 @@ def lsh_pairs(spark, d):
     return similarity.lsh_pairs(views.user_items(spark, d), "item", "user", LSH_BANDS, LSH_JACCARD).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
+@query
+def lsh_recall(spark, d):
+    """How many pairs reach the threshold, and whether LSH finds nine in ten of them."""
+    members = views.user_items(spark, d)
+    found = similarity.lsh_pairs(members, "item", "user", LSH_BANDS, LSH_JACCARD).select("a", "b", F.lit(1).alias("hit"))
+    every = similarity.jaccard_pairs(members, "item", "user", LSH_JACCARD).select("a", "b")
+    return every.join(found, ["a", "b"], "left").agg(F.count("*").alias("n_pairs"), F.coalesce(F.avg(F.coalesce("hit", F.lit(0))) >= 0.9, F.lit(True)).alias("reached"))
+
+
 @query
 def item_pearson(spark, d):
     return similarity.pearson_pairs(views.ratings(spark, d), "item", "user").select("a", "b", F.round("sim", 6).alias("sim"))
@@ -128,11 +156,27 @@ def user_profile(spark, d):
     return recommend.user_profile(texts, recommend.tfidf_profile(texts, STOPWORDS))
 
 
+def _profiles(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Visits, and the profiles of businesses and of their users; the first are written once, since both need them."""
+    texts = views.texts(spark, d)
+    profile = cut(recommend.tfidf_profile(texts, STOPWORDS))
+    return texts, recommend.user_profile(texts, profile), profile
+
+
 @query
 def content_score(spark, d):
-    texts = views.texts(spark, d)
-    profile = recommend.tfidf_profile(texts, STOPWORDS)
-    users = recommend.user_profile(texts, profile)
+    return recommend.content_score(*_profiles(spark, d)).select("user", "business", F.round("score", 6).alias("score"))
+
+
+@query
+def content_saved(spark, d):
+    """Profiles written by one job and read by another that scores."""
+    texts, users, profile = _profiles(spark, d)
+    at = _fresh(spark, "profiles")
+    sinks.json_lines(users, f"{at}/users")
+    sinks.json_lines(profile, f"{at}/businesses")
+    users = readers.json_lines(spark, f"{at}/users", "user long, word string, n long")
+    profile = readers.json_lines(spark, f"{at}/businesses", "business string, word string, freq long, tfidf double")
     return recommend.content_score(texts, users, profile).select("user", "business", F.round("score", 6).alias("score"))
 
 
@@ -143,6 +187,16 @@ def item_cf_predict(spark, d):
     return recommend.predict_by_items(train, tests, model).select("user", "item", F.round("stars", 5).alias("stars"))
 
 
+@query
+def item_cf_saved(spark, d):
+    """The same with the model of pairs written by one job and read by another that predicts."""
+    train, tests = views.ratings(spark, d, test=False), views.ratings(spark, d, test=True)
+    at = _fresh(spark, "pairs")
+    sinks.pair_model(similarity.pearson_pairs(train, "item", "user"), at)
+    model = readers.pair_model(spark, at, "long")
+    return recommend.predict_by_items(train, tests, model).select("user", "item", F.round("stars", 5).alias("stars"))
+
+
 @query
 def user_cf_predict(spark, d):
     train, tests = views.ratings(spark, d, test=False), views.ratings(spark, d, test=True)
@@ -193,9 +247,23 @@ def reservoir_sample(spark, d):
     return sketch.reservoir(views.table(spark, d, "events").select("event_id", "event_type"), "event_id", SAMPLE_SIZE)
 
 
+@query
+def reservoir_top(spark, d):
+    """The most frequent values of the sample."""
+    sample = sketch.reservoir(views.table(spark, d, "events").select("event_id", "event_type"), "event_id", SAMPLE_SIZE)
+    return sketch.top_frequencies(sample, "event_type", 3)
+
+
+@query
+def hll_within_error(spark, d):
+    """Exact distinct users a day, and whether HyperLogLog comes within five times its standard error."""
+    both = _days(spark, d).groupBy("day").agg(F.countDistinct("user_id").alias("n_distinct"), F.approx_count_distinct("user_id", 0.02).alias("estimate"))
+    return both.select("day", "n_distinct", (F.abs(F.col("estimate") - F.col("n_distinct")) <= F.greatest(F.lit(2), F.col("n_distinct") * 0.1)).alias("within"))
+
+
 @query
 def top_frequencies(spark, d):
-    tags = views.table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("tag")).where(F.col("tag").rlike("^[A-Za-z]+$"))
+    tags = views.table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("tag")).where(is_ascii_alpha(F.col("tag")))
     return sketch.top_frequencies(tags, "tag", 3)
 
 
@@ -302,10 +370,7 @@ def modularity_unhalved(spark, d):
 
 @query
 def content_cosine(spark, d):
-    texts = views.texts(spark, d)
-    profile = recommend.tfidf_profile(texts, STOPWORDS)
-    users = recommend.user_profile(texts, profile)
-    found = recommend.content_score(texts, users, profile, form="cosine")
+    found = recommend.content_score(*_profiles(spark, d), form="cosine")
     return found.select("user", "business", F.round("score", 6).alias("score"))
 
 
@@ -326,6 +391,21 @@ def bfr_rounds(spark, d):
     return spark.createDataFrame([tuple(c.values()) for c in counters], "round long, ds_clusters long, ds_points long, cs_clusters long, cs_points long, rs_points long")
 
 
+@query
+def bfr_totals(spark, d):
+    """Points in discard, compression and retained sets together, a row a round."""
+    return bfr_rounds(spark, d).select("round", F.expr("ds_points + cs_points + rs_points").alias("n_points"))
+
+
+@query
+def edge_list_csv(spark, d):
+    """Edges from a CSV of two columns with a header, both directions and loops in it."""
+    at = _fresh(spark, "edges")
+    edges = _graph(spark, d)
+    sinks.csv(edges.union(edges.select("b", "a")).union(edges.select("a", F.col("a").alias("b"))), at)
+    return graph.edges_of(readers.csv_with_header(spark, at, "a long, b long"), "a", "b")
+
+
 @query
 def sliding_hll(spark, d):
     found = windows.sliding_distinct(views.events(spark, d), "user_id", "1 hour", "20 minutes", exact=False)
@@ -334,7 +414,7 @@ def sliding_hll(spark, d):
 
 @query
 def event_fields(spark, d):
-    events = views.table(spark, d, "events").select(F.get_json_object("props", "$.k").cast("long").alias("k"), "value")
+    events = views.table(spark, d, "events").select(json_field(F.col("props"), "k").cast("long").alias("k"), "value")
     return events.groupBy("k").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -347,10 +427,7 @@ def top_tags_by_type(spark, d):
 @query
 def json_lines_round_trip(spark, d):
     """Reviews written as JSON lines in the shared folder and read back by their schema."""
-    from millrace.session import shared_dir
-    from millrace.sources import readers, sinks
-
-    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    path = _fresh(spark, "json")
     sinks.json_lines(views.reviews(spark, d).select("user_id", "business_id", "stars"), path)
     back = readers.json_lines(spark, path, "user_id long, business_id long, stars double")
     return back.groupBy("stars").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"), F.sum("business_id").alias("businesses"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from millrace.operators.sketch import BLOOM_A, BLOOM_B, BLOOM_BITS, FM_A, FM_B, FM_GROUP, FM_P, PRIME
 from millrace.operators.similarity import MODULUS, coefficients
 from millrace.plans.settings import (
-    EDGE_THRESHOLD, FM_DAYS, JACCARD, K_MEANS, KMEANS_ROUNDS, LSH_BANDS, LSH_JACCARD, SAMPLE_SIZE, STOPWORDS, SUPPORT_SHARE, SWAPPED_SUPPORT, USER_BANDS, YEAR,
+    EDGE_THRESHOLD, JACCARD, K_MEANS, LSH_BANDS, LSH_JACCARD, PARTITIONS, SAMPLE_SIZE, STOPWORDS, SUPPORT_SHARE, SWAPPED_SUPPORT, USER_BANDS, YEAR,
 )
 
 REVIEWS = """reviews AS (
@@ -118,7 +118,7 @@ middles AS (SELECT {key}, m FROM means QUALIFY row_number() OVER (PARTITION BY {
 SELECT {key}, n_distinct, round(m, 6) AS estimate FROM middles JOIN (SELECT {key}, count(*) AS n_distinct FROM {source} GROUP BY 1) USING ({key})"""
 
 
-DAYS = f"days AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, CAST(user_id AS VARCHAR) AS v FROM events WHERE day(ts) <= {FM_DAYS} AND user_id IS NOT NULL)"
+DAYS = "days AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, CAST(user_id AS VARCHAR) AS v FROM events WHERE user_id IS NOT NULL)"
 
 
 def slid(value: str) -> str:
@@ -130,23 +130,58 @@ def slid(value: str) -> str:
 POINTS = "dims AS (SELECT vec_id AS id, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
 
 
-def lloyd(rounds: int) -> str:
-    """Unrolled rounds: cK are centres, aK assignments to the centres before."""
-    parts = [
-        POINTS,
-        f"firsts AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS c FROM (SELECT min(vec_id) AS id FROM embeddings GROUP BY embedding ORDER BY id LIMIT {K_MEANS}))",
-        "c0 AS (SELECT c, pos, v FROM firsts JOIN dims USING (id))",
-    ]
-    for k in range(rounds + 1):
-        parts.append(
-            f"a{k} AS (SELECT id, c, dist FROM (SELECT d.id, e.c, sqrt(sum((d.v - e.v) * (d.v - e.v))) AS dist FROM dims d JOIN c{k} e USING (pos) GROUP BY 1, 2) "
-            "QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, c) = 1)"
-        )
-        if k < rounds:
-            parts.append(f"m{k} AS (SELECT c, pos, avg(v) AS v FROM a{k} JOIN dims USING (id) GROUP BY 1, 2)")
-            parts.append(f"c{k + 1} AS (SELECT c, pos, coalesce(m{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN m{k} USING (c, pos))")
-    return ", ".join(parts)
+FIRSTS = f"firsts AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS c FROM (SELECT min(vec_id) AS id FROM embeddings GROUP BY embedding ORDER BY id LIMIT {K_MEANS}))"
+
+ASSIGNED = f"""{POINTS}, {FIRSTS}, c0 AS (SELECT c, pos, v FROM firsts JOIN dims USING (id)),
+a0 AS (SELECT id, c, dist FROM (SELECT d.id, e.c, sqrt(sum((d.v - e.v) * (d.v - e.v))) AS dist FROM dims d JOIN c0 e USING (pos) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, c) = 1)"""
+
+#: Lloyd as a recursion: a row is a round with all its centres, and rounds go on while some coordinate moves.
+LLOYD = f"""pts AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), {FIRSTS},
+rounds(r, centres, moved) AS (
+  SELECT 0, (SELECT list(e ORDER BY c) FROM firsts JOIN pts USING (id)), true
+  UNION ALL
+  SELECT r + 1, n.centres, list_max(list_transform(range(1, len(n.centres) + 1), lambda k: list_distance(n.centres[k], o.centres[k]))) > 1e-11
+  FROM rounds o, LATERAL (
+    SELECT list(coalesce(m.v, o.centres[k]) ORDER BY k) AS centres
+    FROM range(1, len(o.centres) + 1) t(k) LEFT JOIN (
+      SELECT k, list(v ORDER BY pos) AS v FROM (
+        SELECT k, pos, avg(e[pos]) AS v FROM (
+          SELECT e, list_position(far, list_min(far)) AS k FROM (SELECT e, list_transform(o.centres, lambda x: list_distance(e, x)) AS far FROM pts)
+        ), range(1, len(e) + 1) d(pos) GROUP BY k, pos) GROUP BY k) m USING (k)) n
+  WHERE o.moved AND o.r < 1000),
+last AS (SELECT centres FROM rounds ORDER BY r DESC LIMIT 1),
+ends AS (SELECT id, list_transform(centres, lambda x: list_distance(e, x)) AS far FROM pts, last)"""
+
+
+def _mod64(x: str) -> str:
+    return f"CAST(({x}) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+
+
+def _times(x: str, factor: int) -> str:
+    return _mod64(f"CAST({x} AS UHUGEINT) * {factor}::UHUGEINT")
+
+
+def _turn(x: str, bits: int) -> str:
+    return f"(CAST({_times(x, 1 << bits)} AS UHUGEINT) + CAST({x} // {1 << (64 - bits)}::UBIGINT AS UHUGEINT))"
+
+
+def hashed_rows(table: str, key: str, columns: str) -> str:
+    """``hashed``: columns and h, the 64-bit xxHash with seed 42 of a key that is not negative, step by step; its constants are fixed values."""
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    steps = [f"x0 AS (SELECT {columns}, {_times(key, p2)} AS h FROM {table})"]
+    forms = [
+        f"xor({_times('u', p1)}, {(42 + p5 + 8) % (1 << 64)}::UBIGINT)", _mod64(f"CAST({_times('u', p1)} AS UHUGEINT) + {p4}::UHUGEINT"),
+        _times("xor(h, h // 8589934592::UBIGINT)", p2), _times("xor(h, h // 536870912::UBIGINT)", p3), "xor(h, h // 4294967296::UBIGINT)",
+    ]
+    turns = {0: 31, 1: 27}
+    for i, form in enumerate(forms):
+        turned = f"(SELECT *, CAST({_turn('h', turns[i])} AS UBIGINT) AS u FROM x{i})" if i in turns else f"x{i}"
+        steps.append(f"{'hashed' if i == 4 else f'x{i + 1}'} AS (SELECT {columns}, {form} AS h FROM {turned})")
+    return ", ".join(steps)
+
 
+#: Hashes are ordered as signed integers.
+SAMPLED = f"{hashed_rows('events', 'event_id', 'event_id, event_type')}, sampled AS (SELECT event_id, event_type FROM hashed ORDER BY h < 9223372036854775808::UBIGINT, h, event_id LIMIT {SAMPLE_SIZE})"
 
 BRANDS = f"""baskets AS (SELECT DISTINCT l_orderkey AS basket, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey),
 least AS (SELECT greatest(1, CAST(ceil(count(DISTINCT basket) * {SUPPORT_SHARE} / 1000) AS BIGINT)) AS s FROM baskets)"""
@@ -183,7 +218,7 @@ ORACLE_SQL: dict[str, str] = {
     "user_pearson": f"WITH {REVIEWS}, {ratings('rated')}, {lsh('near', 'rated', 'u', 'i', USER_BANDS, 0.01)}, {pearson('model', 'rated', 'u', 'i', 'near')} SELECT a, b, round(sim, 6) AS sim FROM model",
     "tfidf_profile": f"WITH {WORDS} SELECT business, word, freq, tfidf FROM profile",
     "user_profile": f'WITH {WORDS}, {USERS} SELECT "user", word, CAST(n AS BIGINT) AS n FROM users',
-    "content_score": f"""WITH {WORDS}, {USERS}, tests AS (SELECT DISTINCT "user", business FROM visits WHERE doc_id % 10 = 0),
+    "content_score": f"""WITH {WORDS}, {USERS}, tests AS (SELECT DISTINCT "user", business FROM visits),
 nb AS (SELECT business, count(*) AS nb FROM profile GROUP BY 1),
 shared AS (SELECT t."user", t.business, count(*) AS k FROM tests t JOIN users u ON u."user" = t."user" JOIN profile p ON p.business = t.business AND p.word = u.word GROUP BY 1, 2)
 SELECT "user", business, round(k / nb, 6) AS score FROM shared JOIN nb USING (business) WHERE k / nb >= 0.01""",
@@ -205,13 +240,14 @@ probed AS (SELECT id, v, CASE WHEN length(v) > 0 THEN {fold(str(PRIME))} END AS
 SELECT id, v IS NULL OR v = '' OR ({" AND ".join(f"(({a} * x + {b}) % {PRIME}) % {BLOOM_BITS} IN (SELECT bit FROM bits)" for a, b in zip(BLOOM_A, BLOOM_B))}) AS present FROM probed""",
     "fm_reference": f"WITH {DAYS}, {fm('days', 'day', 'square')}",
     "fm_standard": f"WITH {DAYS}, {fm('days', 'day', 'power')}",
-    "reservoir_sample": f"SELECT event_id, event_type FROM events ORDER BY (((event_id * 2654435761) % 4294967296) * 40503 + 12345) % 4294967291, event_id LIMIT {SAMPLE_SIZE}",
+    "reservoir_sample": f"WITH {SAMPLED} SELECT event_id, event_type FROM sampled",
+    "reservoir_top": f"WITH {SAMPLED}, counts AS (SELECT event_type, count(*) AS n FROM sampled GROUP BY 1) SELECT event_type, n FROM counts QUALIFY dense_rank() OVER (ORDER BY n DESC) <= 3",
     "top_frequencies": """WITH tags AS (SELECT unnest(string_split(p_name, ' ')) AS tag FROM part), counts AS (SELECT tag, count(*) AS n FROM tags WHERE regexp_full_match(tag, '[A-Za-z]+') GROUP BY 1)
 SELECT tag, n FROM counts QUALIFY dense_rank() OVER (ORDER BY n DESC) <= 3""",
     "sliding_distinct": f"WITH {slid('user_id')} SELECT window_start, count(*) AS n FROM slid GROUP BY 1",
     "sliding_fm": f"WITH {slid('event_type')}, {fm('slid', 'window_start', 'square')}",
-    "kmeans": f"WITH {lloyd(KMEANS_ROUNDS)} SELECT id, CAST(c AS INTEGER) AS cluster, round(dist, 6) AS distance FROM a{KMEANS_ROUNDS}",
-    "kmeans_assign": f"WITH {lloyd(0)} SELECT id, CAST(c AS INTEGER) AS cluster, round(dist, 6) AS distance FROM a0",
+    "kmeans": f"WITH RECURSIVE {LLOYD} SELECT id, CAST(list_position(far, list_min(far)) - 1 AS INTEGER) AS cluster, round(list_min(far), 6) AS distance FROM ends",
+    "kmeans_assign": f"WITH {ASSIGNED} SELECT id, CAST(c AS INTEGER) AS cluster, round(dist, 6) AS distance FROM a0",
     "cluster_stats": f"""WITH {POINTS} SELECT label AS cluster, count(*) AS n, CAST(pos - 1 AS INTEGER) AS pos, round(sum(v), 5) AS total, round(sum(v * v), 5) AS squares
 FROM dims JOIN embeddings ON vec_id = id GROUP BY label, pos""",
     "copurchase_edges": f"WITH {GRAPH} SELECT a, b FROM edges",
@@ -239,7 +275,7 @@ ORACLE_SQL["son_itemsets"] = ORACLE_SQL["itemsets_brands"]
 ORACLE_SQL["graph_links"] = f"WITH {GRAPH} SELECT s AS src, t AS dst FROM links"
 ORACLE_SQL["graph_vertices"] = f"WITH {GRAPH} SELECT node FROM nodes"
 ORACLE_SQL["modularity_unhalved"] = ORACLE_SQL["modularity"].replace("k * k / (2.0 * m)", "k * k / (1.0 * m)")
-ORACLE_SQL["content_cosine"] = f"""WITH {WORDS}, {USERS}, tests AS (SELECT DISTINCT "user", business FROM visits WHERE doc_id % 10 = 0),
+ORACLE_SQL["content_cosine"] = f"""WITH {WORDS}, {USERS}, tests AS (SELECT DISTINCT "user", business FROM visits),
 nb AS (SELECT business, count(*) AS nb FROM profile GROUP BY 1), nu AS (SELECT "user", count(*) AS nu FROM users GROUP BY 1),
 shared AS (SELECT t."user", t.business, count(*) AS k FROM tests t JOIN users u ON u."user" = t."user" JOIN profile p ON p.business = t.business AND p.word = u.word GROUP BY 1, 2)
 SELECT "user", business, round(k / (sqrt(nb) * sqrt(nu)), 6) AS score FROM shared JOIN nb USING (business) JOIN nu USING ("user") WHERE k / (sqrt(nb) * sqrt(nu)) >= 0.01"""
@@ -249,3 +285,14 @@ ORACLE_SQL["event_fields"] = "SELECT CAST(json_extract_string(props, '$.k') AS B
 ORACLE_SQL["top_tags_by_type"] = """WITH c AS (SELECT p_type, tag, count(*) AS n FROM (SELECT p_type, unnest(string_split(p_name, ' ')) AS tag FROM part) GROUP BY 1, 2)
 SELECT p_type, tag, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, dense_rank() OVER (PARTITION BY p_type ORDER BY n DESC) AS rank FROM c) WHERE rank <= 3"""
 ORACLE_SQL["json_lines_round_trip"] = f"WITH {REVIEWS} SELECT stars, count(*) AS n, sum(user_id) AS users, sum(business_id) AS businesses FROM reviews GROUP BY 1"
+ORACLE_SQL["item_cf_saved"] = ORACLE_SQL["item_cf_predict"]
+ORACLE_SQL["content_saved"] = ORACLE_SQL["content_score"]
+ORACLE_SQL["edge_list_csv"] = ORACLE_SQL["copurchase_edges"]
+ORACLE_SQL["partition_by_id"] = f"WITH {REVIEWS} SELECT CAST(p AS INTEGER) AS partition, count(user_id) AS n FROM range({PARTITIONS}) t(p) LEFT JOIN reviews ON business_id % {PARTITIONS} = p GROUP BY 1"
+ORACLE_SQL["partition_totals"] = f"WITH {REVIEWS} SELECT {PARTITIONS}::BIGINT AS partitions, count(*) AS n FROM reviews"
+ORACLE_SQL["bfr_totals"] = 'SELECT k + 1 AS "round", count(*) AS n_points FROM embeddings, range(5) t(k) WHERE vec_id % 5 <= k GROUP BY 1'
+ORACLE_SQL["hll_within_error"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS n_distinct, true AS within FROM events GROUP BY 1"
+ORACLE_SQL["lsh_recall"] = f"""WITH {REVIEWS}, {MEMBERS}, sizes AS (SELECT i, count(*) AS n FROM members GROUP BY 1),
+pairs AS (SELECT x.i AS a, y.i AS b FROM members x JOIN members y ON x.u = y.u AND x.i < y.i JOIN sizes p ON p.i = x.i JOIN sizes q ON q.i = y.i
+  GROUP BY 1, 2 HAVING count(*) / (any_value(p.n) + any_value(q.n) - count(*)) >= {LSH_JACCARD})
+SELECT count(*) AS n_pairs, true AS reached FROM pairs"""

@@ -7,14 +7,12 @@ from pyspark.sql import DataFrame
 YEAR = 1997
 PARTITIONS = 8
 JACCARD = 0.055
-LSH_BANDS = 50
+LSH_BANDS = 100
 LSH_JACCARD = 0.055
 USER_BANDS = 35
 EDGE_THRESHOLD = 7
 SWAPPED_SUPPORT = 9
 K_MEANS = 10
-KMEANS_ROUNDS = 5
-FM_DAYS = 7
 SAMPLE_SIZE = 100
 
 #: The share of baskets, in thousandths, that an itemset needs.

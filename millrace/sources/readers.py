@@ -24,6 +24,11 @@ def json_document(spark: SparkSession, path: str, schema: str | StructType) -> D
     return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
 
 
+def pair_model(spark: SparkSession, path: str, kind: str = "string") -> DataFrame:
+    """A model of pairs that was written as JSON lines, as (a, b, sim) with ids of a kind."""
+    return json_lines(spark, path, PAIR_MODEL).select(F.col("b1").cast(kind).alias("a"), F.col("b2").cast(kind).alias("b"), "sim")
+
+
 def csv_with_header(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """CSV whose first line is a header; data lines that look like it stay."""
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)

@@ -17,6 +17,11 @@ def csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def pair_model(pairs: DataFrame, path: str) -> None:
+    """A model of pairs (a, b, sim) as JSON lines of b1, b2 and sim."""
+    json_lines(pairs.select(F.col("a").cast("string").alias("b1"), F.col("b").cast("string").alias("b2"), "sim"), path)
+
+
 def json_object(summary: DataFrame) -> str:
     """A one-row summary as a JSON object."""
     return json.dumps(summary.first().asDict(recursive=True), default=str, ensure_ascii=False)
