@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.text import is_ascii_alpha, json_field
+from millrace.functions.text import is_ascii_alpha, json_field, mentions_year
 from millrace.operators import cluster, graph, itemsets, recommend, relational, similarity, sketch
 from millrace.plans.oracle import ORACLE_SQL  # noqa: F401  (part of this module's interface)
 from millrace.plans.settings import (
@@ -52,6 +52,12 @@ def review_stats(spark, d):
     return relational.summary(views.reviews(spark, d), YEAR)
 
 
+@query
+def mentions_of_year(spark, d):
+    """Reviews whose date holds the year's digits anywhere."""
+    return views.reviews(spark, d).where(mentions_year(F.col("date").cast("string"), YEAR)).agg(F.count("*").alias("n"))
+
+
 @query
 def count_by_year(spark, d):
     return relational.count_by(views.reviews(spark, d), F.year("date").alias("year"))
@@ -206,7 +212,7 @@ def user_cf_predict(spark, d):
 
 def _names(spark, d) -> DataFrame:
     names = views.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return names.union(spark.createDataFrame([(-1, ""), (-2, "Zoë Müller"), (-3, "顧客"), (-4, None)], "id long, name string"))
+    return names.union(readers.in_memory(spark, [(-1, ""), (-2, "Zoë Müller"), (-3, "顧客"), (-4, None)], "id long, name string"))
 
 
 def _bits(spark, d) -> DataFrame:

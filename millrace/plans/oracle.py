@@ -205,6 +205,7 @@ ORACLE_SQL: dict[str, str] = {
     "category_avg": f"WITH {REVIEWS}, {BUSINESSES}, means AS (SELECT category, avg(stars) AS mean_stars FROM reviews LEFT JOIN categories USING (business_id) GROUP BY 1) {TOP_CATEGORIES}",
     "category_avg_inner": f"WITH {REVIEWS}, {BUSINESSES}, means AS (SELECT category, avg(stars) AS mean_stars FROM reviews JOIN categories USING (business_id) GROUP BY 1) {TOP_CATEGORIES}",
     "review_stats": f"WITH {REVIEWS} SELECT count(*) AS n_reviews, count(*) FILTER (year(date) = {YEAR}) AS n_reviews_year, count(DISTINCT user_id) AS n_users, count(DISTINCT business_id) AS n_businesses FROM reviews",
+    "mentions_of_year": f"WITH {REVIEWS} SELECT count(*) AS n FROM reviews WHERE contains(CAST(date AS VARCHAR), '{YEAR}')",
     "count_by_year": f"WITH {REVIEWS} SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS n FROM reviews GROUP BY 1",
     "top_users": f"WITH {REVIEWS} SELECT user_id, count(*) AS n FROM reviews GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10",
     "top_words": f"WITH w AS (SELECT translate(unnest(string_split(lower(text), ' ')), '([,.!?:;])', '') AS word FROM documents) SELECT word, count(*) AS n FROM w WHERE word NOT IN ({STOP}, '') GROUP BY 1 ORDER BY n DESC, word LIMIT 50",

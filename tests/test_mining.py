@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.operators import cluster, graph, itemsets, recommend, similarity, sketch
 
@@ -211,3 +212,41 @@ def test_bfr_counts_every_point_in_every_round(spark):
     assert sorted(labels) == list(range(300))
     groups = [{labels[i] for i in range(300) if i % 3 == k} for k in range(3)]
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.4, 0.8])
+def test_hot_members_change_no_result(spark, monkeypatch, threshold):
+    """Prefixes find what counting all pairs finds, with a member that everybody has and owners beyond the array size."""
+    rng = np.random.default_rng(3)
+    pairs = {(o, int(m)) for o in range(60) for m in rng.choice(30, rng.integers(1, 12), replace=False)} | {(o, 99) for o in range(60)} | {(7, m) for m in range(100, 140)}
+    df = spark.createDataFrame(sorted(pairs), "o long, m long")
+    ratings = df.select(F.col("o").alias("item"), F.col("m").alias("user"), (F.col("o") * F.col("m") % 5).cast("double").alias("stars"))
+    for hot, array in ((10**6, 10_000), (0, 10_000), (0, 20)):
+        monkeypatch.setattr(similarity, "HOT", hot)
+        monkeypatch.setattr(similarity, "ARRAY", array)
+        got = [rows(similarity.jaccard_pairs(df, "o", "m", threshold)), rows(graph.cooccurrence_edges(df, "o", "m", 4)), [(a, b, round(s, 9)) for a, b, s in rows(similarity.pearson_pairs(ratings, "item", "user"))]]
+        if hot:
+            want = got
+        assert got == want and all(want[1:])
+
+
+def test_betweenness_matrices_equal_the_walk():
+    rng = np.random.default_rng(5)
+    for n, p in ((3, 1.0), (12, 0.3), (40, 0.1), (40, 0.6)):
+        links = np.triu(rng.random((n, n)) < p, 1)
+        links = (links | links.T).astype(float)
+        adjacency = {i: np.flatnonzero(links[i]).tolist() for i in range(n)}
+        want = np.zeros((n, n))
+        for root in range(n):
+            for (a, b), flow in graph.shares_from(root, adjacency).items():
+                want[a, b] += flow / 2
+        assert np.allclose(np.triu(graph.matrix_flows(links)), want)
+
+
+def test_random_start_of_kmeans(spark):
+    x, df = _points(spark, 4)
+    start = cluster.random_points(df, 3, seed=1)
+    assert len({tuple(r) for r in start}) == 3 and all(any(np.allclose(r, p) for p in x) for r in start)
+    assert not np.allclose(start, cluster.random_points(df, 3, seed=2))
+    found = {r["id"]: r["cluster"] for r in cluster.kmeans(df, 3, seed=8).collect()}
+    assert len(found) == len(x)

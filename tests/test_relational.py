@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import session
 from millrace.functions import hashing, text, vectors
 from millrace.operators import relational
 from millrace.sources import readers, sinks
@@ -103,3 +104,21 @@ def test_reports(spark):
     assert [r["line"] for r in sinks.betweenness_lines(edges).collect()] == ["('a', 'c'), 2.0", "('a', 'b'), 1.0"]
     assert sinks.true_false(spark.createDataFrame([(2, False), (1, True)], "i int, f boolean"), "i", "f") == "T F"
     assert json.loads(sinks.json_object(spark.createDataFrame([(1, "x")], "a int, b string"))) == {"a": 1, "b": "x"}
+
+
+def test_json_documents_and_pair_models(spark, tmp_path):
+    (tmp_path / "model.json").write_text('{\n "b1": ["x", "y"],\n "b2": ["z"]\n}')
+    assert rows(readers.json_document(spark, str(tmp_path / "model.json"), "b1 array<string>, b2 array<string>")) == [(["x", "y"], ["z"])]
+    sinks.pair_model(readers.in_memory(spark, [(1, 2, 0.5)], "a long, b long, sim double"), str(tmp_path / "pairs"))
+    assert rows(readers.pair_model(spark, str(tmp_path / "pairs"), "long")) == [(1, 2, 0.5)]
+
+
+def test_session_settings(spark):
+    found = session.get_session()
+    assert found.conf.get("spark.sql.session.timeZone") == "UTC" and session.shared_dir(found)
+    assert session.cut(found.range(3)).count() == 3
+
+
+def test_own_partitioner(spark):
+    df = readers.in_memory(spark, [(k,) for k in (0, 7, 7, 14, 3)], "k long")
+    assert rows(relational.partition_stats(df, "k", 7, F.pmod("k", F.lit(7)))) == [(0, 4), (1, 0), (2, 0), (3, 1), (4, 0), (5, 0), (6, 0)]
