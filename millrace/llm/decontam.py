@@ -24,7 +24,8 @@ A document holds an item when windows of one alignment cover at least ``MATCH``
 the whole item where it is shorter, with consistent slots.  Template windows alone suffice
 where they cover all tokens of the item that its template windows can cover.  Where the
 reading with names covers as much of the same stretch and its slots are not consistent,
-the reading with plain words does not count.
+the reading with plain words counts only if it covers the whole item.  Names at the two ends
+of an alignment may go on outside of it, so they are not compared.
 
 Edge cases: null and empty texts or items have no tokens and never match; items of
 fewer than ``WINDOW`` tokens are one window of their own length; items without any template
@@ -46,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import WordCache, bit_table, flatten, in_table, pick, slices, tidy, tuned, written
-from millrace.llm.subwords import BASE, mix
+from millrace.llm.subwords import BASE, mix, rolling
 
 WINDOW = 8
 LITERALS = 4
@@ -145,16 +146,11 @@ def windows(r: Reading, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     filled, named = np.concatenate([[0], np.cumsum(r.slot > 0)]), np.concatenate([[0], np.cumsum(r.slot == NAME)])
     plain, names = size - (filled[size:] - filled[:-size]), named[size:] - named[:-size]
     exact = (plain < min(LITERALS, size)) | ((names > 0) & (plain < names + 2))
-    hashes = []
-    for source in (template, r.literal):
-        joined = np.zeros(n, np.uint64)
-        for k in range(size):
-            joined = joined * BASE + source[k : n + k]
-        hashes.append(joined)
+    joined = np.where(exact, rolling(r.literal, size), rolling(template, size))
     owner = np.repeat(np.arange(len(r.per_text)), r.per_text)
     keep = np.flatnonzero(owner[:n] == owner[size - 1 :])
     salt = (4 * size + 2 * r.names + exact[keep]).astype(np.uint64)
-    return mix(np.where(exact, hashes[1], hashes[0])[keep] ^ salt), keep, exact[keep]
+    return mix(joined[keep] ^ salt), keep, exact[keep]
 
 
 def _slots(r: Reading, first: int, size: int) -> list[int]:
@@ -224,7 +220,7 @@ def document_windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 def alignments(met: DataFrame, match: int) -> DataFrame:
     """Per document, item, reading and shift: what its windows cover, and whether that is enough and consistent."""
     template = F.when(~F.col("exact"), F.col("item_place"))
-    pairs = F.expr("filter(arrays_zip(item_slots, slots), x -> x.slots <> 0 or x.item_slots <> 0)")
+    pairs = F.expr("filter(transform(arrays_zip(item_slots, slots), (x, i) -> struct(item_place + i as p, x.item_slots as item_slots, x.slots as slots)), x -> x.slots <> 0 or x.item_slots <> 0)")
     met = met.select("doc_id", "doc", "item", "names", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "exact", F.size("slots").alias("size"), "first", "last", "n_item", "n_template_item", pairs.alias("pairs"))
     runs = met.groupBy("doc_id", "doc", "item", "names", "shift").agg(
         F.collect_set("item_place").alias("places"), F.collect_set(template).alias("templates"), F.max("size").alias("size"), F.min("first").alias("first"), F.max("last").alias("last"),
@@ -233,6 +229,9 @@ def alignments(met: DataFrame, match: int) -> DataFrame:
     )
     covered = lambda places: F.expr(f"size(array_distinct(flatten(transform({places}, p -> sequence(p, p + size - 1)))))")
     runs = runs.withColumn("n", covered("places")).withColumn("n_template", covered("templates"))
+    for pairs, places in (("pairs", "places"), ("template_pairs", "templates")):
+        inside = f"(x.item_slots & 3) <> {NAME} or (x.p > array_min({places}) and x.p < array_max({places}) + size - 1)"
+        runs = runs.withColumn(pairs, F.expr(f"array_distinct(transform(filter({pairs}, x -> {inside}), x -> struct(x.item_slots as item_slots, x.slots as slots)))"))
     of = lambda p, kind: f"filter({p}, x -> (x.item_slots & 3) = {kind})"
     values = lambda p, side: f"size(array_distinct(transform({p}, x -> x.{side})))"
     # pairs are distinct, so each item value meets one value where there are as many values as pairs
@@ -249,6 +248,7 @@ def alignments(met: DataFrame, match: int) -> DataFrame:
     return runs.where(enough("n", "n_item") | templates_do).select(
         "doc_id", "doc", "item", "names", "first", "last", F.when(whole, F.col("n")).when(alone, F.col("n_template")).otherwise(F.col("n")).alias("n_tokens"),
         F.when(whole, same("pairs")).otherwise(same("template_pairs")).alias("same"), (whole | alone).alias("ok"),
+        (F.col("n") >= F.col("n_item")).alias("all"),
     )
 
 
@@ -264,9 +264,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     runs = alignments(met, match)
     runs = written(runs, "alignments")
     bad = runs.where("names and not ok").select("doc_id", "doc", "item", "first", "last", "n_tokens").alias("b")
-    words = runs.where("ok and not names").alias("w")
+    words = runs.where("ok and not names and not all").alias("w")
     over = F.expr("b.doc_id = w.doc_id and b.doc = w.doc and b.item = w.item and b.first <= w.last and w.first <= b.last and b.n_tokens >= w.n_tokens")
-    found = runs.where("ok and names").unionByName(words.join(bad, over, "left_anti")).join(known.select("item_id", "item"), "item")
+    found = runs.where("ok and (names or all)").unionByName(words.join(bad, over, "left_anti")).join(known.select("item_id", "item"), "item")
     return found.groupBy("doc_id", "item_id").agg(F.max("n_tokens").cast("long").alias("n_tokens"), F.max("same").alias("verbatim"))
 
 

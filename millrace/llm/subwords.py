@@ -12,6 +12,24 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 SHIFT = np.uint64(31)
 
 
+#: The multiplier's inverse modulo 2^64.
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def rolling(values: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` values, by sums of value times power; equal runs have equal hashes wherever they stand."""
+    n = len(values)
+    if len(_POWERS[0]) < n:
+        most = max(n, 2 * len(_POWERS[0]))
+        for k, base in enumerate((BASE, INVERSE)):
+            factors = np.full(most, base)
+            factors[0] = 1
+            _POWERS[k] = np.cumprod(factors)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _POWERS[0][:n])])
+    return (sums[size:] - sums[: n - size + 1]) * _POWERS[1][: n - size + 1]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads a hash over all its bits."""
     h = (h ^ (h >> SHIFT)) * MIX

@@ -79,3 +79,10 @@ def test_null_ids_are_not_named_and_repeated_ids_are_judged_alone(spark):
     half = ITEM.split()
     docs = [(None, ITEM), (1, " ".join(half[:9])), (1, " ".join(half[9:])), (2, ITEM), (2, "other words"), (3, None)]
     check(spark, docs, [(1, ITEM), (None, ITEM), (4, ITEM), (5, None)], {(2, 1), (2, 4)})
+
+
+def test_names_that_go_on_outside_a_copy(spark):
+    """The first and last word of a copy may stand beside other capitalised words."""
+    item = ITEM.replace("Every", "Maria and every").replace(" they count", " Anna counts") + " Maria"
+    docs = [(1, f"Then came Juan {item} Lopez"), (2, f"Then came Juan {item.replace('Paul', 'Ann Lee')} Lopez"), (3, f"Juan {' '.join(item.split()[:16])} Lopez and others")]
+    check(spark, docs, [(1, item)], {(1, 1), (2, 1), (3, 1)})
