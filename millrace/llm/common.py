@@ -3,10 +3,7 @@ column picking and a bounded cache of per-word results."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
@@ -17,30 +14,12 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.session import shared_dir
+
 #: Characters of text that a worker handles at once; longer single texts are handled alone.
 SLICE_CHARS = 400_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset and
-    the master is local (tests) a temporary folder is set; elsewhere it is an error.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-    folder = tempfile.mkdtemp(prefix="millrace-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    at = "file://" + folder
-    context.setCheckpointDir(at)
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
 def tuned(spark: SparkSession, rows: int = 2000) -> SparkSession:
     """The session, with Arrow batches of whole texts kept small: texts may be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -51,7 +30,21 @@ def tuned(spark: SparkSession, rows: int = 2000) -> SparkSession:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+#: Paths that this process made and has not swept.
+_MADE: list[str] = []
+
+
+def sweep() -> None:
+    """Removes the tables and block files that this process made, but for the last one; DataFrames over the others end there."""
+    for path in _MADE[:-1]:
+        store, local = filesystem(path)
+        if store.get_file_info(local).type != pafs.FileType.NotFound:
+            store.delete_dir(local)
+    del _MADE[:-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ import tiktoken
 
 import corpus_pipeline
 from millrace.llm import byte_bpe, secrets
-from millrace.llm.common import written
+from millrace.llm.common import filesystem, sweep, written
 from tests.llm.test_joins import brute
 
 SF = "/root/testdata/sf0.01"
@@ -53,3 +53,13 @@ def test_odd_and_empty_tables(spark, stage):
         assert len(got) <= 7
     else:
         assert len(got) == (5 if stage is corpus_pipeline.dedup_stage else 7)
+
+
+def test_sweeping_leaves_the_last_table(spark):
+    first, last = written(spark.range(3), "first"), written(spark.range(4), "last")
+    paths = [df.inputFiles()[0] for df in (first, last)]
+    sweep()
+    assert last.count() == 4
+    for path, there in zip(paths, (False, True)):
+        store, local = filesystem(path)
+        assert (store.get_file_info(local).type.name != "NotFound") == there
