@@ -38,13 +38,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 _MADE: list[str] = []
 
 
-def sweep() -> None:
-    """Removes the tables and block files that this process made, but for the last one; DataFrames over the others end there."""
-    for path in _MADE[:-1]:
+def n_made() -> int:
+    """How many paths there are, for ``sweep``."""
+    return len(_MADE)
+
+
+def sweep(since: int) -> None:
+    """Removes what this process made after there were ``since`` paths, but for the last one; DataFrames over it end there."""
+    for path in _MADE[since:-1]:
         store, local = filesystem(path)
         if store.get_file_info(local).type != pafs.FileType.NotFound:
             store.delete_dir(local)
-    del _MADE[:-1]
+    del _MADE[since:-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

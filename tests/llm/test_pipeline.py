@@ -9,7 +9,7 @@ import tiktoken
 
 import corpus_pipeline
 from millrace.llm import byte_bpe, secrets
-from millrace.llm.common import filesystem, sweep, written
+from millrace.llm.common import filesystem, n_made, sweep, written
 from tests.llm.test_joins import brute
 
 SF = "/root/testdata/sf0.01"
@@ -56,10 +56,11 @@ def test_odd_and_empty_tables(spark, stage):
 
 
 def test_sweeping_leaves_the_last_table(spark):
+    other, since = written(spark.range(2), "other"), n_made()
     first, last = written(spark.range(3), "first"), written(spark.range(4), "last")
-    paths = [df.inputFiles()[0] for df in (first, last)]
-    sweep()
-    assert last.count() == 4
-    for path, there in zip(paths, (False, True)):
+    paths = [df.inputFiles()[0] for df in (other, first, last)]
+    sweep(since)
+    assert other.count() == 2 and last.count() == 4
+    for path, there in zip(paths, (True, False, True)):
         store, local = filesystem(path)
         assert (store.get_file_info(local).type.name != "NotFound") == there
