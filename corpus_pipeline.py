@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import byte_bpe, decontam, ngram_join, quality, secrets
-from millrace.llm.common import sweep, tuned, written
+from millrace.llm.common import n_made, sweep, tuned, written
 
 
 def _free(name: str, docs: DataFrame) -> str:
@@ -92,8 +92,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents.  What a stage wrote on its way is removed once its rows are written."""
-    docs = tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    since, docs = n_made(), tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "stage")
-        sweep()
+        sweep(since)
     return STAGES[-1][1](spark, docs, sf_dir)
