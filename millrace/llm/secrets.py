@@ -163,7 +163,7 @@ class CharCNN:
                     m[k] = 0.9 * m[k] + 0.1 * g
                     s[k] = 0.99 * s[k] + 0.01 * g * g
                     self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-        logit, z = self.forward(x[held])[0].astype(float), y[held].astype(float)
+        logit, z = self.logits(x[held]), y[held].astype(float)
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -30, 30)))
             grad = np.array([((z - p) * logit).sum() - 0.01 * (self.scale - 1), (z - p).sum() - 0.01 * self.shift])
@@ -178,11 +178,12 @@ class CharCNN:
             self.threshold = float(1 / (1 + np.exp(-np.clip((least + most) / 2 if most < least else least, -30, 30))))
         return self
 
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        """What the network gives before calibration, some windows at a time."""
+        return np.concatenate([np.zeros(0), *(self.forward(x[a : a + 256])[0] for a in range(0, len(x), 256))]).astype(float)
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        if not len(x):
-            return np.zeros(0)
-        logit = np.concatenate([self.forward(x[a : a + 256])[0] for a in range(0, len(x), 256)]).astype(float)
-        return 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -30, 30)))
 
 
 def generated(n: int, seed: int = 11) -> tuple[list[np.ndarray], list[int]]:
