@@ -198,10 +198,6 @@ def pre_tokenise(df: DataFrame, pattern: str, buckets: int, id_col: str = "doc_i
     return written(rows.mapInArrow(tidy(run), "block string, bucket int, words binary"), "bpe-words")
 
 
-def _dealt(df: DataFrame, tasks: int | None, key: str) -> DataFrame:
-    return df if tasks is None else df.repartition(tasks, key)
-
-
 def encode_words(words: DataFrame, path: str, pattern: str, tasks: int | None = None) -> DataFrame:
     """(block, bucket, ids): within a bucket each distinct word is encoded once, for all blocks."""
 
@@ -218,7 +214,8 @@ def encode_words(words: DataFrame, path: str, pattern: str, tasks: int | None =
             out.append(pack(np.fromiter(map(len, ids), np.uint32, len(ids)), squeeze(flat)))
         return pa.Table.from_arrays([table.column("block"), table.column("bucket"), pa.array(out, pa.binary())], schema=IDS)
 
-    return _dealt(words, tasks, "bucket").groupBy("bucket").applyInArrow(tidy_group(run), "block string, bucket int, ids binary")
+    dealt = words if tasks is None else words.repartitionById(tasks, F.col("bucket"))  # buckets go round the tasks
+    return dealt.groupBy("bucket").applyInArrow(tidy_group(run), "block string, bucket int, ids binary")
 
 
 def reassemble(ids: DataFrame, decode_path: str | None = None, tasks: int | None = None) -> DataFrame:
@@ -244,7 +241,8 @@ def reassemble(ids: DataFrame, decode_path: str | None = None, tasks: int | None
             columns["decoded"] = pa.array([decode_ids(np.frombuffer(x, "<u4"), decode_path) for x in out], pa.binary())
         return pa.table(columns)
 
-    return _dealt(ids, tasks, "block").groupBy("block").applyInArrow(tidy_group(run), "doc_id long, ids binary" + (", decoded binary" if decode_path else ""))
+    dealt = ids if tasks is None else ids.repartition(tasks, "block")
+    return dealt.groupBy("block").applyInArrow(tidy_group(run), "doc_id long, ids binary" + (", decoded binary" if decode_path else ""))
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:

@@ -292,7 +292,7 @@ def shingle_counts(texts: DataFrame, n: int) -> DataFrame:
         return pa.Table.from_arrays([table.column("block"), table.column("bucket"), pa.array(out, pa.binary())], schema=HASHES)
 
     sent = texts.mapInArrow(tidy(sign), "block string, bucket int, hashes binary")
-    return written(sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(tidy_group(count), "block string, bucket int, hashes binary"), "shingle-counts")
+    return written(sent.repartitionById(tasks, F.col("bucket")).groupBy("bucket").applyInArrow(tidy_group(count), "block string, bucket int, hashes binary"), "shingle-counts")
 
 
 def set_keys(blocks: DataFrame) -> DataFrame:
