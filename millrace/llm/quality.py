@@ -32,7 +32,7 @@ BUCKETS = 1 << 16
 SIZES = (3, 4, 5)
 #: Feature of a word that repeats the one before it.
 REPEAT = BUCKETS
-TRAIN = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("features", pa.binary()), ("counts", pa.binary()), ("size", pa.int64())])
+TRAIN = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("features", pa.binary()), ("counts", pa.binary()), ("key", pa.binary()), ("size", pa.int64())])
 
 
 def _word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +68,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 5000, max_feature
     sample = texts.join(F.broadcast(bounded_sample(labels, max_train)), "doc_id").select(F.col("doc_id").cast("long"), "label", "text")
 
     def features(batches):
+        import xxhash
+
         cache = WordCache(_word_features, "uint32")
         for batch in batches:
             rows = []
@@ -78,11 +80,12 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 5000, max_feature
                 count = np.bincount(flat, minlength=BUCKETS + 1)
                 count[REPEAT] = _repeats(codes, np.array([len(codes)]))[0]
                 found = np.flatnonzero(count)
-                rows.append({"doc_id": doc_id, "label": label, "features": found.astype("<u4").tobytes(), "counts": count[found].astype("<u4").tobytes(), "size": len(found)})
+                features, counts = found.astype("<u4").tobytes(), count[found].astype("<u4").tobytes()
+                rows.append({"doc_id": doc_id, "label": label, "features": features, "counts": counts, "key": xxhash.xxh3_128_digest(features + counts), "size": len(found)})
             yield pa.RecordBatch.from_pylist(rows, TRAIN)
 
-    made = written(sample.mapInArrow(tidy(features), "doc_id long, label int, features binary, counts binary, size long"), "quality-examples")
-    rows = within_budget(made, "size", max_features, "features", "counts")
+    made = written(sample.mapInArrow(tidy(features), "doc_id long, label int, features binary, counts binary, key binary, size long"), "quality-examples")
+    rows = within_budget(made, "size", max_features, "key")
     order = sorted(range(rows.num_rows), key=lambda i: (rows.column("features")[i].as_py(), rows.column("counts")[i].as_py(), rows.column("label")[i].as_py()))
     rows = rows.take(pa.array(order, pa.int64()))
     found = [np.frombuffer(x.as_py(), "<u4") for x in rows.column("features")]
