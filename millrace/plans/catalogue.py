@@ -207,7 +207,8 @@ def item_cf_saved(spark, d):
 def user_cf_predict(spark, d):
     train, tests = views.ratings(spark, d, test=False), views.ratings(spark, d, test=True)
     model = similarity.user_pearson(train, USER_BANDS)
-    return recommend.predict_by_users(train, tests, model).select("user", "item", F.round("stars", 5).alias("stars"))
+    # some means lie half way between two roundings, which the noise of sums in any order must not decide
+    return recommend.predict_by_users(train, tests, model).select("user", "item", F.round(F.round("stars", 9), 5).alias("stars"))
 
 
 def _names(spark, d) -> DataFrame:
