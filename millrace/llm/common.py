@@ -6,6 +6,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 from itertools import islice
 
 import numpy as np
@@ -126,6 +127,31 @@ def tidy_group(run: Callable) -> Callable:
     return tidied
 
 
+def tidy_call(run: Callable) -> Callable:
+    """The same for a function that works in the driver."""
+
+    @wraps(run)
+    def tidied(*args, **options):
+        try:
+            return run(*args, **options)
+        finally:
+            _release()
+
+    return tidied
+
+
+def binary_views(column: pa.ChunkedArray, dtype: str) -> list[np.ndarray]:
+    """Every value of a column of bytes without nulls as an array over the column's own memory."""
+    out = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        kind = np.int64 if pa.types.is_large_binary(chunk.type) else np.int32
+        ends = np.frombuffer(offsets, kind)[chunk.offset : chunk.offset + len(chunk) + 1].tolist() if len(chunk) else [0]
+        data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        out += [data[a:b].view(dtype) for a, b in zip(ends, ends[1:])]
+    return out
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names; other columns cannot clash."""
     return df.select(*[F.col("`" + old.replace("`", "``") + "`").alias(new) for new, old in columns.items()])

@@ -20,12 +20,14 @@ repeated doc_ids keep one result a row; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import cmp_to_key
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordCache, by_group, flatten, pick, slices, tidy, tuned, within_budget, written
+from millrace.llm.common import WordCache, binary_views, by_group, flatten, pick, slices, tidy, tidy_call, tuned, within_budget, written
 from millrace.llm.subwords import subword_hashes
 
 BUCKETS = 1 << 16
@@ -62,6 +64,7 @@ def bounded_sample(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
+@tidy_call
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 5000, max_features: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", **options) -> Model:
     """Fits a model on at most ``max_train`` rows of labels (doc_id, label) with at most ``max_features`` features in all."""
     texts = pick(docs, doc_id=id_col, text=text_col)
@@ -86,11 +89,16 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 5000, max_feature
 
     made = written(sample.mapInArrow(tidy(features), "doc_id long, label int, features binary, counts binary, key binary, size long"), "quality-examples")
     rows = within_budget(made, "size", max_features, "key")
-    order = sorted(range(rows.num_rows), key=lambda i: (rows.column("features")[i].as_py(), rows.column("counts")[i].as_py(), rows.column("label")[i].as_py()))
-    rows = rows.take(pa.array(order, pa.int64()))
-    found = [np.frombuffer(x.as_py(), "<u4") for x in rows.column("features")]
-    counts = [np.frombuffer(x.as_py(), "<u4") for x in rows.column("counts")]
-    return Model.fit(found, counts, np.array(rows.column("label").to_pylist(), np.int64), **options)
+    found, counts = binary_views(rows.column("features"), "<u4"), binary_views(rows.column("counts"), "<u4")
+    marks = rows.column("label").to_pylist()
+
+    def compare(i: int, j: int) -> int:
+        """Order of two examples by their bytes, of which two are copied at a time."""
+        a, b = ((found[k].tobytes(), counts[k].tobytes(), marks[k]) for k in (i, j))
+        return (a > b) - (a < b)
+
+    order = sorted(range(len(marks)), key=cmp_to_key(compare))
+    return Model.fit([found[i] for i in order], [counts[i] for i in order], np.array([marks[i] for i in order], np.int64), **options)
 
 
 class Model:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import pick, tidy, tuned, written
+from millrace.llm.common import pick, tidy, tidy_call, tuned, written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -227,6 +227,7 @@ def generated(n: int, seed: int = 11) -> tuple[list[np.ndarray], list[int]]:
 FINDINGS = pa.schema([("label", pa.int32()), ("window", pa.binary())])
 
 
+@tidy_call
 def train(docs: DataFrame, max_docs: int = 3000, max_each: int = 3000, n_generated: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> CharCNN:
     """Fits on the findings of at most ``max_docs`` documents (whole texts, first in the order of a hash of
     doc_id), at most ``max_each`` windows a label, and generated examples."""

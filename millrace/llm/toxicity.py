@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordCache, by_group, flatten, pick, ragged_take, slices, tidy, tuned, within_budget, written
+from millrace.llm.common import WordCache, by_group, flatten, pick, ragged_take, slices, tidy, tidy_call, tuned, within_budget, written
 from millrace.llm.quality import bounded_sample, learnable
 
 BLOCK = 32
@@ -271,6 +271,7 @@ def document_frequency(texts: DataFrame, vocabulary: np.ndarray) -> tuple[int, n
     return int(out[-1]), out[:-1]
 
 
+@tidy_call
 def train(docs: DataFrame, labels: DataFrame, max_ones: int = 2000, max_zeros: int = 3000, max_terms: int = 4_000_000, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits on at most max_ones + max_zeros labelled rows (doc_id, label), in the order of a hash of doc_id,
     whose distinct terms are at most max_terms in all; whole texts, however many examples that makes."""
