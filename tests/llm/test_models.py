@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import quality, queries, secrets, toxicity
@@ -281,3 +282,13 @@ def test_recall_of_secrets_planted_in_documents(spark):
     assert np.mean(met) >= 0.9
     false = sum(s["kind"] == "cnn" for found in secrets.find_all(clean, net) for s in found)
     assert false <= 0.005 * sum(len(secrets.candidates(t, secrets.base_spans(t))) for t in clean)
+
+
+def test_binary_views_of_slices_and_empty_chunks():
+    from millrace.llm.common import binary_views
+
+    values = [b"", b"\x01\x00\x00\x00", b"\x02\x00\x00\x00\x03\x00\x00\x00", b"\x04\x00\x00\x00"]
+    for kind in (pa.binary(), pa.large_binary()):
+        column = pa.chunked_array([pa.array([], kind), pa.array(values, kind), pa.array(values, kind).slice(1, 2)], kind)
+        assert [x.tolist() for x in binary_views(column, "<u4")] == [[], [1], [2, 3], [4], [1], [2, 3]]
+    assert binary_views(pa.chunked_array([], pa.binary()), "<u4") == []
