@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import is_ascii_alpha, json_field, mentions_year
@@ -203,11 +203,19 @@ def item_cf_saved(spark, d):
     return recommend.predict_by_items(train, tests, model).select("user", "item", F.round("stars", 5).alias("stars"))
 
 
+def _sql_round(name: str, digits: int) -> Column:
+    """A column of doubles rounded as the SQL twins do it: times ten to the digits, to the nearest whole number, and back.
+
+    Spark's own rounding cuts at the shortest decimal form, so that 1.5943749999999999, a half but for the last bit, goes down there and up in SQL.
+    """
+    return F.round(F.col(name) * 10.0**digits) / 10.0**digits
+
+
 @query
 def user_cf_predict(spark, d):
     train, tests = views.ratings(spark, d, test=False), views.ratings(spark, d, test=True)
     model = similarity.user_pearson(train, USER_BANDS)
-    return recommend.predict_by_users(train, tests, model).select("user", "item", F.round("stars", 5).alias("stars"))
+    return recommend.predict_by_users(train, tests, model).select("user", "item", _sql_round("stars", 5).alias("stars"))
 
 
 def _names(spark, d) -> DataFrame:

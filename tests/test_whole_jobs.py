@@ -72,3 +72,15 @@ def test_kmeans_runs_until_it_settles(spark):
 def test_kmeans_that_does_not_settle_fails(spark):
     with pytest.raises(RuntimeError):
         cluster.kmeans(views.points(spark, SF), K_MEANS, 3)
+
+
+def test_user_predictions_are_rounded_as_in_sql(spark, tmp_path):
+    """Two users whose prediction is 1.5943749999999999, a half in the sixth digit but for the last bit."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{SF}/orders.parquet' WHERE o_custkey IN (321, 1286)")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet' WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
+    for t in ("orders", "lineitem"):
+        con.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    found = sorted(tuple(r) for r in catalogue.QUERIES["user_cf_predict"](spark, str(tmp_path)).collect())
+    assert (321, 1890, 1.59438) in found
+    assert found == sorted(con.sql(catalogue.ORACLE_SQL["user_cf_predict"]).fetchall())
