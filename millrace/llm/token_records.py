@@ -26,11 +26,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordCache, filesystem, flatten, fresh_path, pick, ragged_take, slices, tidy, tuned, written
+from millrace.llm.common import WordCache, by_group, filesystem, fresh_path, pick, slices, tidy, tuned, written
 
 HEADER = struct.Struct("<qBB")
 INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("doc_id", "<i8"), ("null", "u1"), ("n_ids", "<u8")])
@@ -197,17 +198,6 @@ class _Part:
 
 _ENCODERS: dict[tuple[str, bool], WordCache] = {}
 
-#: Separators that Python's split() knows and the tokenizer's white space does not.
-_ODD = "\x1c\x1d\x1e\x1f"
-
-
-def _chunks(text: str) -> list[str]:
-    """The text between white space.  The tokenizer never joins characters across it."""
-    if any(c in text for c in _ODD):
-        return text.translate({9: 32, 10: 32, 11: 32, 12: 32, 13: 32}).split(" ")
-    return text.split()
-
-
 #: Letters, punctuation after them and what else a chunk holds.  The first two are a
 #: pre-token each, for such characters as these.
 _PARTS = re.compile(r"([^\W\d_]*)([.,:;!?|&%$#*]*)(.*)\n")
@@ -217,12 +207,13 @@ _JOINED = 500
 class _Chunks:
     """Ids of white-space-free chunks by the tokenizers library.
 
-    Chunks of letters with or without trailing punctuation are one or two pre-tokens, which
-    stand between spaces and are encoded many to a call.  Since these are normalised
-    already but for their case, a lighter form of the tokenizer does it, with the same
-    model.  The vocabulary marks the token that ends a pre-token, so the ids split again
-    there.  Where the marks do not match the chunks, and for all other chunks, each chunk
-    has an encoding of its own.
+    Chunks of letters with or without trailing punctuation are one or two pre-tokens.  These
+    pieces stand in very many chunks, so their ids are kept in a cache of their own, under
+    the lower-case form of ASCII letters, which the tokenizer takes anyway; new ones stand
+    between spaces and are encoded many to a call.  Since they are normalised already but for
+    their case, a lighter form of the tokenizer does it, with the same model.  The vocabulary
+    marks the token that ends a pre-token, so the ids split again there.  Where the marks do
+    not match the pieces, and for all other chunks, each chunk has an encoding of its own.
 
     With ``added``, the tokenizer's special tokens have their own ids where they stand in a
     text, as is the library's default; else they are text like any other.
@@ -243,35 +234,48 @@ class _Chunks:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.pieces = WordCache(self._make_pieces, "uint32", limit=500_000)
 
     def _encode(self, words: list[str], light: bool = False) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in (self.light if light else self.tokenizer).encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
 
-    def make(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = _PARTS.findall("\n".join(chunks) + "\n")
-        plain = [not rest and _plain(word) for word, _, rest in parts]
-        pre_tokens = np.fromiter((on and 1 + bool(tail) for on, (_, tail, _) in zip(plain, parts)), np.int64, len(chunks))
-        order = np.argsort(pre_tokens == 0, kind="stable")
-        chunks = [chunks[i] for i in order.tolist()]
-        n = int((pre_tokens > 0).sum())
-        spaced = [f"{word} {tail}" for on, (word, tail, _) in zip(plain, parts) if on]
-        pre_tokens, found = pre_tokens[order], []
-        for i in range(0, n, _JOINED):
-            some = slice(i, min(i + _JOINED, n))
-            ids, _ = self._encode([" ".join(spaced[some])], light=True)
-            cuts, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(pre_tokens[some]) - 1
-            if len(cuts) == last[-1] + 1 and cuts[-1] == len(ids):
-                found.append((ids, np.diff(cuts[last], prepend=0)))
+    def _make_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens; none for those whose marks do not match."""
+        found = []
+        for i in range(0, len(pieces), _JOINED):
+            some = pieces[i : i + _JOINED]
+            ids, _ = self._encode([" ".join(some)], light=True)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                found.append((ids, np.diff(cuts, prepend=0)))
             else:
-                found.append(self._encode(chunks[some]))
-        found.append(self._encode(chunks[n:]))
-        joined, lengths = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-        place = np.empty(len(chunks), np.int64)
-        place[order] = np.arange(len(chunks))
-        starts = np.cumsum(lengths) - lengths
-        return joined[ragged_take(starts[place], lengths[place])], lengths[place]
+                found.append((ids[:0], np.zeros(len(some), np.int64)))
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+    def make(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces, n_pieces = [], []
+        for word, tail, rest in _PARTS.findall("\n".join(chunks) + "\n"):
+            if rest or not _plain(word):
+                n_pieces.append(0)
+                continue
+            pieces.append(word.lower() if word.isascii() else word)
+            if tail:
+                pieces.append(tail)
+            n_pieces.append(2 if tail else 1)
+        counts = np.array(n_pieces)
+        ids, sizes = self.pieces.take(self.pieces.codes(pieces))
+        whole = (counts > 0) & (by_group(sizes == 0, counts) == 0)
+        kept = np.repeat(whole, counts)
+        alone = np.flatnonzero(~whole)
+        others, lengths_alone = self._encode([chunks[i] for i in alone.tolist()])
+        lengths = by_group(np.where(kept, sizes, 0), counts)
+        lengths[alone] = lengths_alone
+        from_pieces = np.repeat(whole, lengths)
+        out = np.empty(int(lengths.sum()), np.uint32)
+        out[from_pieces], out[~from_pieces] = ids[np.repeat(kept, sizes)], others
+        return out, lengths
 
 
 def _plain(word: str) -> bool:
@@ -288,11 +292,15 @@ def encoder(path: str, added: bool = False) -> WordCache:
 
 def encode_texts(texts: list[str], tokenizer_path: str, added: bool = False) -> list[np.ndarray]:
     """Ids of whole texts for a tokenizer whose pre-tokens and special tokens never span white space."""
+    if not texts:
+        return []
     cache = encoder(tokenizer_path, added)
-    words, counts = flatten(map(_chunks, texts))
-    ids, lengths = cache.take(cache.codes(words))
-    ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
-    return np.split(ids, ends[:-1]) if len(texts) else []
+    # the tokenizer never joins characters across white space; a text's words are numbered natively, so that each is looked up once
+    chunks = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    words = chunks.flatten().dictionary_encode()
+    ids, lengths = cache.take(cache.codes(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()])
+    ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(pc.list_value_length(chunks).to_numpy())]
+    return np.split(ids, ends[:-1])
 
 
 def write_records(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -62,6 +62,21 @@ def test_encoding_equals_the_tokenizer():
     assert all(a.tolist() == t.encode(x, add_special_tokens=False).ids for x, a in zip(texts, got))
 
 
+def test_a_word_is_encoded_once_whatever_its_case_and_punctuation(monkeypatch):
+    sent, encode = [], token_records._Chunks._encode
+    monkeypatch.setattr(token_records, "_ENCODERS", {})
+    monkeypatch.setattr(token_records._Chunks, "_encode", lambda self, words, **form: sent.extend(" ".join(words).split()) or encode(self, words, **form))
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(50)]
+    texts = [" ".join(form(w) + tail for w in words) for tail in ("", ".", ",", "!!") for form in (str, str.upper, str.title)]
+    t = Tokenizer.from_file(WORD_BPE)
+    for text in texts + ["", " ", "\n" + texts[0] + "\x1c" + texts[1]]:
+        got = token_records.encode_texts([text], WORD_BPE)
+        assert got[0].tolist() == t.encode(text, add_special_tokens=False).ids
+    plain = [w.lower() for w in sent if w.isalpha()]
+    assert len(plain) <= len(words) + 2  # the two beside \x1c stand in a chunk of their own
+
+
 def test_token_records(spark):
     t = Tokenizer.from_file(WORD_BPE)
     manifest = token_records.write_records(docs(spark, EDGES), WORD_BPE, 2)
