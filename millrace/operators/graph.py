@@ -41,8 +41,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def cooccurrence_edges(members: DataFrame, owner: str, member: str, threshold: int) -> DataFrame:
     """Edges between owners that share at least ``threshold`` distinct members."""
-    rows = members.select(F.col(owner).alias("o"), F.col(member).alias("m")).distinct()
-    return shared_counts(rows, F.lit(threshold)).where(F.col("k") >= threshold).select("a", "b")
+    rows = members.select(F.col(owner).alias("o"), F.col(member).alias("m"))
+    return shared_counts(rows, threshold).where(F.col("k") >= threshold).select("a", "b")
 
 
 def jaccard_edges(members: DataFrame, owner: str, member: str, threshold: float = 0.5) -> DataFrame:

@@ -119,26 +119,24 @@ def son_itemsets(spark, d):
 
 @query
 def jaccard_pairs(spark, d):
-    return similarity.jaccard_pairs(views.user_items(spark, d), "user", "item", JACCARD).select("a", "b", F.round("sim", 6).alias("sim"))
+    return similarity.jaccard_pairs(views.visits(spark, d), "user", "item", JACCARD).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query
 def lsh_candidates(spark, d):
-    return similarity.lsh_candidates(views.user_items(spark, d), "item", "user", USER_BANDS)
+    return similarity.lsh_candidates(views.visits(spark, d), "item", "user", USER_BANDS)
 
 
 @query
 def lsh_pairs(spark, d):
-    return similarity.lsh_pairs(views.user_items(spark, d), "item", "user", LSH_BANDS, LSH_JACCARD).select("a", "b", F.round("sim", 6).alias("sim"))
+    return similarity.lsh_pairs(views.visits(spark, d), "item", "user", LSH_BANDS, LSH_JACCARD).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query
 def lsh_recall(spark, d):
     """How many pairs reach the threshold, and whether LSH finds nine in ten of them."""
-    members = views.user_items(spark, d)
-    found = similarity.lsh_pairs(members, "item", "user", LSH_BANDS, LSH_JACCARD).select("a", "b", F.lit(1).alias("hit"))
-    every = similarity.jaccard_pairs(members, "item", "user", LSH_JACCARD).select("a", "b")
-    return every.join(found, ["a", "b"], "left").agg(F.count("*").alias("n_pairs"), F.coalesce(F.avg(F.coalesce("hit", F.lit(0))) >= 0.9, F.lit(True)).alias("reached"))
+    every = similarity.lsh_hits(views.visits(spark, d), "item", "user", LSH_BANDS, LSH_JACCARD)
+    return every.agg(F.count("*").alias("n_pairs"), F.coalesce(F.avg(F.col("hit").cast("int")) >= 0.9, F.lit(True)).alias("reached"))
 
 
 @query
@@ -319,7 +317,7 @@ def bfr(spark, d):
 
 
 def _graph(spark, d) -> DataFrame:
-    members = views.user_items(spark, d)
+    members = views.visits(spark, d)
     return graph.cooccurrence_edges(members, "user", "item", EDGE_THRESHOLD)
 
 
@@ -330,7 +328,7 @@ def copurchase_edges(spark, d):
 
 @query
 def jaccard_edges(spark, d):
-    return graph.jaccard_edges(views.user_items(spark, d), "user", "item", JACCARD)
+    return graph.jaccard_edges(views.visits(spark, d), "user", "item", JACCARD)
 
 
 @query
@@ -395,7 +393,7 @@ def tfidf_by_documents(spark, d):
 
 @query
 def minhash_signatures(spark, d):
-    return similarity.minhash(views.user_items(spark, d), "item", "user", USER_BANDS).select(F.col("o").alias("item"), "band", "sig")
+    return similarity.minhash(views.visits(spark, d), "item", "user", USER_BANDS).select(F.col("o").alias("item"), "band", "sig")
 
 
 @query
