@@ -6,6 +6,8 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,10 +65,17 @@ def cluster_stats(assigned: DataFrame) -> DataFrame:
     return summed.groupBy("cluster").agg(F.max("n").alias("n"), ordered.alias("v")).select("cluster", "n", F.col("v.s").alias("sums"), F.col("v.q").alias("squares"))
 
 
+#: First points that are looked at for each starting centre before all are.
+FIRST = 20
+
+
 def first_points(points: DataFrame, k: int) -> np.ndarray:
     """The k points of the least ids with different features, as starting centres."""
-    rows = points.groupBy("features").agg(F.min("id").alias("id")).orderBy("id").limit(k).select("features").collect()
-    return np.array([r[0] for r in rows], float)
+    taken = points.select("id", "features").orderBy("id").limit(FIRST * k).collect()
+    found = list(dict.fromkeys(tuple(r["features"]) for r in taken))[:k]
+    if len(found) < k and len(taken) == FIRST * k:  # so many copies come first that all have to be told apart
+        found = [r[0] for r in points.groupBy("features").agg(F.min("id").alias("id")).orderBy("id").limit(k).select("features").collect()]
+    return np.array(found, float)
 
 
 def random_points(points: DataFrame, k: int, seed: int = 0) -> np.ndarray:
@@ -82,21 +91,164 @@ ROUNDING = 1e-12
 MOST_ROUNDS = 10_000
 
 
-def lloyd(points: DataFrame, k: int, rounds: int, centres: np.ndarray | None = None, settle: bool = False) -> np.ndarray:
+#: Bytes of points that are sent to the driver at most, about.
+NEAR = 1 << 25
+#: Points of a block.
+BLOCK = 8192
+
+
+def _blocks(points: DataFrame) -> DataFrame:
+    """(ids, x, width, n): points as matrices of bytes, written once and dealt evenly; numbers that four bytes hold exactly take four."""
+
+    def pack(batches):
+        held: list[tuple] = []
+        n = 0
+
+        def block():
+            ids, x = (np.concatenate(y) for y in zip(*held))
+            short = x.astype("<f4")
+            width = 4 if np.array_equal(short, x) else 8
+            return pa.RecordBatch.from_arrays(
+                [pa.array([ids.astype("<i8").tobytes()]), pa.array([(short if width == 4 else x.astype("<f8")).tobytes()]), pa.array([width]), pa.array([len(ids)])],
+                names=["ids", "x", "width", "n"],
+            )
+
+        for batch in batches:
+            if len(batch):
+                features = batch.column(1)
+                held.append((batch.column(0).to_numpy(zero_copy_only=False), features.flatten().to_numpy(zero_copy_only=False).reshape(len(features), -1)))
+                n += len(features)
+                if n >= BLOCK:
+                    yield block()
+                    held, n = [], 0
+        if held:
+            yield block()
+
+    plain = points.select(F.col("id").cast("long"), F.col("features").cast("array<double>"))
+    blocks = cut(plain.mapInArrow(pack, "ids binary, x binary, width long, n long"))
+    tasks, n = 2 * blocks.sparkSession.sparkContext.defaultParallelism, blocks.count()
+    return cut(blocks.repartition(min(n, tasks))) if n > blocks.rdd.getNumPartitions() else blocks
+
+
+def _matrices(batches):
+    """(ids, matrix) of each block."""
+    for batch in batches:
+        for ids, x, width, n in zip(*(c.to_pylist() for c in batch.columns)):
+            yield np.frombuffer(ids, "<i8"), np.frombuffer(x, f"<f{width}").astype(float).reshape(n, -1)
+
+
+def nearest_centres(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of every point, the first at ties, and how much further the next one is.
+
+    By one product of matrices, and point by point where that may be too coarse.
+    """
+    if len(centres) == 1:
+        return np.zeros(len(x), int), np.full(len(x), np.inf)
+    # points are taken from the middle of the centres, which keeps the products small
+    middle = centres.mean(0)
+    y, c = x - middle, centres - middle
+    squares, own = (c * c).sum(1), (y * y).sum(1)
+    far = squares - 2.0 * (y @ c.T)
+    at = far.argmin(1)
+    two = np.partition(far, 1, 1)[:, :2]
+    apart, size = two[:, 1] - two[:, 0], own + squares.max()
+    close = ~(apart > 1e-11 * size)
+    if close.any():
+        at[close] = _assigner(centres)(x[close])[0]
+        apart[close] = 0.0
+    both = np.sqrt(np.maximum(two + own[:, None], 0)).sum(1)
+    return at, np.where(apart > 0, apart / np.maximum(both, 1e-300), 0.0)
+
+
+def _sums(x: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    mine = (np.arange(k)[:, None] == at).astype(float)
+    return mine.sum(1), mine @ x
+
+
+def _pass(blocks: DataFrame, centres: np.ndarray, reach: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, int]:
+    """Numbers and sums by cluster of the points whose next centre is more than ``reach`` further, the other points, and how many those are.
+
+    If a task has more than ``most`` of these, they are in the sums, too, and not sent.  Parts are added in the order of the tasks.
+    """
+    k, dims = centres.shape
+
+    def run(batches):
+        number, total = np.zeros(k), np.zeros(centres.shape)
+        near: list[np.ndarray] = []
+        n, full = 0, False
+        for _, x in _matrices(batches):
+            at, gap = nearest_centres(x, centres)
+            loose = ~(gap > reach)
+            n += int(loose.sum())
+            if n > most and not full:
+                full = True
+                for y in near:
+                    parts = _sums(y, nearest_centres(y, centres)[0], k)
+                    number, total = number + parts[0], total + parts[1]
+                near = []
+            if not full:
+                near.append(x[loose])
+                x, at = x[~loose], at[~loose]
+            parts = _sums(x, at, k)
+            number, total = number + parts[0], total + parts[1]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([TaskContext.get().partitionId()]), pa.array([number.tobytes()]), pa.array([total.tobytes()]), pa.array([b"".join(y.tobytes() for y in near)]), pa.array([n]), pa.array([full])],
+            names=["part", "n", "s", "near", "loose", "full"],
+        )
+
+    parts = sorted(blocks.mapInArrow(run, "part long, n binary, s binary, near binary, loose long, full boolean").collect())
+    number = sum((np.frombuffer(r["n"]) for r in parts), np.zeros(k))
+    total = sum((np.frombuffer(r["s"]).reshape(centres.shape) for r in parts), np.zeros(centres.shape))
+    near = np.frombuffer(b"".join(r["near"] for r in parts)).reshape(-1, dims)
+    if any(r["full"] for r in parts):
+        more = _sums(near, nearest_centres(near, centres)[0], k) if len(near) else (0, 0)
+        number, total, near = number + more[0], total + more[1], None
+    return number, total, near, sum(r["loose"] for r in parts)
+
+
+def _placed(blocks: DataFrame, centres: np.ndarray, kind: str) -> DataFrame:
+    """(id, cluster, distance) of all points of the blocks."""
+
+    def run(batches):
+        for ids, x in _matrices(batches):
+            at = nearest_centres(x, centres)[0] if len(centres) else np.full(len(x), -1)
+            far = np.sqrt(((x - centres[at]) ** 2).sum(1)) if len(centres) else np.full(len(x), np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(at.astype(np.int32)), pa.array(far)], names=["id", "cluster", "distance"])
+
+    return blocks.mapInArrow(run, "id long, cluster int, distance double").withColumn("id", F.col("id").cast(kind))
+
+
+def lloyd(points: DataFrame, k: int, rounds: int, centres: np.ndarray | None = None, settle: bool = False, blocks: DataFrame | None = None) -> np.ndarray:
     """Centres after at most ``rounds`` rounds, or when they stay the same; empty clusters keep theirs.
 
-    With ``settle``, centres that still move after ``rounds`` rounds are an error.
+    With ``settle``, centres that still move after ``rounds`` rounds are an error.  Late rounds move centres
+    little, and then only points between two centres can change, so a pass over all points
+    sends those (``NEAR`` bytes at most, or the pass counts for its own round only) and many rounds follow on the driver.
+    The rounds are the same as with a pass each.
     """
     centres = first_points(points, k) if centres is None else np.asarray(centres, float)
     if not len(centres):
         return centres
-    for _ in range(rounds):
-        moved = centres.copy()
-        for row in cluster_stats(assign(points, centres)).collect():
-            moved[row["cluster"]] = np.array(row["sums"]) / row["n"]
-        if np.abs(moved - centres).max() <= ROUNDING * np.abs(centres).max():
-            return centres
-        centres = moved
+    blocks = _blocks(points) if blocks is None else blocks
+    tasks, n = max(1, blocks.rdd.getNumPartitions()), blocks.agg(F.sum("n")).first()[0] or 0
+    held = max(1, NEAR // (8 * centres.shape[1]))
+    reach, done = np.inf if n <= held else 0.0, 0
+    while done < rounds:
+        # points whose next centre is more than ``reach`` further keep theirs until some centre has moved half of that
+        number, total, near, loose = _pass(blocks, centres, reach, held if n <= held else 2 * held // tasks)
+        start, move = centres, np.inf
+        while done < rounds and (start is centres or near is not None and 2 * np.sqrt(((centres - start) ** 2).sum(1)).max() < reach * (1 - 1e-6)):
+            more = _sums(near, nearest_centres(near, centres)[0], len(centres)) if near is not None and len(near) else (0, 0)
+            count, moved = number + more[0], centres.copy()
+            moved[count > 0] = (total + more[1])[count > 0] / count[count > 0, None]
+            done += 1
+            if np.abs(moved - centres).max() <= ROUNDING * np.abs(centres).max():
+                return centres
+            move, centres = np.sqrt(((moved - centres) ** 2).sum(1)).max(), moved
+        # the next reach lets half as many points be sent as may be, unless centres would leave it in a round or two
+        reach = reach * np.clip(held / (2 * loose + 1), 0.05, 20) if reach else 8 * move
+        if reach < 4 * move:
+            reach = 4 * move if loose < held else reach
     if settle:
         raise RuntimeError(f"centres still move after {rounds} rounds")
     return centres
@@ -106,7 +258,8 @@ def kmeans(points: DataFrame, k: int, most_rounds: int = MOST_ROUNDS, seed: int
     """(id, cluster, distance) when Lloyd's rounds move no centre any more, from the points of the least ids or, with a seed, random ones."""
     points = points.select("id", "features")
     start = None if seed is None else random_points(points, k, seed)
-    return assign(points, lloyd(points, k, most_rounds, start, settle=True)).select("id", "cluster", "distance")
+    blocks = _blocks(points)
+    return _placed(blocks, lloyd(points, k, most_rounds, start, settle=True, blocks=blocks), points.schema["id"].dataType.simpleString())
 
 
 class Sets:

@@ -250,3 +250,62 @@ def test_random_start_of_kmeans(spark):
     assert not np.allclose(start, cluster.random_points(df, 3, seed=2))
     found = {r["id"]: r["cluster"] for r in cluster.kmeans(df, 3, seed=8).collect()}
     assert len(found) == len(x)
+
+
+def test_nearest_centres_by_products_are_those_by_differences():
+    """Ties, points far from the origin and centres that differ by a bit."""
+    rng = np.random.default_rng(6)
+    for shift in (0.0, 1e6):
+        centres = rng.normal(size=(5, 4)) + shift
+        centres[3] = centres[1]
+        centres[4] = np.nextafter(centres[2], np.inf)
+        x = np.concatenate([rng.normal(size=(300, 4)) + shift, centres, (centres[:1] + centres[1:]) / 2])
+        assert cluster.nearest_centres(x, centres)[0].tolist() == cluster._assigner(centres)(x)[0].tolist()
+
+
+def test_kmeans_reads_its_points_once(spark, monkeypatch):
+    """Rounds read blocks; before, every round turned all rows into Python objects again."""
+    monkeypatch.setattr(cluster, "BLOCK", 16)
+    x, df = _points(spark, 7)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    start = cluster.first_points(df, 3)
+    found = cluster.lloyd(df.mapInPandas(seen, df.schema), 3, 50, start)
+    assert read.value == len(x)
+    assert np.allclose(found, [x[np.arange(120) % 3 == k].mean(0) for k in range(3)])
+
+
+def test_first_points_after_many_copies(spark):
+    copies = spark.createDataFrame([(i, [1.0 if i < 200 else float(i)]) for i in range(210)], "id long, features array<double>")
+    assert cluster.first_points(copies, 3).tolist() == [[1.0], [200.0], [201.0]]
+    assert cluster.first_points(copies.limit(100), 3).tolist() == [[1.0]]
+
+
+def test_rounds_on_points_between_centres_are_rounds_over_all(spark, monkeypatch):
+    """Few passes, and after any number of rounds the centres of a plain Lloyd."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 4))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>").repartition(3)
+    monkeypatch.setattr(cluster, "BLOCK", 200)
+    monkeypatch.setattr(cluster, "NEAR", 400 * 8 * 4)
+    passes, plain = [], cluster._pass
+    monkeypatch.setattr(cluster, "_pass", lambda *args: passes.append(1) or plain(*args))
+    blocks = cluster._blocks(df)
+    centres, rounds = x[:5].copy(), 0
+    while True:
+        at = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+        moved = np.stack([x[at == c].mean(0) for c in range(5)])
+        rounds += 1
+        if rounds == 12:
+            assert np.allclose(cluster.lloyd(df, 5, 12, x[:5], blocks=blocks), moved, rtol=0, atol=1e-11)
+        if np.abs(moved - centres).max() <= 1e-12:
+            break
+        centres = moved
+    passes.clear()
+    assert np.allclose(cluster.lloyd(df, 5, 10_000, x[:5], settle=True, blocks=blocks), centres, rtol=0, atol=1e-11)
+    assert len(passes) < rounds / 2
