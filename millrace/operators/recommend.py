@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import is_number, space_tokens, strip_punctuation
+from millrace.session import cut
 
 
 def word_counts(texts: DataFrame, stopwords: list[str]) -> DataFrame:
@@ -19,7 +20,7 @@ def tfidf_profile(texts: DataFrame, stopwords: list[str], k: int = 200, idf_n: s
 
     The idf numerator is the size of the vocabulary; ``idf_n="docs"`` takes the number of businesses.
     """
-    counts = word_counts(texts, stopwords)
+    counts = cut(word_counts(texts, stopwords))  # four times below, so texts are taken apart once
     df = counts.groupBy("word").agg(F.count("*").alias("df"))
     total = df.agg(F.count("*").alias("total")) if idf_n == "vocabulary" else counts.agg(F.countDistinct("business").alias("total"))
     most = counts.groupBy("business").agg(F.max("freq").alias("most"))

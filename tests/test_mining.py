@@ -309,3 +309,18 @@ def test_rounds_on_points_between_centres_are_rounds_over_all(spark, monkeypatch
     passes.clear()
     assert np.allclose(cluster.lloyd(df, 5, 10_000, x[:5], settle=True, blocks=blocks), centres, rtol=0, atol=1e-11)
     assert len(passes) < rounds / 2
+
+
+def test_profiles_take_texts_apart_once(spark):
+    """Before, every use of the word counts read all texts again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    texts = spark.createDataFrame([(1, "x", "cat cat dog"), (1, "y", "dog bird"), (2, "y", "owl")], "user long, business string, text string")
+    profile = recommend.tfidf_profile(texts.mapInPandas(seen, texts.schema), ["the"])
+    assert len(rows(profile)) == 5
+    assert read.value == 3
